@@ -23,6 +23,9 @@ LONG = "_long"
 CELLS_PER_SPLIT = 4
 CELL_LIMIT = 1 << 20
 LEVELS = 3
+# Tables of cut keys and of carried values are replicated up to this many rows, and joined by
+# exchange beyond.
+REPLICATED_ROWS = 500_000
 
 
 def micros(column) -> Column:
@@ -37,9 +40,10 @@ def _same(left: DataFrame, right: DataFrame, names) -> Column:
     return condition
 
 
-def _attach(df: DataFrame, table: DataFrame, names) -> DataFrame:
-    """Left join of a table whose row count is bounded by rows / max_rows."""
-    table = F.broadcast(table)
+def _attach(df: DataFrame, table: DataFrame, names, rows: int) -> DataFrame:
+    """Left join of a small table; replicated to all tasks only up to a known number of rows."""
+    if rows <= REPLICATED_ROWS:
+        table = F.broadcast(table)
     extra = [c for c in table.columns if c not in names]
     return df.join(table, _same(df, table, names), "left").select(
         *[df[c] for c in df.columns], *[table[c] for c in extra])
@@ -47,12 +51,16 @@ def _attach(df: DataFrame, table: DataFrame, names) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows of ``df`` grouped by ``keys`` and ordered by ``order``; ``split`` if some key was cut."""
+    """Rows of ``df`` grouped by ``keys`` and ordered by ``order``; cut keys have at most ``segments`` parts in all."""
 
     df: DataFrame
     keys: tuple
     order: tuple
-    split: bool
+    segments: int = 0
+
+    @property
+    def split(self) -> bool:
+        return self.segments > 0
 
     @property
     def by(self) -> list:
@@ -100,7 +108,7 @@ class Ordered:
                  .select(*self.keys, SEGMENT,
                          *[over[kind](F.col(name)).over(earlier).alias(name)
                            for name, (kind, _) in wanted.items()]))
-        return self.with_df(_attach(self.df, table, [*self.keys, SEGMENT]))
+        return self.with_df(_attach(self.df, table, [*self.keys, SEGMENT], self.segments))
 
     def result(self, *columns) -> DataFrame:
         return self.df.select(*columns) if columns else self.df.drop(SEGMENT, LONG)
@@ -114,27 +122,31 @@ def ordered(df: DataFrame, keys, grid: Column, order, max_rows: int = MAX_ROWS)
     keys = tuple(keys)
     order = tuple(order)
     cut = df.withColumn("_grid", grid.cast("double"))
-    seen = False
-    for level in range(LEVELS):
-        by = [*keys, SEGMENT] if seen else list(keys)
-        counts = (cut.groupBy(*by)
-                  .agg(F.count(F.lit(1)).alias("_n"), F.min("_grid").alias("_lo"), F.max("_grid").alias("_hi"))
-                  .filter((F.col("_n") > max_rows) & (F.col("_hi") > F.col("_lo"))))
-        counts = settled(counts)
-        if counts.isEmpty():
-            break
+    segments = 0
+    for _ in range(LEVELS):
+        by = [*keys, SEGMENT] if segments else list(keys)
         cells = F.least(F.ceil(F.col("_n") / max_rows) * CELLS_PER_SPLIT, F.lit(CELL_LIMIT - 1))
-        cell = F.least(F.floor((F.col("_grid") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells),
-                       F.lit(CELL_LIMIT - 1))
+        found = (cut.groupBy(*by)
+                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_grid").alias("_lo"), F.max("_grid").alias("_hi"))
+                 .filter((F.col("_n") > max_rows) & (F.col("_hi") > F.col("_lo")))
+                 .select(*by, "_lo", "_hi", cells.alias("_cells"))).persist()
+        if found.isEmpty():
+            found.unpersist()
+            break
+        long_keys = settled(found)
+        found.unpersist()
+        size, added = long_keys.agg(F.count(F.lit(1)), F.sum("_cells")).first()
+        cell = F.floor((F.col("_grid") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_cells"))
         cell = F.coalesce(cell, F.lit(0)).cast("bigint")
-        cut = _attach(cut, counts, by)
-        if seen:
+        cut = _attach(cut, long_keys, by, size)
+        if segments:
             cut = cut.withColumn(SEGMENT, F.col(SEGMENT) * CELL_LIMIT + cell)
         else:
-            cut = cut.withColumn(SEGMENT, cell).withColumn(LONG, F.col("_n").isNotNull())
-        cut = cut.drop("_n", "_lo", "_hi")
-        seen = True
-    return Ordered(cut.drop("_grid"), keys, order, seen)
+            cut = cut.withColumns({SEGMENT: cell, LONG: F.col("_cells").isNotNull()})
+        cut = cut.drop("_lo", "_hi", "_cells")
+        # The largest value opens a cell of its own at the upper end.
+        segments += added + size
+    return Ordered(cut.drop("_grid"), keys, order, segments)
 
 
 def ordinal(df: DataFrame, keys, grid: Column, order, name: str = "pos",

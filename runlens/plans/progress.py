@@ -30,13 +30,13 @@ def rank_mean(spark, sf):
     return collective.rank_mean(t.batch_losses(spark, sf), ["batch"], "val").withColumn("mean", F.round("mean", 6))
 
 
-@query(with_tables(RECORDS) + """select run_id, epoch, round(sum(value * (event_id % 7 + 1)) over w, 6) as running_sum,
- cast(sum(event_id % 7 + 1) over w as bigint) as running_count,
- round(sum(value * (event_id % 7 + 1)) over w / sum(event_id % 7 + 1) over w, 9) as running_avg
- from records window w as (partition by run_id order by epoch)""")
+@query(with_tables(RECORDS) + """, steps as (select run_id, epoch, ln(1 + value) as v, event_id % 7 + 1 as n from records)
+select run_id, epoch, round(sum(v * n) over w, 6) as running_sum, cast(sum(n) over w as bigint) as running_count,
+ round(sum(v * n) over w / sum(n) over w, 9) as running_avg from steps window w as (partition by run_id order by epoch)""")
 def average_meter(spark, sf):
-    rows = t.records(spark, sf).withColumn("n", F.col("event_id") % 7 + 1)
-    out = progress.average_meter(rows, ["run_id"], "epoch", "value", "n")
+    rows = t.records(spark, sf).select("run_id", "epoch", F.ln(1 + F.col("value")).alias("v"),
+                                       (F.col("event_id") % 7 + 1).alias("n"))
+    out = progress.average_meter(rows, ["run_id"], "epoch", "v", "n")
     return out.select("run_id", "epoch", F.round("running_sum", 6).alias("running_sum"), "running_count",
                       F.round("running_avg", 9).alias("running_avg"))
 

@@ -1 +1,97 @@
-"""Placeholder."""
+"""Streaming jobs run to the end of what has landed, twice, as rows arrive in two parts."""
+
+from pyspark.sql import functions as F
+
+from runlens.plans import tables as t
+from runlens.plans.progress import TARGET
+from runlens.plans.registry import query
+from runlens.plans.tables import ARRIVALS, METRICS, PODS, RECORDS, RUNS, with_tables
+from runlens.plans.telemetry import (ACCEPTED, JUDGED, LISTINGS, PAYLOADS, POD_METRICS, RATE, listing,
+                                     payloads)
+from runlens.session import new_dir
+from runlens.streaming import jobs
+
+CUT = "2024-01-15 00:00:00"
+
+
+def _parts(df, date):
+    cut = F.lit(CUT).cast("timestamp_ntz")
+    return [df.filter(F.col(date) < cut), df.filter(F.col(date) >= cut)]
+
+
+def _run(spark, parts, start):
+    """Land each part and run the job on it; the checkpoint carries over."""
+    landing, checkpoint = new_dir(spark, "landing"), new_dir(spark, "checkpoint")
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(part.schema).parquet(landing)
+        start(stream, checkpoint).awaitTermination()
+
+
+@query(with_tables(PODS, RUNS, PAYLOADS, JUDGED) + """select metric_id, status::bigint as status, message, found_pod, found_run,
+ status = 201 as accepted from judged""")
+def ingest_stream(spark, sf):
+    out = new_dir(spark, "ingested")
+    rows = payloads(spark, sf)
+    parts = _parts(rows.withColumn("_at", F.to_timestamp_ntz("date", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))), "_at")
+    _run(spark, [p.drop("_at") for p in parts], lambda stream, checkpoint: jobs.start_ingest(
+        stream, lambda: t.pods(spark, sf), lambda: t.runs(spark, sf), out, checkpoint))
+    return spark.read.parquet(out).select("metric_id", "status", "message", "found_pod", "found_run",
+                                          F.col("accepted").cast("boolean").alias("accepted"))
+
+
+@query(with_tables(METRICS, ARRIVALS, ACCEPTED) + "select metric_id, pod_id, name, date, value from accepted")
+def accept_newer_stream(spark, sf):
+    out, state = new_dir(spark, "accepted"), new_dir(spark, "marks")
+    _run(spark, _parts(t.arrivals(spark, sf), "date"), lambda stream, checkpoint: jobs.start_accept_newer(
+        stream, "arrival", out, state, checkpoint))
+    return spark.read.parquet(out).select("metric_id", "pod_id", "name", "date", "value")
+
+
+@query(with_tables(METRICS, POD_METRICS, RATE.format(source="pod_metrics", keys="pod_id, name")) + """
+select metric_id, pod_id, name, date, round(rate, 6) as rate from rated""")
+def counter_rate_stream(spark, sf):
+    out, state = new_dir(spark, "rates"), new_dir(spark, "last")
+    _run(spark, _parts(t.pod_metrics(spark, sf), "date"), lambda stream, checkpoint: jobs.start_counter_rate(
+        stream, out, state, checkpoint))
+    return spark.read.parquet(out).select("metric_id", "pod_id", "name", "date", F.round("rate", 6).alias("rate"))
+
+
+@query(with_tables(METRICS) + f"""select metric_id, name, date, value,
+ case when date < timestamp '{CUT}' then 1 else 2 end::bigint as read from metrics""")
+def read_since(spark, sf):
+    landing, out, checkpoint = (new_dir(spark, n) for n in ("landing", "seen", "checkpoint"))
+    reads = []
+    for n, part in enumerate(_parts(t.metrics(spark, sf), "date"), start=1):
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(part.schema).parquet(landing)
+        reads.append(jobs.read_since(stream, out, checkpoint).withColumn("read", F.lit(n).cast("bigint")))
+    return reads[0].unionByName(reads[1]).select("metric_id", "name", "date", "value", "read")
+
+
+@query(with_tables(LISTINGS) + """select o.name, case when s.name is null then 'insert' when o.phase <> s.phase then 'phase'
+ else 'keep' end as change, o.phase, coalesce(case when s.name is null then o.ip else s.ip end, '') as ip,
+ coalesce(s.node_name, o.node_name) as node_name from observed o left join stored s on s.name = o.name
+union all select name, 'delete', phase, coalesce(ip, ''), node_name from stored where name not in (select name from observed)""")
+def inventory_stream(spark, sf):
+    table, changes = new_dir(spark, "inventory"), new_dir(spark, "changes")
+    seen = [listing(spark, sf, late).withColumn("seen_at", F.lit(n)) for n, late in enumerate((False, True))]
+    nothing = seen[0].drop("seen_at").limit(0)
+    _run(spark, seen, lambda stream, checkpoint: jobs.start_inventory(
+        stream, nothing, table, changes, checkpoint))
+    current = spark.read.parquet(f"{table}/batch_id=1")
+    moved = spark.read.parquet(f"{changes}/batch_id=1")
+    return (current.join(moved.select("name", "action"), "name", "left")
+            .select("name", F.coalesce("action", F.lit("keep")).alias("change"), "phase", "ip", "node_name")
+            .unionByName(moved.filter(F.col("action") == "delete").select(
+                "name", F.col("action").alias("change"), "phase", F.coalesce("ip", F.lit("")).alias("ip"), "node_name")))
+
+
+@query(with_tables(RECORDS) + f"""select run_id, max(value) as best, arg_max(epoch, (value, -epoch)) as best_step,
+ min(case when value >= {TARGET} then epoch_us(ts) end) as reached_us from records group by run_id""")
+def best_stream(spark, sf):
+    out = new_dir(spark, "best")
+    records = t.records(spark, sf).select("run_id", "epoch", "value", "ts")
+    _run(spark, _parts(records, "ts"), lambda stream, checkpoint: jobs.start_best(
+        stream, TARGET, out, checkpoint))
+    return jobs.latest_best(spark, out)

@@ -58,7 +58,7 @@ def explode_job_output(jobs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Lines of captured output numbered per (run, stream); ``jobs(run_id, chunk_no, stdout, stderr)``."""
     streams = jobs.select("run_id", "chunk_no", F.explode(F.create_map(
         F.lit("stdout"), F.col("stdout"), F.lit("stderr"), F.col("stderr"))).alias("stream", "text"))
-    body = F.regexp_replace("text", f"(?:{LINE_BREAK})$", "")
+    body = F.regexp_replace("text", rf"(?:{LINE_BREAK})\z", "")
     chunks = streams.filter(F.length("text") > 0) \
         .withColumn("_lines", F.split(body, LINE_BREAK, -1)).withColumn("_n", F.size("_lines").cast("bigint"))
     rows = ordered(chunks, ["run_id", "stream"], F.col("chunk_no"), ["chunk_no"], max_rows)
