@@ -179,7 +179,8 @@ def conflicting_runs(runs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     Sorted sweep over the start times instead of comparing all pairs; an open run never ends.
     """
     end = F.coalesce(micros("finished_at"), F.lit((1 << 63) - 1))
-    rows = ordered(runs.withColumn("_end", end), [], micros("created_at"), ["created_at", "run_id"], max_rows)
+    rows = ordered(runs.withColumn("_end", end), [], micros("created_at"), ["created_at", "run_id"], max_rows,
+                   F.col("run_id"))
     rows = rows.carry(_earlier=("max", F.col("_end")))
     rows = rows.add(_busy=F.greatest(F.max("_end").over(rows.before()), F.col("_earlier")))
     out = rows.result().filter(F.col("_busy") > micros("created_at"))

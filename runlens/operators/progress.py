@@ -46,7 +46,7 @@ def active_time(events: DataFrame, keys, date: str = "ts", kind: str = "kind", t
     The clock runs from the first event; time counts once a pause closes it, so between pauses the
     value stays. Pausing twice or resuming twice changes nothing. ``offset`` continues earlier time.
     """
-    rows = ordered(events, keys, micros(date), [date, tie], max_rows)
+    rows = ordered(events, keys, micros(date), [date, tie], max_rows, F.col(tie))
     here = F.struct(F.col(kind).alias("k"), micros(date).alias("t"))
     rows = rows.carry(_last=("last", here))
     before = F.coalesce(F.lag(here).over(rows.window()), F.col("_last"))

@@ -3,9 +3,10 @@
 ``Window.partitionBy(key).orderBy(t)`` sends all rows of a key to one task, which fails when one key
 holds a large share of the data. ``ordered`` counts rows per key first (a map-side combined aggregate
 over the key and order columns only). Keys below ``max_rows`` need nothing special, and if there are
-no others the result is the plain window. A longer key is cut along its order column into segments;
-windows then run per (key, segment), and what a segment needs from the ones before it (a running sum,
-a running maximum, the last row) comes from a small table with one row per segment.
+no others the result is the plain window. A longer key is cut along its order column into segments,
+and a segment that is still too long is cut again; windows then run per (key, segment), and what a
+segment needs from the ones before it (a running sum, a running maximum, the last row) comes from a
+small table with one row per segment.
 """
 
 from dataclasses import dataclass, replace
@@ -22,7 +23,7 @@ LONG = "_long"
 # still too large is cut again by the next level.
 CELLS_PER_SPLIT = 4
 CELL_LIMIT = 1 << 20
-LEVELS = 3
+LEVELS = 8
 # Tables of cut keys and of carried values are replicated up to this many rows, and joined by
 # exchange beyond.
 REPLICATED_ROWS = 500_000
@@ -33,20 +34,16 @@ def micros(column) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp") if isinstance(column, str) else column.cast("timestamp"))
 
 
-def _same(left: DataFrame, right: DataFrame, names) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
 def _attach(df: DataFrame, table: DataFrame, names, rows: int) -> DataFrame:
     """Left join of a small table; replicated to all tasks only up to a known number of rows."""
+    own = {name: f"_k{i}" for i, name in enumerate(names)}
+    table = table.withColumnsRenamed(own)
     if rows <= REPLICATED_ROWS:
         table = F.broadcast(table)
-    extra = [c for c in table.columns if c not in names]
-    return df.join(table, _same(df, table, names), "left").select(
-        *[df[c] for c in df.columns], *[table[c] for c in extra])
+    same = F.lit(True)
+    for name, key in own.items():
+        same = same & F.col(name).eqNullSafe(F.col(key))
+    return df.join(table, same, "left").drop(*own.values())
 
 
 @dataclass(frozen=True)
@@ -114,44 +111,50 @@ class Ordered:
         return self.df.select(*columns) if columns else self.df.drop(SEGMENT, LONG)
 
 
-def ordered(df: DataFrame, keys, grid: Column, order, max_rows: int = MAX_ROWS) -> Ordered:
+def ordered(df: DataFrame, keys, grid: Column, order, max_rows: int = MAX_ROWS,
+            tie: Column = None) -> Ordered:
     """Prepare windows over ``keys`` ordered by ``order``.
 
-    ``grid`` is a number that never decreases along ``order``; equal values stay in one segment.
+    ``grid`` is a number that never decreases along ``order``. Rows of equal ``grid`` stay in one
+    segment, unless ``tie`` gives a second number that orders them.
     """
     keys = tuple(keys)
-    order = tuple(order)
-    cut = df.withColumn("_grid", grid.cast("double"))
+    cut = df.withColumns({"_g1": grid.cast("double"), "_g2": (F.lit(0.0) if tie is None else tie.cast("double"))})
     segments = 0
     for _ in range(LEVELS):
         by = [*keys, SEGMENT] if segments else list(keys)
-        cells = F.least(F.ceil(F.col("_n") / max_rows) * CELLS_PER_SPLIT, F.lit(CELL_LIMIT - 1))
+        apart = F.col("_hi1") > F.col("_lo1")
+        cells = F.least(F.ceil(F.col("_n") / max_rows) * CELLS_PER_SPLIT, F.lit(CELL_LIMIT)).cast("int")
         found = (cut.groupBy(*by)
-                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_grid").alias("_lo"), F.max("_grid").alias("_hi"))
-                 .filter((F.col("_n") > max_rows) & (F.col("_hi") > F.col("_lo")))
-                 .select(*by, "_lo", "_hi", cells.alias("_cells"))).persist()
+                 .agg(F.count(F.lit(1)).alias("_n"),
+                      F.min("_g1").alias("_lo1"), F.max("_g1").alias("_hi1"),
+                      F.min("_g2").alias("_lo2"), F.max("_g2").alias("_hi2"))
+                 .filter((F.col("_n") > max_rows) & (apart | (F.col("_hi2") > F.col("_lo2"))))
+                 .select(*by, apart.alias("_first"), F.when(apart, F.col("_lo1")).otherwise(F.col("_lo2")).alias("_lo"),
+                         F.when(apart, F.col("_hi1")).otherwise(F.col("_hi2")).alias("_hi"),
+                         cells.alias("_cells"))).persist()
         if found.isEmpty():
             found.unpersist()
             break
         long_keys = settled(found)
         found.unpersist()
         size, added = long_keys.agg(F.count(F.lit(1)), F.sum("_cells")).first()
-        cell = F.floor((F.col("_grid") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_cells"))
-        cell = F.coalesce(cell, F.lit(0)).cast("bigint")
+        place = (F.when(F.col("_first"), F.col("_g1")).otherwise(F.col("_g2")) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        cell = F.array(F.coalesce(F.floor(place * F.col("_cells")).cast("int"), F.lit(0)))
         cut = _attach(cut, long_keys, by, size)
         if segments:
-            cut = cut.withColumn(SEGMENT, F.col(SEGMENT) * CELL_LIMIT + cell)
+            cut = cut.withColumn(SEGMENT, F.concat(F.col(SEGMENT), cell))
         else:
             cut = cut.withColumns({SEGMENT: cell, LONG: F.col("_cells").isNotNull()})
-        cut = cut.drop("_lo", "_hi", "_cells")
-        # The largest value opens a cell of its own at the upper end.
+        cut = cut.drop("_first", "_lo", "_hi", "_cells")
+        # The largest value has a cell of its own at the upper end.
         segments += added + size
-    return Ordered(cut.drop("_grid"), keys, order, segments)
+    return Ordered(cut.drop("_g1", "_g2"), keys, tuple(order), segments)
 
 
 def ordinal(df: DataFrame, keys, grid: Column, order, name: str = "pos",
-            max_rows: int = MAX_ROWS) -> DataFrame:
+            max_rows: int = MAX_ROWS, tie: Column = None) -> DataFrame:
     """Number the rows of each key from 0 in ``order``."""
-    rows = ordered(df, keys, grid, order, max_rows).carry(_before=("sum", F.lit(1).cast("bigint")))
+    rows = ordered(df, keys, grid, order, max_rows, tie).carry(_before=("sum", F.lit(1).cast("bigint")))
     local = F.row_number().over(rows.window()).cast("bigint") - 1
     return rows.add(**{name: local + F.coalesce(F.col("_before"), F.lit(0))}).result().drop("_before")

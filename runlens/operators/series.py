@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.scalars import has_labels, health, number
-from runlens.operators.scan import MAX_ROWS, micros, ordered, ordinal
+from runlens.operators.scan import MAX_ROWS, micros, ordered
 
 PAGE_ROWS = 10_000
 
@@ -63,19 +63,16 @@ def pages(df: DataFrame, keys, order, sample: Column, page_rows: int = PAGE_ROWS
     The pages of a series in order are the series; no series has to fit into one task or one value.
     """
     keys = list(keys)
-    grid = micros(order[0]) if grid is None else grid
-    rows = ordered(df, keys, grid, order, max_rows)
-    local = F.row_number().over(rows.window()) - 1
-    paged = rows.add(_page=F.floor(local / page_rows)).df
+    rows = ordered(df, keys, micros(order[0]) if grid is None else grid, order, max_rows,
+                   F.col(order[-1]) if len(order) > 1 else None)
+    rows = rows.add(_row=F.row_number().over(rows.window()) - 1)
+    rows = rows.carry(_before=("sum", F.when(F.col("_row") % page_rows == 0, 1).otherwise(0)))
+    page = F.coalesce(F.col("_before"), F.lit(0)) + F.floor(F.col("_row") / page_rows)
     # Rows of a page already share a task: the window's partitioning covers the grouping.
-    out = (paged.groupBy(*rows.by, "_page")
-           .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], sample.alias("_sample"))))
-                .alias("_samples"))
-           .withColumn("samples", F.transform("_samples", lambda e: e["_sample"])))
-    if not rows.split:
-        return out.select(*keys, F.col("_page").cast("bigint").alias("page"), "samples")
-    return ordinal(out.withColumn("_at", F.struct(rows.by[-1], "_page")), keys,
-                   F.col(rows.by[-1]), ["_at"], "page", max_rows).select(*keys, "page", "samples")
+    return (rows.add(page=page.cast("bigint")).df.groupBy(*rows.by, "page")
+            .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], sample.alias("_sample"))))
+                 .alias("_all"))
+            .select(*keys, "page", F.transform("_all", lambda e: e["_sample"]).alias("samples")))
 
 
 def series(df: DataFrame, keys, fields=("date", "value", "cumulative"), **limits) -> DataFrame:
@@ -111,7 +108,7 @@ def counter_rate(df: DataFrame, keys=("pod_id", "name"), max_rows: int = MAX_ROW
     steps below one millisecond count as one.
     """
     rows = ordered(df.withColumn("_v", number(F.col("value"))), keys, micros("date"),
-                   ["date", "metric_id"], max_rows)
+                   ["date", "metric_id"], max_rows, F.col("metric_id"))
     here = F.struct(F.col("_v").alias("v"), micros("date").alias("t"))
     rows = rows.carry(_last=("last", here), _kind=("first", F.col("cumulative")))
     rows = rows.add(_prev=F.coalesce(F.lag(here).over(rows.window()), F.col("_last"), here),

@@ -108,7 +108,7 @@ def records(spark, sf) -> DataFrame:
     events = table(spark, sf, "events").select(
         F.col("user_id").alias("run_id"), (F.col("value") / 5).alias("value"), "ts", "event_id")
     first = events.groupBy("run_id").agg(F.min(micros("ts")).alias("_t0"))
-    return (ordinal(events, ["run_id"], micros("ts"), ["ts", "event_id"], "epoch")
+    return (ordinal(events, ["run_id"], micros("ts"), ["ts", "event_id"], "epoch", tie=F.col("event_id"))
             .join(first, "run_id")
             .withColumn("cumu_time", (micros("ts") - F.col("_t0")) / F.lit(1e6)).drop("_t0"))
 

@@ -18,7 +18,8 @@ def export_lines(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         "archive": F.concat(F.lit("metrics_"), safe_file_name(F.col("run_name"))),
         "file": F.concat(F.col("prefix"), F.lit("_"), F.col("name"), F.lit(".json"))})
     keys = ["archive", "file"]
-    placed = ordinal(files, keys, micros("date"), ["date", "metric_id"], "pos", max_rows)
+    placed = ordinal(files, keys, micros("date"), ["date", "metric_id"], "pos", max_rows,
+                     F.col("metric_id"))
     sample = F.to_json(F.struct(format_instant(F.col("date")).alias("date"),
                                 F.col("value").cast("string").alias("value"), "cumulative"))
     lines = placed.select(*keys, "pos", F.concat(F.when(F.col("pos") == 0, "[").otherwise(","), sample).alias("line"))
