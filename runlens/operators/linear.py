@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.functions.scores import UNROLL, cross_entropy, dot, in_top, loss_pair, sigmoid
 from runlens.session import new_dir
@@ -81,7 +82,8 @@ def rank_gradients(df: DataFrame, weights, kind: str, keys=("rank",), mean: bool
             out["_n"], out["_l"], out["_g"] = zip(*sums.values())
             yield out
 
-    schema = scored.select(*keys).schema.add("_n", "bigint").add("_l", "double").add("_g", "array<double>")
+    schema = scored.select(*keys).schema.add("_n", T.LongType()).add("_l", T.DoubleType()) \
+        .add("_g", T.ArrayType(T.DoubleType()))
     parts = scored.drop("_z", "_y").mapInPandas(partials, schema)
     totals = parts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_l").alias("_l"))
     added = (parts.select(*keys, F.posexplode("_g").alias("_pos", "_x")).groupBy(*keys, "_pos")

@@ -36,8 +36,7 @@ def ingest_stream(spark, sf):
     parts = _parts(rows.withColumn("_at", F.to_timestamp_ntz("date", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))), "_at")
     _run(spark, [p.drop("_at") for p in parts], lambda stream, checkpoint: jobs.start_ingest(
         stream, lambda: t.pods(spark, sf), lambda: t.runs(spark, sf), out, checkpoint))
-    return spark.read.parquet(out).select("metric_id", "status", "message", "found_pod", "found_run",
-                                          F.col("accepted").cast("boolean").alias("accepted"))
+    return jobs.ingested(spark, out).select("metric_id", "status", "message", "found_pod", "found_run", "accepted")
 
 
 @query(with_tables(METRICS, ARRIVALS, ACCEPTED) + "select metric_id, pod_id, name, date, value from accepted")

@@ -41,6 +41,11 @@ def start_ingest(events: DataFrame, pods, runs, out: str, checkpoint: str, trigg
     return _start(events, each, checkpoint, trigger)
 
 
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """Payloads judged so far, with ``accepted`` as a boolean."""
+    return spark.read.parquet(out).withColumn("accepted", F.col("accepted").cast("boolean"))
+
+
 def start_accept_newer(samples: DataFrame, arrival: str, out: str, state: str, checkpoint: str,
                        entity=("pod_id",), trigger: dict = None) -> StreamingQuery:
     """Keep samples newer than the mark of their (entity, metric); late ones are always dropped."""
