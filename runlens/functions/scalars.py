@@ -3,9 +3,9 @@
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import NumericType, StringType
 
 # Unit divisors, time patterns, line and name formats.
 NANO = 1e9
@@ -47,6 +47,13 @@ def number(value: Column) -> Column:
     return value.cast("string").try_cast("double")
 
 
+def numbers(df: DataFrame, name: str) -> Column:
+    """A column as doubles, parsed only where the table carries text."""
+    if isinstance(df.schema[name].dataType, NumericType):
+        return F.col(name).cast("double")
+    return number(F.col(name))
+
+
 def value_text(value: Column) -> Column:
     """Six decimals, as the trainer sends values."""
     return F.format_string(VALUE_FORMAT, value)
@@ -107,7 +114,7 @@ def run_dir(run_id: Column, dataset: Column, model: Column, optimizer: Column) -
 
 def run_of_dir(directory: Column) -> Column:
     """Run id of a checkpoint directory."""
-    return F.split_part(directory, F.lit("_"), F.lit(1))
+    return F.substring_index(directory, "_", 1)
 
 
 def checkpoint_file(epoch: Column, rank: Column) -> Column:

@@ -47,8 +47,17 @@ def local_rank(df: DataFrame, host: str = "host", rank: str = "rank", max_rows:
     return ordinal(df, [host], F.col(rank), [rank], "local_rank", max_rows)
 
 
-def restorable_epoch(checkpoints: DataFrame, run: str = "run_id") -> DataFrame:
-    """Last epoch that every worker of a run has saved; ``checkpoints(run, epoch, rank)``."""
+def restorable_epoch(checkpoints: DataFrame, run: str = "run_id", directory: str = None) -> DataFrame:
+    """Last epoch that every worker of a run has saved; ``checkpoints(run, epoch, rank)``.
+
+    With ``directory``, runs whose checkpoints lie in more than one directory cannot be restored and
+    are left out.
+    """
+    place = [directory] if directory else []
     per_rank = checkpoints.filter(F.col("epoch").isNotNull()) \
-        .groupBy(run, "rank").agg(F.max("epoch").alias("_last"))
-    return per_rank.groupBy(run).agg(F.min("_last").alias("epoch"))
+        .groupBy(run, *place, "rank").agg(F.max("epoch").alias("_last"))
+    last = F.min("_last").alias("epoch")
+    if not directory:
+        return per_rank.groupBy(run).agg(last)
+    single = F.min(directory) == F.max(directory)
+    return per_rank.groupBy(run).agg(last, single.alias("_single")).filter("_single").drop("_single")

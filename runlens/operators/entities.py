@@ -7,7 +7,7 @@ Fact tables are always the side a skew join may split.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.scalars import number, parse_flag, parse_instant
+from runlens.functions.scalars import parse_flag, parse_instant
 from runlens.operators.scan import MAX_ROWS, micros, ordered
 from runlens.operators.series import first_by_name
 
@@ -191,7 +191,3 @@ def active_runs(runs: DataFrame) -> DataFrame:
     """Number of started runs."""
     return runs.agg(F.count_if(F.col("state") == "started").alias("active"))
 
-
-def parsed_values(metrics: DataFrame) -> DataFrame:
-    """Metric values as numbers next to the stored text."""
-    return metrics.withColumn("number", number(F.col("value")))

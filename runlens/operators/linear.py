@@ -235,8 +235,9 @@ def _exact_steps(data: DataFrame, cfg: Training):
     def step(batch, weights):
         rows = rank_gradients(data.filter(F.col("batch_idx") == batch), weights, cfg.kind)
         if len(weights) <= UNROLL:
-            row = rows.agg(F.avg("loss"), *[F.avg(F.col("grad")[i]) for i in range(len(weights))]).first()
-            return row[0], np.array(row[1:])
+            # One short row per worker.
+            own = rows.select("loss", "grad").collect()
+            return float(np.mean([r["loss"] for r in own])), np.mean([r["grad"] for r in own], axis=0)
         # One number per feature, the loss at position -1.
         means = (rows.select(F.posexplode("grad").alias("i", "g"))
                  .unionByName(rows.select(F.lit(-1).alias("i"), F.col("loss").alias("g")))

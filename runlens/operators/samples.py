@@ -107,15 +107,17 @@ def hashed_position(df: DataFrame, keys, sample: str, seed: int, epoch: int = 0,
 
 
 def partition_samples(df: DataFrame, sample: str, fractions, seed: int = 42, epoch: int = 0,
-                      shuffle: bool = True, compat: bool = False, max_rows: int = MAX_ROWS) -> DataFrame:
+                      shuffle: bool = True, compat: bool = False, max_rows: int = MAX_ROWS,
+                      digits: int = HASH_DIGITS) -> DataFrame:
     """Split one permutation of the samples over workers; adds ``pos``, ``rank`` and ``pos_in_rank``.
 
     ``fractions`` is a number of equal workers or a list of shares. Bounds are exact; ``compat`` uses
     the float product instead, which can leave the last samples without a worker (dropped).
-    Without ``shuffle`` the samples are taken in id order.
+    Without ``shuffle`` the samples are taken in id order. ``digits`` sets the number of shuffle
+    buckets (16 to that power): raise it where rows / buckets would not fit a task.
     """
     if shuffle:
-        placed = hashed_position(df, [], sample, seed, epoch, total="_total")
+        placed = hashed_position(df, [], sample, seed, epoch, total="_total", digits=digits)
     else:
         placed = ordinal(df, [], F.col(sample), [sample], "pos", max_rows)
         placed = placed.withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
@@ -194,22 +196,19 @@ def check_registry(df: DataFrame, registry: DataFrame, name: str = "name") -> Da
     return joined.select("name", "samples", "features", "n_samples", "n_features", verdict.alias("verdict"))
 
 
-def _uniform(sample, seed: int, feature: Column, part: int) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(sample).cast("string"), F.lit(":"), feature.cast("string")))
-    number = F.conv(F.substring(digest, 1 + 12 * part, 12), 16, 10).cast("double")
-    return (number + 1) / float(1 << 48)
-
-
 def synthetic_classification(ids: DataFrame, sample: str, n_features: int = 100, informative: int = 90,
                              seed: int = 42) -> DataFrame:
     """Standard normal features per id and a class from the sign of a fixed form of the informative ones.
 
     Every value is a function of (seed, id, feature), so any executor can recompute any row.
     """
-    normal = F.transform(
-        F.sequence(F.lit(0), F.lit(n_features - 1)),
-        lambda j: F.sqrt(-2 * F.ln(_uniform(sample, seed, j, 0))) * F.cos(
-            2 * float(np.pi) * _uniform(sample, seed, j, 1)))
+    def uniform(digest, part):
+        number = F.conv(F.substring(digest, 1 + 12 * part, 12), 16, 10).cast("double")
+        return (number + 1) / float(1 << 48)
+
+    digests = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda j: F.md5(
+        F.concat(F.lit(f"{seed}:"), F.col(sample).cast("string"), F.lit(":"), j.cast("string"))))
+    normal = F.transform(digests, lambda d: F.sqrt(-2 * F.ln(uniform(d, 0))) * F.cos(2 * float(np.pi) * uniform(d, 1)))
     signed = F.transform(F.slice("features", 1, informative),
                          lambda x, j: F.when(j % 2 == 0, x).otherwise(-x))
     form = F.aggregate(signed, F.lit(0.0), lambda a, b: a + b)

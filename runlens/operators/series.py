@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.scalars import has_labels, health, number
+from runlens.functions.scalars import has_labels, health, numbers
 from runlens.operators.scan import MAX_ROWS, micros, ordered
 
 PAGE_ROWS = 10_000
@@ -107,7 +107,7 @@ def counter_rate(df: DataFrame, keys=("pod_id", "name"), max_rows: int = MAX_ROW
     A series counts as cumulative if its first sample says so. The first sample has rate 0, and time
     steps below one millisecond count as one.
     """
-    rows = ordered(df.withColumn("_v", number(F.col("value"))), keys, micros("date"),
+    rows = ordered(df.withColumn("_v", numbers(df, "value")), keys, micros("date"),
                    ["date", "metric_id"], max_rows, F.col("metric_id"))
     here = F.struct(F.col("_v").alias("v"), micros("date").alias("t"))
     rows = rows.carry(_last=("last", here), _kind=("first", F.col("cumulative")))

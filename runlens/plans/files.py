@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from runlens.functions.scalars import cpu_cores, cpu_quantity, safe_file_name
+from runlens.functions import scalars
 from runlens.operators import entities, linear
 from runlens.operators.resume import resume as resume_state
 from runlens.operators.resume import store
@@ -74,17 +74,17 @@ def snapshots(spark, sf):
     return out.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
-LOG = """kinds as (select user_id as worker, user_id as rank, event_id, ts as moment, date_trunc('second', ts) as ts,
+LOG = """kinds as (select cast(ts as date) as day, user_id as rank, event_id, ts as moment, date_trunc('second', ts) as ts,
    case event_type when 'view' then 'train' when 'click' then 'epoch' when 'signup' then 'validation'
      when 'purchase' then 'best' else 'other' end as kind, value from events),
  parsed as (select *, case when kind in ('epoch', 'best') then event_id end as own from kinds)"""
 
 
-@query(f"with {LOG}" + """ select worker, rank, ts, kind, last_value(own ignore nulls) over (partition by worker
+@query(f"with {LOG}" + """ select day, rank, ts, kind, last_value(own ignore nulls) over (partition by day, rank
    order by moment, event_id rows between unbounded preceding and current row) as epoch,
  case when kind = 'train' then event_id end as batch, case when kind = 'best' then 'Prec@1' end as metric,
  case when kind = 'best' then user_best end as best_epoch,
- case when kind = 'epoch' then worker::double when kind <> 'other' then value end as value
+ case when kind = 'epoch' then rank::double when kind <> 'other' then value end as value
  from (select *, event_id // 2 as user_best from parsed)""")
 def worker_logs(spark, sf):
     path = new_dir(spark, "logs")
@@ -100,11 +100,11 @@ def worker_logs(spark, sf):
     (t.table(spark, sf, "events")
      .withColumn("line", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" trainer "),
                                   F.col("user_id").cast("string"), F.lit(" INFO: "), message))
-     .withColumn("worker", F.col("user_id"))
-     .repartitionByRange("worker", "ts", "event_id").sortWithinPartitions("worker", "ts", "event_id")
-     .select("worker", "line").write.partitionBy("worker").text(path))
+     .withColumn("day", F.to_date("ts"))
+     .repartitionByRange("ts", "event_id").sortWithinPartitions("day", "ts", "event_id")
+     .select("day", "line").write.partitionBy("day").text(path))
     out = logs.parse_worker_logs(logs.read_worker_logs(spark, path))
-    return out.select(F.regexp_extract("source", r"worker=(\d+)$", 1).cast("bigint").alias("worker"), "rank",
+    return out.select(F.regexp_extract("source", r"day=([0-9-]+)$", 1).cast("date").alias("day"), "rank",
                       F.col("ts").cast("timestamp_ntz").alias("ts"), "kind", "epoch", "batch", "metric",
                       "best_epoch", "value")
 
@@ -147,14 +147,14 @@ def export_run(spark, sf):
  joined as (select doc_id, regexp_replace(trim(regexp_replace(s, '[/\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')), ' ', '_', 'g') as s from words)
 select doc_id, md5(trim(regexp_replace(s, '[^A-Za-z0-9_.-]', '', 'g'), '._')) as digest from joined""")
 def safe_filename(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", F.md5(safe_file_name(F.col("text"))).alias("digest"))
+    return t.table(spark, sf, "documents").select("doc_id", F.md5(scalars.safe_file_name(F.col("text"))).alias("digest"))
 
 
 @query(with_tables(JOBS) + """select run_id, cast(owner / 4.0::double * 1000 as varchar) || 'm' as quantity,
  owner / 4.0::double as cores from jobs""")
-def cpu_quantities(spark, sf):
-    out = t.jobs(spark, sf).select("run_id", cpu_quantity(F.col("owner") / 4.0).alias("quantity"))
-    return out.withColumn("cores", cpu_cores(F.col("quantity")))
+def cpu_quantity(spark, sf):
+    out = t.jobs(spark, sf).select("run_id", scalars.cpu_quantity(F.col("owner") / 4.0).alias("quantity"))
+    return out.withColumn("cores", scalars.cpu_cores(F.col("quantity")))
 
 
 @query(_training_sql(2, 3))

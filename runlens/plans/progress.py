@@ -8,7 +8,7 @@ from runlens.operators import collective, progress
 from runlens.plans import tables as t
 from runlens.plans.registry import query
 from runlens.plans.tables import JOBS, LOSSES, PODS, RECORDS, with_tables
-from runlens.sources.checkpoints import parse_checkpoint_paths, single_run_dirs
+from runlens.sources.checkpoints import parse_checkpoint_paths
 
 TARGET = 70.0
 BUDGET = 7200.0 * 24
@@ -155,7 +155,7 @@ def checkpoint_paths(spark, sf):
         checkpoint_file(F.col("l_quantity").cast("bigint"), F.col("l_linenumber"))).alias("path"))
 
 
-@query(with_tables(CHECKPOINTS) + """select '/ckpt/' || dir || '/' || epoch || '_' || rank || '.pth.tar' as path, run_id,
+@query(with_tables(CHECKPOINTS) + """select '/ckpt/' || dir || '/' || epoch || '_' || rank || '.pth.tar' as path, dir as directory, run_id,
  'set' as dataset, 'net' as model, 'sgd' as optimizer, epoch, rank, false as is_best from checkpoints""")
 def checkpoint_listing(spark, sf):
     return parse_checkpoint_paths(checkpoint_paths(spark, sf))
@@ -165,7 +165,7 @@ def checkpoint_listing(spark, sf):
  from checkpoints group by run_id, rank) group by run_id""")
 def restorable_epoch(spark, sf):
     listed = parse_checkpoint_paths(checkpoint_paths(spark, sf))
-    return collective.restorable_epoch(single_run_dirs(listed))
+    return collective.restorable_epoch(listed, directory="directory")
 
 
 @query(with_tables(PODS) + """select node_name as host, pod_id as rank,

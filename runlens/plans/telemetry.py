@@ -104,6 +104,13 @@ def metric_names(spark, sf):
     return series.metric_names(t.pod_metrics(spark, sf), ["pod_id"])
 
 
+@query("select p_name as name, min(p_partkey) as part, arg_min(p_brand, p_partkey) as brand from part group by p_name")
+def first_by_name(spark, sf):
+    parts = t.table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("part"),
+                                              F.col("p_brand").alias("brand"))
+    return series.first_by_name(parts, key="part")
+
+
 @query(with_tables(PODS, METRICS) + """select p.name as pod_name, m.metric_id, m.name, m.date, m.value
  from metrics m join (select name, min(pod_id) as pod_id from pods group by name) p using (pod_id)
  where p.name in (select name from pods where phase = 'Running')""")

@@ -10,15 +10,13 @@ POLICIES = ("never", "all", "best")
 
 def parse_checkpoint_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     """Run, dataset, model, optimizer, epoch and rank of ``.../<run>_<dataset>_<model>_<opt>/<epoch>_<rank>...``."""
-    directory = F.element_at(F.split(path, "/"), -2)
-    file_name = F.element_at(F.split(path, "/"), -1)
-    parts = F.split(F.col("directory"), "_")
-    out = paths.withColumns({"directory": directory, "file": file_name})
-    return out.withColumns({
-        "run_id": run_of_dir(F.col("directory")), "dataset": F.get(parts, F.lit(1)),
-        "model": F.get(parts, F.lit(2)), "optimizer": F.get(parts, F.lit(3)),
-        "epoch": checkpoint_epoch(F.col("file")), "rank": checkpoint_rank(F.col("file")),
-        "is_best": F.col("file") == BEST_CHECKPOINT}).drop("directory", "file")
+    out = paths.withColumns({
+        "directory": F.substring_index(F.substring_index(path, "/", -2), "/", 1),
+        "_file": F.substring_index(path, "/", -1)})
+    parts = {name: F.split_part("directory", F.lit("_"), F.lit(i))
+             for i, name in enumerate(("dataset", "model", "optimizer"), start=2)}
+    return out.withColumns({"run_id": run_of_dir(F.col("directory")), **parts, "epoch": checkpoint_epoch(F.col("_file")), "rank": checkpoint_rank(F.col("_file")),
+                            "is_best": F.col("_file") == BEST_CHECKPOINT}).drop("_file")
 
 
 def list_checkpoints(spark: SparkSession, root: str) -> DataFrame:
@@ -28,13 +26,6 @@ def list_checkpoints(spark: SparkSession, root: str) -> DataFrame:
     return parse_checkpoint_paths(files)
 
 
-def single_run_dirs(checkpoints: DataFrame) -> DataFrame:
-    """Runs with exactly one checkpoint directory, the only ones that can be restored."""
-    where = F.concat_ws("_", "run_id", "dataset", "model", "optimizer")
-    found = checkpoints.groupBy("run_id").agg(F.count_distinct(where).alias("_n")).filter("_n = 1")
-    return checkpoints.join(found.select("run_id"), "run_id", "left_semi")
-
-
 def save_state(weights: DataFrame, meta: DataFrame, path: str, run_id: str, attempt: int, epoch: int,
                policy: str = "all", is_best: bool = False) -> None:
     """Store ``weights(idx, value, buffer)`` and the one-row ``meta`` of an epoch.

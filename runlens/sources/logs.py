@@ -56,14 +56,18 @@ def parse_worker_logs(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 def explode_job_output(jobs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Lines of captured output numbered per (run, stream); ``jobs(run_id, chunk_no, stdout, stderr)``."""
-    streams = jobs.select("run_id", "chunk_no", F.explode(F.create_map(
-        F.lit("stdout"), F.col("stdout"), F.lit("stderr"), F.col("stderr"))).alias("stream", "text"))
-    body = F.regexp_replace("text", rf"(?:{LINE_BREAK})\z", "")
-    chunks = streams.filter(F.length("text") > 0) \
-        .withColumn("_lines", F.split(body, LINE_BREAK, -1)).withColumn("_n", F.size("_lines").cast("bigint"))
-    rows = ordered(chunks, ["run_id", "stream"], F.col("chunk_no"), ["chunk_no"], max_rows)
-    rows = rows.carry(_before=("sum", F.col("_n")))
-    start = F.coalesce(F.sum("_n").over(rows.before()), F.lit(0)) + F.coalesce(F.col("_before"), F.lit(0))
-    return (rows.add(_start=start).df
-            .select("run_id", "stream", "_start", F.posexplode("_lines").alias("_pos", "line"))
-            .select("run_id", "stream", (F.col("_start") + F.col("_pos")).alias("line_no"), "line"))
+    streams = ("stdout", "stderr")
+    rows = ordered(jobs, ["run_id"], F.col("chunk_no"), ["chunk_no"], max_rows)
+    rows = rows.add(**{s: F.coalesce(F.split(s, LINE_BREAK, -1), F.array().cast("array<string>")) for s in streams})
+    # A break at the very end of a chunk opens no further line.
+    rows = rows.add(**{s: F.when(F.try_element_at(s, F.lit(-1)) == "", F.slice(s, 1, F.size(s) - 1)).otherwise(F.col(s))
+                       for s in streams})
+    sizes = {s: F.size(s).cast("bigint") for s in streams}
+    rows = rows.carry(**{f"_{s}": ("sum", sizes[s]) for s in streams})
+    start = {s: F.coalesce(F.sum(sizes[s]).over(rows.before()), F.lit(0)) + F.coalesce(F.col(f"_{s}"), F.lit(0))
+             for s in streams}
+    return (rows.add(_parts=F.array(*[F.struct(F.lit(s).alias("stream"), start[s].alias("start"),
+                                               F.col(s).alias("lines")) for s in streams]))
+            .df.select("run_id", F.inline("_parts"))
+            .select("run_id", "stream", "start", F.posexplode("lines").alias("_pos", "line"))
+            .select("run_id", "stream", (F.col("start") + F.col("_pos")).alias("line_no"), "line"))

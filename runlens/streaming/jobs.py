@@ -17,8 +17,15 @@ from runlens.operators.series import SHARED_MARK, accept_newer, counter_rate
 
 
 def _start(stream: DataFrame, each, checkpoint: str, trigger: dict, mode: str = "append") -> StreamingQuery:
+    def once(batch, batch_id):
+        # A trigger reads its rows several times: for the operator, its state and its output.
+        batch = batch.persist()
+        try:
+            each(batch, batch_id)
+        finally:
+            batch.unpersist()
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).foreachBatch(each).start())
+            .trigger(**(trigger or {"availableNow": True})).foreachBatch(once).start())
 
 
 def _folder(path: str, batch_id: int) -> str:

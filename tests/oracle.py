@@ -16,7 +16,7 @@ DATA = "/root/testdata/sf{}"
 def session(partitions=8) -> SparkSession:
     return (SparkSession.builder.master("local[8]").appName("runlens-tests")
             .config("spark.sql.shuffle.partitions", str(partitions))
-            .config("spark.ui.enabled", "false")
+            .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "8g")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -129,7 +129,7 @@ def test_checkpoint_files(spark, tmp_path):
     listed = checkpoints.list_checkpoints(spark, str(tmp_path))
     assert listed.filter("is_best").count() == 1
     assert {(r["run_id"], r["optimizer"]) for r in listed.collect()} == {("7", "sgd"), ("8", "c"), ("8", "d")}
-    got = collective.restorable_epoch(checkpoints.single_run_dirs(listed)).collect()
+    got = collective.restorable_epoch(listed, directory="directory").collect()
     assert [(r["run_id"], r["epoch"]) for r in got] == [("7", 10)]
 
 
