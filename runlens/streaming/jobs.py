@@ -16,16 +16,20 @@ from runlens.operators.scan import micros
 from runlens.operators.series import SHARED_MARK, accept_newer, counter_rate
 
 
-def _start(stream: DataFrame, each, checkpoint: str, trigger: dict, mode: str = "append") -> StreamingQuery:
-    def once(batch, batch_id):
-        # A trigger reads its rows several times: for the operator, its state and its output.
+def _reused(each):
+    """Keep a trigger's rows while it works: the operator, its state and its output all read them."""
+    def run(batch, batch_id):
         batch = batch.persist()
         try:
             each(batch, batch_id)
         finally:
             batch.unpersist()
+    return run
+
+
+def _start(stream: DataFrame, each, checkpoint: str, trigger: dict, mode: str = "append") -> StreamingQuery:
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).foreachBatch(once).start())
+            .trigger(**(trigger or {"availableNow": True})).foreachBatch(each).start())
 
 
 def _folder(path: str, batch_id: int) -> str:
@@ -71,7 +75,7 @@ def start_accept_newer(samples: DataFrame, arrival: str, out: str, state: str, c
         kept.write.mode("overwrite").parquet(_folder(out, batch_id))
         (before.unionByName(fresh).groupBy(*keys).agg(F.max("_mark").alias("_mark"))
          .write.mode("overwrite").parquet(_folder(state, batch_id)))
-    return _start(samples, each, checkpoint, trigger)
+    return _start(samples, _reused(each), checkpoint, trigger)
 
 
 def start_counter_rate(samples: DataFrame, out: str, state: str, checkpoint: str, keys=("pod_id", "name"),
@@ -100,7 +104,7 @@ def start_counter_rate(samples: DataFrame, out: str, state: str, checkpoint: str
          .select(*keys, "_row.*").join(kinds, keys, "left")
          .withColumn("cumulative", F.coalesce("_first", "cumulative")).select(*batch.columns)
          .write.mode("overwrite").parquet(_folder(state, batch_id)))
-    return _start(samples, each, checkpoint, trigger)
+    return _start(samples, _reused(each), checkpoint, trigger)
 
 
 def read_since(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
@@ -137,7 +141,7 @@ def start_inventory(observed: DataFrame, initial: DataFrame, table: str, changes
         (refreshed.drop("changed").write.mode("overwrite").parquet(_folder(table, batch_id)))
         (moved.unionByName(refreshed.filter("changed").drop("changed").withColumn("action", F.lit("phase")))
          .write.mode("overwrite").parquet(_folder(changes, batch_id)))
-    return _start(observed, each, checkpoint, trigger or {"availableNow": True})
+    return _start(observed, _reused(each), checkpoint, trigger or {"availableNow": True})
 
 
 def best_stream(records: DataFrame, target: float, run: str = "run_id", step: str = "epoch",
