@@ -206,15 +206,38 @@ def train_ridge_moments(spark, sf):
     return outcome(spark, state, history)
 
 
-@query()
+def _logistic_sql(epochs: int) -> str:
+    """Full-batch training on the first 80 % of the permutation, evaluated on the rest."""
+    parts = [ORDER_SAMPLES, placed_sql(1), f"""split as (select x0, x1, x2, case when class < '3' then 1.0::double else 0.0::double end as y,
+   pos >= total * 8 // 10 as held, ((pos + 1) * {WORLD} - 1) // (total * 8 // 10) as rank
+   from (select *, count(*) over () as total from placed) join order_samples on id = sample_id)""",
+             "w0 as (select 0.0::double as a0, 0.0::double as a1, 0.0::double as a2)"]
+    z = "(x0 * a0 + x1 * a1 + x2 * a2)"
+    bce = f"ln(1 + exp(-abs({z}))) + greatest({z}, 0) - {z} * y"
+    size = "0.0005::double * (a0 * a0 + a1 * a1 + a2 * a2)"
+    rows = []
+    for n in range(epochs):
+        means = ", ".join(f"avg((1 / (1 + exp(-{z})) - y) * x{i}) as g{i}" for i in range(3))
+        parts.append(f"r{n} as (select rank, avg({bce} + {size}) as loss, {means} from split, w{n} where not held group by rank)")
+        parts.append(f"s{n} as (select avg(loss) as loss, avg(g0) as g0, avg(g1) as g1, avg(g2) as g2 from r{n})")
+        parts.append(f"w{n + 1} as (select " + ", ".join(
+            f"a{i} - 0.5::double * (g{i} + 0.001::double * a{i}) as a{i}" for i in range(3)) + f" from w{n}, s{n})")
+        at = f"{n}::bigint as epoch, {n + 1}::bigint as step"
+        rows += [f"select {at}, 'train_loss' as name, round(loss, 9) as value from s{n}", f"select {at}, 'lr', 0.5::double",
+                 f"select {at}, 'val_loss', round(avg({bce} + {size}), 9) from split, w{n + 1} where held",
+                 f"select {at}, 'hits', round(100 * avg((({z} > 0) = (y > 0.5))::int), 9) from split, w{n + 1} where held"]
+    return with_tables(*parts) + " union all ".join(rows)
+
+
+@query(_logistic_sql(3))
 def train_logistic(spark, sf):
     data = t.order_samples(spark, sf).withColumn("label", F.when(F.col("class") < "3", 1.0).otherwise(0.0))
     split = samples.partition_samples(data, "sample_id", [0.8, 0.2])
     keep = ["sample_id", "features", "label"]
-    cfg = linear.Training("BCE", WORLD, 1 << 30, 3, 0.5, "epoch", l2=0.001, eval_every=1,
+    cfg = linear.Training("BCE", WORLD, 1 << 30, 3, 0.5, "epoch", l2=0.001,
                           metrics={"hits": lambda z, y: F.when((z > 0) == (y > 0.5), 100.0).otherwise(0.0)})
     _, history = linear.train(split.filter("rank = 0").select(*keep), split.filter("rank = 1").select(*keep), START, cfg)
-    return history
+    return history.select("epoch", "step", "name", F.round("value", 9).alias("value"))
 
 
 @query(with_tables(RIDGE, "w0 as (select 0.0::double as a0, 0.0::double as a1, 0.0::double as a2)", *[

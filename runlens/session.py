@@ -18,10 +18,21 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply ``SETTINGS`` to a session and return it."""
+# Input bytes per shuffle partition; adaptive execution merges partitions that turn out small.
+PARTITION_BYTES = 256 << 20
+
+
+def tune(spark: SparkSession, input_bytes: int = None) -> SparkSession:
+    """Apply ``SETTINGS`` to a session and return it.
+
+    With the size of the input the number of shuffle partitions grows to match; it never shrinks.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if input_bytes:
+        wanted = -(-input_bytes // PARTITION_BYTES)
+        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark
 
 
