@@ -9,14 +9,15 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions.scores import UNROLL, cross_entropy, dot, in_top, loss_pair, sigmoid
-from runlens.session import new_dir
+from runlens.operators.collective import elementwise
 from runlens.operators.samples import batches, limit_batches, partition_samples, reshuffled
+from runlens.session import new_dir, settled
 
 
 def predict_ridge(df: DataFrame, weights) -> DataFrame:
@@ -47,6 +48,43 @@ def norms(weights: DataFrame, keys=(), value: str = "value") -> DataFrame:
                                       F.sum(F.col(value) * F.col(value)).alias("norm2_squared"))
 
 
+# The losses again for a task's matrix of wide rows: (loss, derivative by the score).
+MATRIX_LOSSES = {
+    "BCE": (lambda z, y: np.logaddexp(0.0, z) - z * y, lambda z, y: 0.5 * (1 + np.tanh(0.5 * z)) - y),
+    "MSE": (lambda z, y: (z - y) ** 2, lambda z, y: 2 * (z - y)),
+}
+
+
+def _matrix_sums(df: DataFrame, weights, kind: str, keys) -> DataFrame:
+    """Per key and task: array of row count, loss sum and gradient sums, from one product per Arrow batch."""
+    w = np.asarray(weights, dtype=float)
+    matrix_loss, matrix_slope = MATRIX_LOSSES[kind]
+
+    def partials(arrow_batches):
+        sums = {}
+        for batch in arrow_batches:
+            if batch.num_rows == 0:
+                continue
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(w))
+            y = batch.column("_y").to_numpy(zero_copy_only=False)
+            z = x @ w
+            owners = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            codes = {key: i for i, key in enumerate(dict.fromkeys(owners))}
+            code = np.array([codes[o] for o in owners])
+            member = (code[None, :] == np.arange(len(codes))[:, None]).astype(float)
+            block = np.column_stack([member.sum(axis=1), member @ matrix_loss(z, y),
+                                     (member * matrix_slope(z, y)) @ x])
+            for key, i in codes.items():
+                sums[key] = sums[key] + block[i] if key in sums else block[i]
+        if sums:
+            columns = [pa.array(column) for column in zip(*sums)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([v.tolist() for v in sums.values()])], [*keys, "_sums"])
+
+    rows = df.select(*keys, F.col("features").cast("array<double>").alias("features"),
+                     F.col("label").cast("double").alias("_y"))
+    return rows.mapInArrow(partials, rows.select(*keys).schema.add("_sums", T.ArrayType(T.DoubleType())))
+
+
 def rank_gradients(df: DataFrame, weights, kind: str, keys=("rank",), mean: bool = True) -> DataFrame:
     """Per worker (or other ``keys``): samples ``n``, loss, and gradient of the mean (or summed) loss.
 
@@ -55,43 +93,21 @@ def rank_gradients(df: DataFrame, weights, kind: str, keys=("rank",), mean: bool
     """
     keys = list(keys)
     row_loss, slope = loss_pair(kind)
-    fold = F.avg if mean else F.sum
-    y = F.col("label").cast("double")
-    z = dot(F.col("features"), weights)
-    scored = df.select(*keys, "features", y.alias("_y"), z.alias("_z")) \
-        .withColumn("_slope", slope(F.col("_z"), F.col("_y"))) \
-        .withColumn("_loss", row_loss(F.col("_z"), F.col("_y")))
     width = len(weights)
     if width <= UNROLL:
+        fold = F.avg if mean else F.sum
+        y = F.col("label").cast("double")
+        scored = df.select(*keys, "features", y.alias("_y"), dot(F.col("features"), weights).alias("_z")) \
+            .withColumns({"_slope": slope(F.col("_z"), F.col("_y")), "_loss": row_loss(F.col("_z"), F.col("_y"))})
         out = scored.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), fold("_loss").alias("loss"),
             *[fold(F.col("_slope") * F.col("features")[i]).alias(f"_g{i}") for i in range(width)])
         return out.select(*keys, "n", "loss", F.array(*[f"_g{i}" for i in range(width)]).alias("grad"))
-
-    def partials(frames):
-        sums = {}
-        for frame in frames:
-            for key, part in frame.groupby(keys, dropna=False):
-                x = np.stack(part["features"].to_numpy())
-                own = sums.setdefault(key, [0, 0.0, np.zeros(width)])
-                own[0] += len(part)
-                own[1] += float(part["_loss"].sum())
-                own[2] += part["_slope"].to_numpy() @ x
-        if sums:
-            out = pd.DataFrame(list(sums), columns=keys)
-            out["_n"], out["_l"], out["_g"] = zip(*sums.values())
-            yield out
-
-    schema = scored.select(*keys).schema.add("_n", T.LongType()).add("_l", T.DoubleType()) \
-        .add("_g", T.ArrayType(T.DoubleType()))
-    parts = scored.drop("_z", "_y").mapInPandas(partials, schema)
-    totals = parts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_l").alias("_l"))
-    added = (parts.select(*keys, F.posexplode("_g").alias("_pos", "_x")).groupBy(*keys, "_pos")
-             .agg(F.sum("_x").alias("_x")).groupBy(*keys)
-             .agg(F.array_sort(F.collect_list(F.struct("_pos", "_x"))).alias("_all")))
-    by = F.col("n") if mean else F.lit(1)
-    return totals.join(added, keys).select(
-        *keys, "n", (F.col("_l") / by).alias("loss"), F.transform("_all", lambda e: e["_x"] / by).alias("grad"))
+    sums = elementwise(_matrix_sums(df, weights, kind, keys), keys, "_sums")
+    n = F.col("_sums")[0]
+    by = n if mean else F.lit(1.0)
+    return sums.select(*keys, n.cast("bigint").alias("n"), (F.col("_sums")[1] / by).alias("loss"),
+                       F.transform(F.slice("_sums", 3, width), lambda g: g / by).alias("grad"))
 
 
 def gradient(df: DataFrame, weights, kind: str, l1: float = 0.0, l2: float = 0.0,
@@ -271,12 +287,13 @@ def _moment_steps(data: DataFrame, width: int):
 
 
 def train(train_df: DataFrame, val_df: DataFrame, weights, cfg: Training, sample: str = "sample_id",
-          state: State = None, save=None) -> tuple:
+          state: State = None, save=None, history_path: str = None) -> tuple:
     """Synchronous mini-batch training: (final state, history table).
 
     Each step averages the workers' mean gradients; the last short batch of a worker counts as much
     as a full one. ``save(state, is_best)`` is called after every evaluated epoch. A state from an
-    earlier run continues at its next epoch with its clock.
+    earlier run continues at its next epoch with its clock. With ``history_path`` the history of each
+    epoch is written there when the epoch ends, otherwise it is kept until the end.
     """
     spark = train_df.sparkSession
     state = state or State(np.asarray(weights, dtype=float))
@@ -320,9 +337,41 @@ def train(train_df: DataFrame, val_df: DataFrame, weights, cfg: Training, sample
                     state.best, state.best_epoch = primary, epoch
             if save is not None:
                 save(state, is_best)
+        if history_path is not None:
+            spark.createDataFrame(history, HISTORY).write.mode("overwrite").parquet(f"{history_path}/part={epoch}")
+            history = []
+    if history_path is not None:
+        return state, spark.read.schema(HISTORY).parquet(history_path)
     return state, spark.createDataFrame(history, HISTORY)
 
 
+def train_table(triplets: DataFrame, labels: DataFrame, weights: DataFrame, cfg: Training,
+                sample: str = "sample_id") -> DataFrame:
+    """As ``train`` for sparse rows and weights of any number: returns the table (idx, value, buffer).
+
+    ``triplets(sample, idx, val)``, ``labels(sample, label)``, ``weights(idx, value)``. Weights are
+    written after every step, which ends its lineage.
+    """
+    placed = partition_samples(labels, sample, cfg.world_size, cfg.seed, 0, cfg.shuffle)
+    placed = limit_batches(batches(placed, cfg.batch_size), cfg.max_batches).select(sample, "label", "rank", "batch_idx")
+    spark, path = labels.sparkSession, new_dir(labels.sparkSession, "batches")
+    placed.repartitionByRange("batch_idx", sample).sortWithinPartitions("batch_idx").write.parquet(f"{path}/labels")
+    placed = spark.read.parquet(f"{path}/labels")
+    (triplets.join(placed.select(sample, "batch_idx"), sample)
+     .repartitionByRange("batch_idx", sample, "idx").sortWithinPartitions("batch_idx").write.parquet(f"{path}/triplets"))
+    triplets = spark.read.parquet(f"{path}/triplets")
+    steps, done = (placed.agg(F.max("batch_idx")).first()[0] or 0) + 1, 0
+    for epoch in range(cfg.epochs):
+        for batch in range(steps):
+            counter = done if cfg.rate_level == "batch" else epoch
+            lr = cfg.rate(counter) if callable(cfg.rate) else cfg.rate
+            mine = F.col("batch_idx") == batch
+            grads = gradient_table(triplets.filter(mine), placed.filter(mine), weights, cfg.kind, cfg.l1, cfg.l2, sample)
+            weights = settled(sgd_table(weights, grads, lr, cfg.momentum, cfg.weight_decay, cfg.nesterov))
+            done += 1
+    return weights
+
+
 def train_local_sgd(df: DataFrame, weights, rounds: int, lr: float) -> np.ndarray:
     """Each worker steps along its summed squared error, then weights are averaged; one job per round.
 

@@ -104,6 +104,26 @@ def test_moments_need_squared_error(spark):
         linear.train(df, None, np.zeros(2), linear.Training("BCE", 1, 5, mode="moments"))
 
 
+def test_table_training_equals_vector_training(spark):
+    _, _, _, df = make(spark, 50, 4)
+    df = df.withColumn("features", F.transform("features", lambda v: F.when(v > 0, v).otherwise(0.0)))
+    cfg = linear.Training("MSE", 2, 10, 2, lambda s: 0.1 / (1 + s), momentum=0.9, nesterov=True, weight_decay=0.01, l1=0.001)
+    state, _ = linear.train(df, None, np.zeros(4), cfg)
+    table = linear.train_table(samples.to_triplets(df), df.select("sample_id", "label"), linear.weights_table(spark, np.zeros(4)), cfg)
+    rows = table.orderBy("idx").collect()
+    assert [r["value"] for r in rows] == pytest.approx(list(state.weights))
+    assert [r["buffer"] for r in rows] == pytest.approx(list(state.buffer))
+
+
+def test_history_written_per_epoch(spark, tmp_path):
+    _, _, _, df = make(spark, 40, 2)
+    cfg = linear.Training("MSE", 2, 10, 2, 0.1)
+    _, kept = linear.train(df, df, np.zeros(2), cfg)
+    _, written = linear.train(df, df, np.zeros(2), cfg, history_path=str(tmp_path / "h"))
+    columns = ["epoch", "step", "name", F.round("value", 9).alias("value")]
+    assert sorted(map(tuple, kept.select(*columns).collect())) == sorted(map(tuple, written.select(*columns).collect()))
+
+
 def test_wide_training_step(spark):
     x, y, _, df = make(spark, 40, 70)
     state, _ = linear.train(df, None, np.zeros(70), linear.Training("MSE", 1, 100, 1, 0.01))
