@@ -48,19 +48,30 @@ def active_time(events: DataFrame, keys, date: str = "ts", kind: str = "kind", t
     """
     rows = ordered(events, keys, micros(date), [date, tie], max_rows, F.col(tie))
     here = F.struct(F.col(kind).alias("k"), micros(date).alias("t"))
-    rows = rows.carry(_last=("last", here))
-    before = F.coalesce(F.lag(here).over(rows.window()), F.col("_last"))
-    rows = rows.add(_prev=before)
-    gap = F.when(F.col("_prev.k") != "pause", micros(date) - F.col("_prev.t")).otherwise(0)
-    rows = rows.add(_gap=F.coalesce(gap, F.lit(0)).cast("bigint"))
-    rows = rows.carry(_base=("sum", F.col("_gap")))
-    rows = rows.add(_clock=F.sum("_gap").over(rows.running()) + F.coalesce(F.col("_base"), F.lit(0)))
-    closed = F.when(F.col(kind) == "pause", F.col("_clock"))
-    rows = rows.carry(_closed=("max", closed))
-    credited = F.coalesce(F.greatest(F.max(closed).over(rows.running()), F.col("_closed")), F.lit(0))
+
+    def gap(before):
+        running = F.when(before["k"] != "pause", micros(date) - before["t"])
+        return F.coalesce(running, F.lit(0)).cast("bigint")
+
+    pause = F.col(kind) == "pause"
+    rows = rows.add(_gap=gap(F.lag(here).over(rows.window())))
+    rows = rows.add(_clock=F.sum("_gap").over(rows.running()))
+    credited = F.max(F.when(pause, F.col("_clock"))).over(rows.running())
+    if rows.split:
+        # Clocks above start at 0 in each segment; the table says how far earlier segments had come.
+        order = rows.segments_in_order()
+        table = rows.segment_table(
+            _start=F.min(micros(date)), _last=rows.last(here), _total=F.sum("_gap"),
+            _closed=F.max(F.when(pause, F.col("_clock")))).withColumn("_prev", F.lag("_last").over(order))
+        bridge = F.when(F.col("_prev.k") != "pause", F.col("_start") - F.col("_prev.t"))
+        table = table.withColumn("_bridge", F.coalesce(bridge, F.lit(0)))
+        table = table.withColumn("_base", F.sum(F.col("_bridge") + F.col("_total")).over(order) - F.col("_total"))
+        table = table.withColumn("_before", F.max(F.col("_closed") + F.col("_base")).over(rows.earlier()))
+        rows = rows.attach(table.select(*rows.keys, rows.by[-1], "_base", "_before"))
+        credited = F.coalesce(credited + F.coalesce(F.col("_base"), F.lit(0)), F.col("_before"))
     start = F.lit(0.0) if offset is None else offset
-    return rows.add(active=start + credited / F.lit(1e6)) \
-        .result().drop("_last", "_prev", "_gap", "_base", "_clock", "_closed")
+    return rows.add(active=start + F.coalesce(credited, F.lit(0)) / F.lit(1e6)) \
+        .result().drop("_gap", "_clock", "_base", "_before")
 
 
 def within_budget(df: DataFrame, time: str, seconds: float) -> DataFrame:

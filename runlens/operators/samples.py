@@ -101,7 +101,8 @@ def hashed_position(df: DataFrame, keys, sample: str, seed: int, epoch: int = 0,
     offsets = counts.select(*keys, "_bucket",
                             F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"), *extra)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_key", sample)
-    return (hashed.join(offsets, [*keys, "_bucket"])
+    # Every bucket has its offset; as a left join the hash is not computed once more to test for null.
+    return (hashed.join(offsets, [*keys, "_bucket"], "left")
             .withColumn(name, F.row_number().over(inside).cast("bigint") - 1 + F.col("_before"))
             .drop("_key", "_bucket", "_before"))
 

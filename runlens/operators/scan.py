@@ -90,21 +90,35 @@ class Ordered:
                                                    types[n].dataType.typeName() in ("integer", "long")
                                                    else types[n].dataType)
                                for n, (kind, _) in wanted.items()})
-        position = F.struct(*self.order)
-        fold = {"sum": F.sum, "max": F.max, "min": F.min,
-                "last": lambda c: F.max_by(c, F.when(c.isNotNull(), position)),
-                "first": lambda c: F.min_by(c, F.when(c.isNotNull(), position))}
+        fold = {"sum": F.sum, "max": F.max, "min": F.min, "last": self.last, "first": self.first}
         over = {"sum": F.sum, "max": F.max, "min": F.min,
                 "last": lambda c: F.last(c, ignorenulls=True),
                 "first": lambda c: F.first(c, ignorenulls=True)}
-        earlier = (Window.partitionBy(*self.keys).orderBy(SEGMENT)
-                   .rowsBetween(Window.unboundedPreceding, -1))
-        table = (self.df.filter(LONG)
-                 .groupBy(*self.keys, SEGMENT)
-                 .agg(*[fold[kind](column).alias(name) for name, (kind, column) in wanted.items()])
-                 .select(*self.keys, SEGMENT,
-                         *[over[kind](F.col(name)).over(earlier).alias(name)
-                           for name, (kind, _) in wanted.items()]))
+        table = self.segment_table(**{name: fold[kind](column) for name, (kind, column) in wanted.items()})
+        return self.attach(table.select(
+            *self.keys, SEGMENT,
+            *[over[kind](F.col(name)).over(self.earlier()).alias(name) for name, (kind, _) in wanted.items()]))
+
+    def last(self, column: Column) -> Column:
+        """Aggregate: the last value in order."""
+        return F.max_by(column, F.when(column.isNotNull(), F.struct(*self.order)))
+
+    def first(self, column: Column) -> Column:
+        return F.min_by(column, F.when(column.isNotNull(), F.struct(*self.order)))
+
+    def segments_in_order(self) -> WindowSpec:
+        """Window over the segment table."""
+        return Window.partitionBy(*self.keys).orderBy(SEGMENT)
+
+    def earlier(self) -> WindowSpec:
+        return self.segments_in_order().rowsBetween(Window.unboundedPreceding, -1)
+
+    def segment_table(self, **aggregates) -> DataFrame:
+        """One row per segment of the cut keys."""
+        return self.df.filter(LONG).groupBy(*self.keys, SEGMENT).agg(*[c.alias(n) for n, c in aggregates.items()])
+
+    def attach(self, table: DataFrame) -> "Ordered":
+        """Add the columns of a segment table to its rows; null for keys that were not cut."""
         return self.with_df(_attach(self.df, table, [*self.keys, SEGMENT], self.segments))
 
     def result(self, *columns) -> DataFrame:

@@ -65,9 +65,11 @@ def pages(df: DataFrame, keys, order, sample: Column, page_rows: int = PAGE_ROWS
     keys = list(keys)
     rows = ordered(df, keys, micros(order[0]) if grid is None else grid, order, max_rows,
                    F.col(order[-1]) if len(order) > 1 else None)
-    rows = rows.add(_row=F.row_number().over(rows.window()) - 1)
-    rows = rows.carry(_before=("sum", F.when(F.col("_row") % page_rows == 0, 1).otherwise(0)))
-    page = F.coalesce(F.col("_before"), F.lit(0)) + F.floor(F.col("_row") / page_rows)
+    page = F.floor((F.row_number().over(rows.window()) - 1) / page_rows)
+    if rows.split:
+        sizes = rows.segment_table(_pages=F.ceil(F.count(F.lit(1)) / page_rows))
+        rows = rows.attach(sizes.withColumn("_pages", F.sum("_pages").over(rows.earlier())))
+        page = page + F.coalesce(F.col("_pages"), F.lit(0))
     # Rows of a page already share a task: the window's partitioning covers the grouping.
     return (rows.add(page=page.cast("bigint")).df.groupBy(*rows.by, "page")
             .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], sample.alias("_sample"))))
