@@ -42,8 +42,8 @@ def multistep(step: Column, lr: float, milestones, gamma: float = 0.1, warmup: f
     rate = F.lit(base) * F.power(F.lit(float(gamma)), passed)
     if not warmup:
         return rate
-    done = step.cast("double") / F.lit(float(warmup))
-    return F.when(step <= warmup, done * base + (1 - done) * float(warmup_start)).otherwise(rate)
+    rise = (base - float(warmup_start)) * step.cast("double") / float(warmup)
+    return F.when(step <= warmup, float(warmup_start) + rise).otherwise(rate)
 
 
 def cyclical(step: Column, base_lr: float, max_lr: float, length: float, mode: str = "triangular",
@@ -55,9 +55,9 @@ def cyclical(step: Column, base_lr: float, max_lr: float, length: float, mode: s
     if mode not in CYCLICAL_MODES:
         raise ValueError(f"unknown mode {mode}")
     t = step.cast("double")
-    half = length / 2
-    cycle = F.floor(1 + t / (2 * half)).cast("double")
-    height = F.greatest(F.lit(0.0), 1 - F.abs(t / half - 2 * cycle + 1))
+    # Height of the triangle: 0 at both ends of a period, 1 in its middle.
+    height = 1 - F.abs(2 * F.pmod(t, F.lit(float(length))) / float(length) - 1)
+    cycle = F.floor(t / float(length)).cast("double") + 1
     if scale_fn is None:
         scale_fn = {"triangular2": lambda c, i: F.lit(1.0) / F.power(F.lit(2.0), c - 1),
                     "exp_range": lambda c, i: F.power(F.lit(float(gamma)), i)}.get(mode, lambda c, i: F.lit(1.0))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runlens import schemas
 from runlens.functions.scalars import cores, mebibytes, parse_instant
-from runlens.operators.samples import to_dense
+from runlens.operators.samples import correct_binary_labels, to_dense
 
 
 def read_pods(spark: SparkSession, path: str) -> DataFrame:
@@ -21,6 +21,12 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.METRICS).parquet(path)
 
 
+def register(**tables: DataFrame) -> None:
+    """Make tables available to ``spark.sql`` under the given names."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def write_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
     """Metric table in folders per name and day, so that reads by name and date skip files."""
     (metrics.withColumn("day", F.to_date("date"))
@@ -94,7 +100,6 @@ def read_samples(spark: SparkSession, path: str, name: str, split: str) -> DataF
 def prepare_libsvm(spark: SparkSession, source: str, target: str, name: str, split: str, n_features: int,
                    sparse: bool = False, is_01: bool = True) -> None:
     """LIBSVM text to a sample table with 0/1 labels."""
-    from runlens.operators.samples import correct_binary_labels
     write_samples(correct_binary_labels(read_libsvm(spark, source, n_features, dense=not sparse), is_01),
                   target, name, split)
 

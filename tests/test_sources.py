@@ -42,6 +42,8 @@ def test_entity_tables(spark, tmp_path):
     pods = spark.createDataFrame([(1, "p", {"a": "b"}, "Running", "", "n", None)], schemas.PODS)
     pods.write.parquet(str(tmp_path / "pods"))
     assert tables.read_pods(spark, str(tmp_path / "pods")).first()["labels"] == {"a": "b"}
+    tables.register(all_pods=pods)
+    assert spark.sql("select count(*) from all_pods").first()[0] == 1
     metrics = spark.sql("select 1L metric_id, 'cpu' name, timestamp'2024-01-02 03:04:05' date, '1.5' value, '' metadata, "
                         "false cumulative, 1L pod_id, cast(null as bigint) run_id")
     tables.write_metrics(metrics, str(tmp_path / "metrics"))
