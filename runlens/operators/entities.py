@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runlens.functions.scalars import parse_flag, parse_instant
 from runlens.operators.scan import MAX_ROWS, micros, ordered
 from runlens.operators.series import first_by_name
+from runlens.schemas import RUN_STATES
 
 # Status codes and messages of a posted sample.
 CREATED, BAD_REQUEST, NOT_FOUND = 201, 400, 404
@@ -187,6 +188,11 @@ def conflicting_runs(runs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return out.drop("_end", "_earlier", "_busy")
 
 
+def unknown_states(runs: DataFrame) -> DataFrame:
+    """Runs whose state is none of the known ones."""
+    return runs.filter(F.col("state").isNull() | ~F.col("state").isin(*RUN_STATES))
+
+
 def active_runs(runs: DataFrame) -> DataFrame:
     """Number of started runs."""
     return runs.agg(F.count_if(F.col("state") == "started").alias("active"))

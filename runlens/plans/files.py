@@ -10,7 +10,7 @@ from runlens.plans import tables as t
 from runlens.plans.linear import START, _training_sql, outcome, settings
 from runlens.plans.registry import query
 from runlens.plans.tables import JOBS, METRICS, ORDER_SAMPLES, PODS, RIDGE, RUNS, with_tables
-from runlens.plans.telemetry import RUN_METRICS
+from runlens.plans.telemetry import JUDGED, PAYLOADS, RUN_METRICS, SINCE, payloads
 from runlens.session import new_dir
 from runlens.sources import export, logs
 from runlens.sources import tables as io
@@ -127,22 +127,43 @@ def job_output(spark, sf):
     return logs.explode_job_output(chunks).withColumn("line", F.md5("line"))
 
 
-@query(with_tables(PODS, RUNS, METRICS, RUN_METRICS) + """select 'metrics_' || r.name as archive,
+@query(with_tables(PODS, RUNS, METRICS, RUN_METRICS) + """select r.run_id, 'metrics_' || r.name as archive,
   'result_' || m.name || '.json' as file, m.date, m.value, m.cumulative
  from metrics m join runs r on m.run_id = r.run_id
  where m.date >= r.created_at and (r.finished_at is null or m.date <= r.finished_at)
- union all select 'metrics_' || run_name, pod_name || '_' || name || '.json', date, value, cumulative from run_metrics""")
+ union all select run_id, 'metrics_' || run_name, pod_name || '_' || name || '.json', date, value, cumulative from run_metrics""")
 def export_run(spark, sf):
     path = new_dir(spark, "export")
     rows = entities.run_export_rows(t.runs(spark, sf), t.pods(spark, sf), t.metrics(spark, sf))
     export.export_run(rows, path)
     sample = F.from_json(F.regexp_replace("value", r"^[\[,]", ""), "date timestamp, value string, cumulative boolean")
     return (spark.read.text(path).filter(F.col("value") != "]")
-            .select("archive", "file", sample.alias("s"))
-            .select("archive", "file", F.col("s.date").cast("timestamp_ntz").alias("date"), 
+            .select(F.col("run_id").cast("bigint").alias("run_id"), "archive", "file", sample.alias("s"))
+            .select("run_id", "archive", "file", F.col("s.date").cast("timestamp_ntz").alias("date"), 
                     F.col("s.value").cast("double").alias("value"), "s.cumulative"))
 
 
+@query(with_tables(PODS, RUNS, PAYLOADS, JUDGED) + """select name, status::bigint as status, message, count(*) as payloads
+ from judged group by 1, 2, 3""")
+def metric_events(spark, sf):
+    path = new_dir(spark, "events")
+    payloads(spark, sf).drop("metric_id").write.option("compression", "gzip").json(path)
+    judged = entities.ingest_status(io.read_metric_events(spark, path), t.pods(spark, sf), t.runs(spark, sf))
+    return judged.groupBy("name", "status", "message").agg(F.count(F.lit(1)).alias("payloads"))
+
+
+@query(with_tables(METRICS) + f"""select metric_id, name, date, value, cumulative, pod_id, run_id from metrics
+ where date >= timestamp '{SINCE}' and name in ('cpu', 'memory')""")
+def metrics_table(spark, sf):
+    path = new_dir(spark, "metrics")
+    io.write_metrics(t.metrics(spark, sf).withColumns({
+        "date": F.col("date").cast("timestamp"), "value": F.col("value").cast("string")}), path)
+    stored = io.read_metrics(spark, path, F.lit(SINCE).cast("timestamp"))
+    return stored.filter(F.col("name").isin("cpu", "memory")).select(
+        "metric_id", "name", F.col("date").cast("timestamp_ntz").alias("date"),
+        F.col("value").cast("double").alias("value"), "cumulative", "pod_id", "run_id")
+
+
 @query("""with words as (select doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7f]', '', 'g') as s from documents),
  joined as (select doc_id, regexp_replace(trim(regexp_replace(s, '[/\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')), ' ', '_', 'g') as s from words)
 select doc_id, md5(trim(regexp_replace(s, '[^A-Za-z0-9_.-]', '', 'g'), '._')) as digest from joined""")

@@ -10,14 +10,14 @@ CLOSING = (1 << 63) - 1
 
 
 def export_lines(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Lines of one JSON array per (archive, file), in order of ``pos``.
+    """Lines of one JSON array per (run, archive, file), in order of ``pos``.
 
     ``rows`` as from ``run_export_rows``. Each sample is one line, so a series needs no task of its own.
     """
     files = rows.withColumns({
         "archive": F.concat(F.lit("metrics_"), safe_file_name(F.col("run_name"))),
         "file": F.concat(F.col("prefix"), F.lit("_"), F.col("name"), F.lit(".json"))})
-    keys = ["archive", "file"]
+    keys = ["run_id", "archive", "file"]
     placed = ordinal(files, keys, micros("date"), ["date", "metric_id"], "pos", max_rows,
                      F.col("metric_id"))
     sample = F.to_json(F.struct(format_instant(F.col("date")).alias("date"),
@@ -28,8 +28,12 @@ def export_lines(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 
 def export_run(rows: DataFrame, out_dir: str, compression: str = "gzip", max_rows: int = MAX_ROWS) -> None:
-    """Write ``archive=<name>/file=<prefix>_<metric>.json/part-*``; parts in name order form the document."""
+    """Write ``run_id=<id>/archive=<name>/file=<prefix>_<metric>.json/part-*``.
+
+    The parts of a folder in name order form the document.
+    """
+    place = ["run_id", "archive", "file"]
     (export_lines(rows, max_rows)
-     .repartitionByRange("archive", "file", "pos").sortWithinPartitions("archive", "file", "pos")
-     .select("archive", "file", "line")
-     .write.option("compression", compression).partitionBy("archive", "file").text(out_dir))
+     .repartitionByRange(*place, "pos").sortWithinPartitions(*place, "pos")
+     .select(*place, "line")
+     .write.option("compression", compression).partitionBy(*place).text(out_dir))

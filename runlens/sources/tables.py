@@ -17,8 +17,14 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RUNS).parquet(path)
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.METRICS).parquet(path)
+def read_metrics(spark: SparkSession, path: str, since=None) -> DataFrame:
+    """Metric table; with ``since`` (a timestamp column) folders of earlier days are not read."""
+    metrics = spark.read.schema(schemas.METRICS).parquet(path)
+    if since is not None:
+        metrics = metrics.filter(F.col("date") >= since)
+        if "day" in metrics.columns:
+            metrics = metrics.filter(F.col("day") >= F.to_date(since))
+    return metrics.drop("day")
 
 
 def register(**tables: DataFrame) -> None:

@@ -104,6 +104,8 @@ def test_latest_run_takes_the_pod(spark, pods):
 def test_conflicts_with_open_run(runs):
     assert ids(entities.conflicting_runs(runs), "run_id") == [11]
     assert entities.active_runs(runs).first()["active"] == 1
+    odd = runs.withColumn("state", F.when(F.col("run_id") == 10, "lost").otherwise(F.col("state")))
+    assert ids(entities.unknown_states(odd), "run_id") == [10] and entities.unknown_states(runs).isEmpty()
 
 
 def test_counter_reset_and_short_steps(spark):

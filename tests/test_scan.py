@@ -136,5 +136,5 @@ def test_job_output(skewed, limit):
 
 @pytest.mark.parametrize("limit", LIMITS)
 def test_export_lines(skewed, limit):
-    wide = skewed.withColumns({"run_name": F.lit("a b"), "prefix": F.coalesce(F.col("pod_id").cast("string"), F.lit("x"))})
+    wide = skewed.withColumns({"run_id": F.lit(1), "run_name": F.lit("a b"), "prefix": F.coalesce(F.col("pod_id").cast("string"), F.lit("x"))})
     assert rows(export.export_lines(wide, limit)) == rows(export.export_lines(wide))

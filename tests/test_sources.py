@@ -50,6 +50,20 @@ def test_entity_tables(spark, tmp_path):
     assert tables.read_metrics(spark, str(tmp_path / "metrics")).first()["value"] == "1.5"
 
 
+def test_metric_folders_are_pruned(spark, tmp_path, capsys):
+    spark.range(1000).select(
+        F.col("id").alias("metric_id"), F.when(F.col("id") % 2 == 0, "cpu").otherwise("memory").alias("name"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("date"), F.lit("1").alias("value"), F.lit("").alias("metadata"),
+        F.lit(False).alias("cumulative"), F.lit(1).cast("bigint").alias("pod_id"), F.lit(None).cast("bigint").alias("run_id")
+    ).transform(lambda d: tables.write_metrics(d, str(tmp_path)) or d)
+    got = tables.read_metrics(spark, str(tmp_path), F.lit("2024-02-01").cast("timestamp")).filter("name = 'cpu'")
+    got.explain()
+    plan = capsys.readouterr().out
+    filters = plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
+    assert "day" in filters and "name" in filters
+    assert got.count() == 128
+
+
 def test_events_keep_malformed_lines(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"pod_name": "p", "name": "cpu", "cumulative": "False", "rank": 1}\nnot json\n')
     got = tables.read_metric_events(spark, str(tmp_path)).cache()
@@ -144,9 +158,9 @@ def test_export_is_json_per_series(spark, tmp_path):
         F.lit(False).alias("cumulative"), F.col("id").alias("metric_id"))
     out = str(tmp_path / "out")
     export.export_run(rows, out, compression="none", max_rows=60)
-    for archive, kept in (("metrics_my_run", range(400)), ("metrics_other", range(400, 500))):
+    for archive, kept in (("run_id=1/archive=metrics_my_run", range(400)), ("run_id=2/archive=metrics_other", range(400, 500))):
         for name in ("cpu", "loss"):
-            folder = tmp_path / "out" / f"archive={archive}" / f"file=result_{name}.json"
+            folder = tmp_path / "out" / archive / f"file=result_{name}.json"
             text = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
             samples = json.loads(text)
             want = [i for i in reversed(kept) if (i % 5 == 0) == (name == "cpu")]
