@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 UNROLL = 64
 
 
+def of_width(x: Column, width: int, value: Column, kind: str) -> Column:
+    """``value`` (of type ``kind``) where the array ``x`` has ``width`` entries, null where it is null, else an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"{width} features expected, found "), F.size(x).cast("string")))
+    return F.when(x.isNull(), F.lit(None).cast(kind)).when(F.size(x) == width, value).otherwise(wrong.cast(kind))
+
+
 def dot(x: Column, weights) -> Column:
-    """Inner product of an array column with a list of numbers."""
+    """Inner product of an array column with a list of numbers; another number of entries is an error at any width."""
     if len(weights) <= UNROLL:
-        total = x[0] * F.lit(float(weights[0]))
-        for i, w in enumerate(weights[1:], start=1):
+        total = F.lit(0.0)
+        for i, w in enumerate(weights):
             total = total + x[i] * F.lit(float(w))
-        return total
-    w = F.lit([float(v) for v in weights])
-    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    else:
+        w = F.lit([float(v) for v in weights])
+        total = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return of_width(x, len(weights), total, "double")
 
 
 def sigmoid(z: Column) -> Column:

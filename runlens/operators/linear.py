@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,23 +62,29 @@ def _matrix_sums(df: DataFrame, weights, kind: str, keys) -> DataFrame:
     matrix_loss, matrix_slope = MATRIX_LOSSES[kind]
 
     def partials(arrow_batches):
-        sums = {}
+        sums, types = {}, []
         for batch in arrow_batches:
             if batch.num_rows == 0:
                 continue
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(w))
+            lists = batch.column("features")
+            if not pc.all(pc.equal(pc.list_value_length(lists), len(w))).as_py():
+                raise ValueError(f"{len(w)} features expected")
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(w))
             y = batch.column("_y").to_numpy(zero_copy_only=False)
             z = x @ w
-            owners = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-            codes = {key: i for i, key in enumerate(dict.fromkeys(owners))}
-            code = np.array([codes[o] for o in owners])
-            member = (code[None, :] == np.arange(len(codes))[:, None]).astype(float)
+            types = [batch.column(k).type for k in keys]
+            # Keys become whole numbers column by column; a combination of them is a group.
+            coded = [batch.column(k).dictionary_encode(null_encoding="encode") for k in keys]
+            cells, code = np.unique(np.column_stack([c.indices.to_numpy() for c in coded] or [np.zeros(batch.num_rows, int)]),
+                                    axis=0, return_inverse=True)
+            member = (code.ravel()[None, :] == np.arange(len(cells))[:, None]).astype(float)
             block = np.column_stack([member.sum(axis=1), member @ matrix_loss(z, y),
                                      (member * matrix_slope(z, y)) @ x])
-            for key, i in codes.items():
+            for i, cell in enumerate(cells):
+                key = tuple(c.dictionary[int(v)].as_py() for c, v in zip(coded, cell))
                 sums[key] = sums[key] + block[i] if key in sums else block[i]
         if sums:
-            columns = [pa.array(column) for column in zip(*sums)]
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*sums), types)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([v.tolist() for v in sums.values()])], [*keys, "_sums"])
 
     rows = df.select(*keys, F.col("features").cast("array<double>").alias("features"),
@@ -89,9 +96,11 @@ def rank_gradients(df: DataFrame, weights, kind: str, keys=("rank",), mean: bool
     """Per worker (or other ``keys``): samples ``n``, loss, and gradient of the mean (or summed) loss.
 
     Narrow models: one plain aggregate per feature. Wider ones: each task multiplies its rows as
-    matrices and emits one partial vector per key, which are then added element by element.
+    matrices and emits one partial vector per key, which are then added element by element. Rows without label or
+    features count nowhere, at any width; another number of features than weights is an error.
     """
     keys = list(keys)
+    df = df.filter(F.col("label").isNotNull() & F.col("features").isNotNull())
     row_loss, slope = loss_pair(kind)
     width = len(weights)
     if width <= UNROLL:
@@ -229,9 +238,9 @@ class State:
     best_epoch: int = None
 
 
+# Numbers of per-batch moments that the driver reads at a time.
+MOMENT_NUMBERS = 500_000
 HISTORY = ("epoch bigint, step bigint, name string, value double, cumu_time double")
-# Per-batch moments are read by the driver one step at a time; beyond this many numbers use "exact".
-MOMENT_LIMIT = 5_000_000
 
 
 def lay_out(df: DataFrame, sample: str, cfg: Training, epoch: int) -> DataFrame:
@@ -270,25 +279,42 @@ def _exact_steps(data: DataFrame, cfg: Training):
     return step
 
 
-def _moment_steps(data: DataFrame, width: int):
-    """Squared error depends on the data only through X'X, X'y, y'y and n of each (batch, worker)."""
+def _moment_steps(data: DataFrame, width: int, world_size: int):
+    """Squared error depends on the data only through X'X, X'y, y'y and n of each (batch, worker).
+
+    The moments are one written table in batch order. The driver reads the batches of a few steps at a time, about
+    MOMENT_NUMBERS numbers, or those of a single batch where they are more.
+    """
     x = F.col("features")
     pairs = [(i, j) for i in range(width) for j in range(i, width)]
     table = data.groupBy("batch_idx", "rank").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("label") * F.col("label")).alias("yy"),
         *[F.sum(x[i] * F.col("label")).alias(f"xy{i}") for i in range(width)],
-        *[F.sum(x[i] * x[j]).alias(f"xx{i}_{j}") for i, j in pairs]).orderBy("batch_idx", "rank")
-    by_batch = {}
-    for row in table.toLocalIterator():
-        xx = np.zeros((width, width))
-        for i, j in pairs:
-            xx[i, j] = xx[j, i] = row[f"xx{i}_{j}"]
-        by_batch.setdefault(row["batch_idx"], []).append(
-            (row["n"], row["yy"], np.array([row[f"xy{i}"] for i in range(width)]), xx))
+        *[F.sum(x[i] * x[j]).alias(f"xx{i}_{j}") for i, j in pairs])
+    spark, path = data.sparkSession, new_dir(data.sparkSession, "moments")
+    table.repartitionByRange("batch_idx").sortWithinPartitions("batch_idx", "rank").write.parquet(path)
+    table = spark.read.parquet(path)
+
+    at_once = max(1, MOMENT_NUMBERS // (world_size * width * width))
+    held = {}
+
+    def read(first):
+        held.clear()
+        held[first] = {}
+        for row in table.filter(F.col("batch_idx").between(first, first + at_once - 1)).orderBy("batch_idx", "rank").collect():
+            xx = np.zeros((width, width))
+            for i, j in pairs:
+                xx[i, j] = xx[j, i] = row[f"xx{i}_{j}"]
+            held[first].setdefault(row["batch_idx"], []).append(
+                (row["n"], row["yy"], np.array([row[f"xy{i}"] for i in range(width)]), xx))
 
     def step(batch, w):
-        losses = [(yy - 2 * w @ xy + w @ xx @ w) / n for n, yy, xy, xx in by_batch[batch]]
-        grads = [2 * (xx @ w - xy) / n for n, yy, xy, xx in by_batch[batch]]
+        first = batch - batch % at_once
+        if first not in held:
+            read(first)
+        moments = held[first][batch]
+        losses = [(yy - 2 * w @ xy + w @ xx @ w) / n for n, yy, xy, xx in moments]
+        grads = [2 * (xx @ w - xy) / n for n, yy, xy, xx in moments]
         return float(np.mean(losses)), np.mean(grads, axis=0)
     return step
 
@@ -313,9 +339,7 @@ def train(train_df: DataFrame, val_df: DataFrame, weights, cfg: Training, sample
             if cfg.mode == "moments":
                 if cfg.kind != "MSE":
                     raise ValueError("moments need squared error")
-                if steps * cfg.world_size * width * width > MOMENT_LIMIT:
-                    raise ValueError("too many batches for moments; use exact")
-                step = _moment_steps(data, width)
+                step = _moment_steps(data, width, cfg.world_size)
             else:
                 step = _exact_steps(data, cfg)
         for batch in range(steps):
@@ -338,8 +362,9 @@ def train(train_df: DataFrame, val_df: DataFrame, weights, cfg: Training, sample
                 history.append((epoch, state.steps, name, row[name], state.train_time))
             is_best = False
             if cfg.metrics:
+                # Neither NaN nor the null of an empty validation set is ever the best value.
                 primary = row[next(iter(cfg.metrics))]
-                is_best = state.best is None or primary > state.best
+                is_best = primary is not None and primary == primary and (state.best is None or primary > state.best)
                 if is_best:
                     state.best, state.best_epoch = primary, epoch
             if save is not None:

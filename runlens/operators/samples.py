@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.scores import UNROLL
+from runlens.functions.scores import UNROLL, of_width
 from runlens.operators.scan import MAX_ROWS, ordinal
 from runlens.schemas import DATASETS
 
 # Precisions by name.
 PRECISIONS = {"fp32": "float", "fp64": "double"}
 HASH_DIGITS = 4
+# Bounds of shares stay whole numbers up to 9e12 samples.
+SHARE_DENOMINATOR = 1_000_000
 KEYED_HASH_DIGITS = 3
 
 
@@ -35,7 +37,7 @@ def correct_binary_labels(df: DataFrame, is_01: bool = True, label: str = "label
 
 
 def standardize(df: DataFrame, mean, std) -> DataFrame:
-    """(x - mean) / std per feature."""
+    """(x - mean) / std per feature; another number of features than means is an error."""
     x = F.col("features")
     if len(mean) <= UNROLL:
         scaled = F.array(*[(x[i] - float(m)) / float(s) for i, (m, s) in enumerate(zip(mean, std))])
@@ -43,7 +45,7 @@ def standardize(df: DataFrame, mean, std) -> DataFrame:
         pairs = F.arrays_zip(x.alias("x"), F.lit([float(m) for m in mean]).alias("m"),
                              F.lit([float(s) for s in std]).alias("s"))
         scaled = F.transform(pairs, lambda e: (e["x"] - e["m"]) / e["s"])
-    return df.withColumn("features", scaled)
+    return df.withColumn("features", of_width(x, len(mean), scaled, "array<double>"))
 
 
 def to_sparse(df: DataFrame) -> DataFrame:
@@ -112,8 +114,9 @@ def partition_samples(df: DataFrame, sample: str, fractions, seed: int = 42, epo
                       digits: int = HASH_DIGITS) -> DataFrame:
     """Split one permutation of the samples over workers; adds ``pos``, ``rank`` and ``pos_in_rank``.
 
-    ``fractions`` is a number of equal workers or a list of shares. Bounds are exact; ``compat`` uses
-    the float product instead, which can leave the last samples without a worker (dropped).
+    ``fractions`` is a number of equal workers or a list of shares that sum to 1. Bounds are exact, of shares
+    as fractions with denominators up to a million, and the last worker ends with the table; ``compat`` uses the
+    float product instead, which can leave the last samples without a worker (dropped).
     Without ``shuffle`` the samples are taken in id order. ``digits`` sets the number of shuffle
     buckets (16 to that power): raise it where rows / buckets would not fit a task.
     """
@@ -133,10 +136,10 @@ def partition_samples(df: DataFrame, sample: str, fractions, seed: int = 42, epo
         if compat:
             ends = [F.floor(F.lit(float(c)) * total).cast("bigint") for c in np.cumsum(shares)]
         else:
-            sums, ends = Fraction(0), []
-            for share in shares:
-                sums += Fraction(str(share))
-                ends.append(F.expr(f"(_total * {sums.numerator}) div {sums.denominator}"))
+            if abs(sum(shares) - 1) > 1e-6 or min(shares) < 0:
+                raise ValueError(f"shares must sum to 1: {shares}")
+            ends = [F.expr(f"(_total * {c.numerator}) div {c.denominator}") for c in (
+                Fraction(float(s)).limit_denominator(SHARE_DENOMINATOR) for s in np.cumsum(shares[:-1]))] + [total]
         rank, start = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
         for end in ends:
             rank = rank + F.when(pos >= end, 1).otherwise(0)

@@ -132,13 +132,19 @@ def accept_newer(df: DataFrame, arrival: str, entity=("pod_id",), shared=SHARED_
     pairs = F.create_map(*[F.lit(x) for pair in shared.items() for x in pair]) if shared else None
     owner = F.coalesce(F.try_element_at(pairs, F.col("name")), F.col("name")) if shared else F.col("name")
     setter = F.when(F.col("name") == owner, F.col("date"))
-    rows = ordered(df.withColumn("_owner", owner), [*entity, "_owner"], F.col(arrival), [arrival], max_rows)
-    rows = rows.carry(_earlier=("max", setter))
-    seen = F.max(setter).over(rows.window().rangeBetween(Window.unboundedPreceding, -1))
-    seen = F.greatest(seen, F.col("_earlier"), *([F.col(mark)] if mark else []))
-    rows = rows.add(_seen=seen)
-    return rows.with_df(rows.df.filter(F.col("_seen").isNull() | (F.col("date") > F.col("_seen")))) \
-        .result().drop("_owner", "_earlier", "_seen")
+    rows = df.withColumn("_owner", owner)
+    keys = [*entity, "_owner"]
+    # One row per arrival, added up before the exchange, goes through the window; the samples do not.
+    newest = rows.groupBy(*keys, arrival).agg(F.max(setter).alias("_newest"))
+    marks = ordered(newest, keys, F.col(arrival), [arrival], max_rows).carry(_earlier=("max", F.col("_newest")))
+    before = marks.window().rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.add(_seen=F.greatest(F.max("_newest").over(before), F.col("_earlier"))) \
+        .result(*keys, arrival, "_seen")
+    marks = marks.select(*[F.col(c).alias(f"_m_{c}") for c in (*keys, arrival)], "_seen")
+    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in (*keys, arrival)]
+    joined = rows.join(marks, same)
+    seen = F.greatest("_seen", mark) if mark else F.col("_seen")
+    return joined.filter(seen.isNull() | (F.col("date") > seen)).select(*df.columns)
 
 
 def extents(df: DataFrame, keys=("pod_id", "name"), y: str = "rate") -> DataFrame:

@@ -249,3 +249,38 @@ def train_logistic(spark, sf):
 def train_local_sgd(spark, sf):
     weights = linear.train_local_sgd(t.ridge_samples(spark, sf), START, 4, 1e-6)
     return linear.weights_table(spark, weights).withColumn("value", F.round("value", 9))
+
+
+# Both sides of the width up to which dot products are written out: all 64 values of a vector, and one more.
+WIDE = [round(((i * 37) % 11 - 5) / 50, 2) for i in range(65)]
+WIDE_SQL = """wide as (select vec_id, 64 as width, vec_id % 4 as rank, embedding::double[] as x,
+  case when vec_id % 10 > 0 then label::double end as y from embeddings
+ union all select vec_id, 65, vec_id % 4, list_append(embedding::double[], 1.0::double),
+  case when vec_id % 10 > 0 then label::double end from embeddings),
+ scored as (select *, list_dot_product(x, (""" + str(WIDE) + """::double[])[1:width]) as z from wide)"""
+
+
+def wide_samples(spark, sf, width):
+    x = F.col("embedding").cast("array<double>")
+    x = x if width == 64 else F.array_append(x, F.lit(1.0))
+    return t.table(spark, sf, "embeddings").select(
+        "vec_id", (F.col("vec_id") % 4).cast("int").alias("rank"), x.alias("features"),
+        F.when(F.col("vec_id") % 10 > 0, F.col("label").cast("double")).alias("label"))
+
+
+@query(with_tables(WIDE_SQL) + "select vec_id, width, round(z, 6) as score from scored")
+def predict_wide(spark, sf):
+    parts = [linear.predict_ridge(wide_samples(spark, sf, n), WIDE[:n]).select(
+        "vec_id", F.lit(n).alias("width"), F.round("score", 6).alias("score")) for n in (64, 65)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(with_tables(WIDE_SQL) + """, each as (select width, rank, 2 * (z - y) as slope, unnest(x) as x,
+  unnest(range(width)) as idx from scored where y is not null),
+ ranks as (select width, rank, idx, avg(slope * x) as g from each group by all)
+select width, idx, round(avg(g), 6) as grad from ranks group by width, idx""")
+def gradient_wide(spark, sf):
+    """Rows without label count nowhere, and workers may be numbered by 32-bit integers, at any width."""
+    parts = [linear.gradient(wide_samples(spark, sf, n), WIDE[:n], "MSE").select(
+        F.lit(n).alias("width"), "idx", F.round("grad", 6).alias("grad")) for n in (64, 65)]
+    return parts[0].unionByName(parts[1])

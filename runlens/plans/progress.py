@@ -168,6 +168,15 @@ def restorable_epoch(spark, sf):
     return collective.restorable_epoch(listed, directory="directory")
 
 
+@query(with_tables(CHECKPOINTS) + """, saved as (select run_id, rank - 1 as rank, max(epoch) as e from checkpoints group by all),
+ worlds as (select distinct run_id, 7 as world_size from checkpoints)
+ select run_id, case when count(*) = 7 then min(e) end as epoch, case when count(*) = 7 then 'ok' else 'missing' end as status
+ from worlds join saved using (run_id) where rank between 0 and 6 group by run_id""")
+def restorable_missing_rank(spark, sf):
+    listed = parse_checkpoint_paths(checkpoint_paths(spark, sf)).withColumn("rank", F.col("rank") - 1)
+    return collective.restorable_status(listed, listed.select("run_id", F.lit(7).alias("world_size")).distinct())
+
+
 @query(with_tables(PODS) + """select node_name as host, pod_id as rank,
  row_number() over (partition by node_name order by pod_id) - 1 as local_rank from pods""")
 def local_rank(spark, sf):

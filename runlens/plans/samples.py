@@ -6,6 +6,8 @@ from runlens.operators import samples
 from runlens.operators.scan import ordinal
 from runlens.plans import tables as t
 from runlens.plans.registry import query
+from runlens.session import new_dir
+from runlens.sources.tables import read_samples, write_samples
 from runlens.plans.tables import LOGISTIC, ORDER_SAMPLES, RIDGE, with_tables
 
 SEED = 42
@@ -156,3 +158,22 @@ def positions(spark, sf):
     from runlens.operators.scan import micros
     rows = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderdate")
     return ordinal(rows, ["o_custkey"], micros("o_orderdate"), ["o_orderdate", "id"]).select("id", "pos")
+
+
+@query(with_tables(placed_sql(1)) + """, sized as (select *, count(*) over () as n from placed)
+select rank, count(*) as samples, min(pos) as first, max(pos) as last from (select pos,
+ case when pos < n // 3 then 0 when pos < n * 2 // 3 then 1 else 2 end::bigint as rank from sized) group by rank""")
+def partition_thirds(spark, sf):
+    """Shares that are no decimal fractions lose no sample."""
+    placed = samples.partition_samples(orders(spark, sf), "id", [1 / 3] * 3, SEED)
+    return placed.groupBy("rank").agg(F.count(F.lit(1)).alias("samples"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+@query("select 2 * count(*) as samples, 2 * count(*) as ids from orders")
+def samples_two_appends(spark, sf):
+    """Samples stored in two appends have an id each."""
+    path = new_dir(spark, "samples")
+    for _ in range(2):
+        write_samples(orders(spark, sf).drop("id"), path, "orders", "train")
+    stored = read_samples(spark, path, "orders", "train")
+    return stored.agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("sample_id").alias("ids"))

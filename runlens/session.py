@@ -1,5 +1,6 @@
 """Session settings and the shared folder for tables that outlive one job."""
 
+import re
 import tempfile
 import uuid
 
@@ -39,8 +40,8 @@ def tune(spark: SparkSession, input_bytes: int = None) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; a cluster without it is an error, as
-    a machine-local folder would not survive the loss of an executor.
+    A session whose executors are threads of the driver gets a temporary folder without the setting; any other one
+    without it is an error, as executors do not share a machine-local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -48,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     else:
         root = spark.conf.get("runlens.shared.dir", None)
         if root is None:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
             root = tempfile.mkdtemp(prefix="runlens-")
             spark.conf.set("runlens.shared.dir", root)

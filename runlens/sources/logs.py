@@ -25,14 +25,22 @@ def read_worker_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_worker_logs(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Typed rows of the known messages; lines without their own epoch get that of the line before."""
+    """Typed rows of the known messages; lines without their own epoch get that of the line before.
+
+    Lines of another form (stack traces, wrapped messages, impossible dates) are kept: kind ``other``, the whole line as
+    message, without time, rank, level or epoch.
+    """
     def part(pattern, i):
         return F.regexp_extract("line", LINE, i) if pattern == LINE else \
             F.regexp_extract("message", pattern, i)
 
-    rows = lines.filter(F.col("line").rlike(LINE)).select(
-        "source", "file", "block", "seq", part(LINE, 1).cast("timestamp").alias("ts"),
-        part(LINE, 3).cast("bigint").alias("rank"), part(LINE, 4).alias("level"), part(LINE, 5).alias("message"))
+    given = lines.withColumn("_ts", F.when(F.col("line").rlike(LINE), part(LINE, 1).try_cast("timestamp"))) \
+        .withColumn("_rank", F.when(F.col("_ts").isNotNull(), part(LINE, 3).try_cast("bigint")))
+    formed = F.col("_ts").isNotNull() & F.col("_rank").isNotNull()
+    rows = given.filter(formed).select(
+        "source", "file", "block", "seq", F.col("_ts").alias("ts"), F.col("_rank").alias("rank"),
+        part(LINE, 4).alias("level"), part(LINE, 5).alias("message"))
+    odd = given.filter(~formed).select("source", F.col("line").alias("message"), F.lit("other").alias("kind"))
     message = F.col("message")
     kind = (F.when(message.rlike(TRAIN), "train").when(message.rlike(EPOCH), "epoch")
             .when(message.rlike(VALIDATION), "validation").when(message.rlike(BEST), "best").otherwise("other"))
@@ -50,8 +58,9 @@ def parse_worker_logs(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     place = ["ts", "file", "block", "seq"]
     run = ordered(rows, ["source", "rank"], micros("ts"), place, max_rows).carry(_before=("last", F.col("_own")))
     epoch = F.coalesce(F.last("_own", ignorenulls=True).over(run.running()), F.col("_before"))
-    return run.add(epoch=epoch).result("source", "ts", "rank", "level", "kind", "epoch", "batch", "metric",
-                                       "best_epoch", "value", "message")
+    known = run.add(epoch=epoch).result("source", "ts", "rank", "level", "kind", "epoch", "batch", "metric",
+                                        "best_epoch", "value", "message")
+    return known.unionByName(odd, allowMissingColumns=True)
 
 
 def explode_job_output(jobs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -1,5 +1,6 @@
 """Readers and writers of entity, metric, event and sample tables."""
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,13 +77,20 @@ def read_libsvm(spark: SparkSession, path: str, n_features: int, dense: bool = T
         raw = spark.read.format("libsvm").option("numFeatures", n_features).load(path)
         return raw.select("label", vector_to_array("features").alias("features"))
     parts = F.split(F.trim(F.regexp_replace("value", r"\s*#.*$", "")), r"\s+")
-    entries = F.transform(F.slice(parts, 2, n_features), lambda p: F.struct(
-        (F.split_part(p, F.lit(":"), F.lit(1)).cast("bigint") - 1).alias("idx"),
-        F.split_part(p, F.lit(":"), F.lit(2)).cast("double").alias("val")))
-    return (spark.read.text(path).filter(F.col("value").rlike(r"^\s*[-+0-9.]"))
+    entries = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: _entry(p, n_features))
+    # Blank lines and comments hold no sample; any other line must be one, else its cast fails.
+    return (spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
             .select(parts[0].cast("double").alias("label"), entries.alias("entries")))
 
 
+def _entry(pair, n_features: int):
+    """(idx from 0, val) of ``position:value``; a position outside 1 to ``n_features`` is an error."""
+    at = F.split_part(pair, F.lit(":"), F.lit(1)).cast("bigint")
+    checked = F.when(at.between(1, n_features), at - 1).otherwise(
+        F.raise_error(F.concat(F.lit(f"feature outside 1 to {n_features}: "), pair)).cast("bigint"))
+    return F.struct(checked.alias("idx"), F.split_part(pair, F.lit(":"), F.lit(2)).cast("double").alias("val"))
+
+
 def libsvm_lines(df: DataFrame) -> DataFrame:
     """Dense samples as LIBSVM lines without the zeros."""
     pairs = F.filter(F.transform("features", lambda x, i: F.when(
@@ -91,9 +99,18 @@ def libsvm_lines(df: DataFrame) -> DataFrame:
 
 
 def write_samples(df: DataFrame, path: str, name: str, split: str, mode: str = "append") -> None:
-    """Sample table in folders per dataset and split; samples without id get a stored one."""
+    """Sample table in folders per dataset and split; samples without id get a stored one, above all ids that the
+    dataset and split hold already, so appends never repeat an id."""
     if "sample_id" not in df.columns:
-        df = df.withColumn("sample_id", F.monotonically_increasing_id())
+        above = 0
+        if mode == "append":
+            try:
+                above = read_samples(df.sparkSession, path, name, split).agg(F.max("sample_id")).first()[0]
+                above = 0 if above is None else above + 1
+            except AnalysisException as missing:
+                if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+        df = df.withColumn("sample_id", F.monotonically_increasing_id() + above)
     (df.withColumns({"dataset": F.lit(name), "split": F.lit(split)})
      .write.mode(mode).partitionBy("dataset", "split").parquet(path))
 

@@ -79,8 +79,12 @@ def start_accept_newer(samples: DataFrame, arrival: str, out: str, state: str, c
 
 
 def start_counter_rate(samples: DataFrame, out: str, state: str, checkpoint: str, keys=("pod_id", "name"),
-                       trigger: dict = None) -> StreamingQuery:
-    """Rates of accepted samples; the state row of a key is its last sample with its kind of series."""
+                       trigger: dict = None, rejects: str = None) -> StreamingQuery:
+    """Rates of accepted samples; the state row of a key is its last sample with its kind of series.
+
+    Samples are ordered by date and metric_id, as in the batch operator. Those not after the last sample of an earlier
+    trigger are late: no rate is made for them, they go to ``rejects`` if that path is given.
+    """
     keys = list(keys)
 
     def each(batch, batch_id):
@@ -93,8 +97,13 @@ def start_counter_rate(samples: DataFrame, out: str, state: str, checkpoint: str
         fresh = newest.select(*keys, "_row.*", "_kind").withColumn("cumulative", F.col("_kind")) \
             .select(*batch.columns).withColumn("_old", F.lit(True))
         before = _state_before(spark, state, batch_id, fresh)
-        last = before.select(*keys, F.col("date").alias("_date"), F.col("cumulative").alias("_kind"))
-        newer = batch.join(last, keys, "left").filter(F.col("_date").isNull() | (F.col("date") > F.col("_date")))
+        last = before.select(*keys, F.struct("date", "metric_id").alias("_last"))
+        judged = batch.join(last, keys, "left").withColumn(
+            "_late", F.coalesce(F.struct("date", "metric_id") <= F.col("_last"), F.lit(False)))
+        newer = judged.filter(~F.col("_late"))
+        if rejects is not None:
+            judged.filter("_late").select(*[c for c in batch.columns if c != "_old"]) \
+                .write.mode("overwrite").parquet(_folder(rejects, batch_id))
         rated = counter_rate(before.unionByName(newer.select(*batch.columns)), keys)
         rated.filter(~F.col("_old")).drop("_old").write.mode("overwrite").parquet(_folder(out, batch_id))
         kinds = before.select(*keys, F.col("cumulative").alias("_first"))
@@ -128,14 +137,15 @@ def start_inventory(observed: DataFrame, initial: DataFrame, table: str, changes
                     trigger: dict = None, tie: str = "seen_at") -> StreamingQuery:
     """Bring the stored inventory in line with each observed listing, phases included.
 
-    ``table`` holds one version per trigger; ``changes`` the inserts, deletes and phase changes.
+    ``table`` holds one version per trigger; ``changes`` the inserts, deletes and phase changes. ``tie`` is the time of
+    a listing, the same in all its rows: of several listings in one trigger the latest counts.
     """
     def each(batch, batch_id):
         spark = batch.sparkSession
         stored = initial if batch_id == 0 else spark.read.parquet(_folder(table, batch_id - 1))
         rest = [c for c in batch.columns if c != "name"]
-        seen = batch.groupBy("name").agg(F.max_by(F.struct(*rest), F.col(tie)).alias("_row")) \
-            .select("name", "_row.*")
+        latest = batch.filter(F.col(tie).eqNullSafe(batch.agg(F.max(tie)).scalar()))
+        seen = latest.groupBy("name").agg(F.max(F.struct(*rest)).alias("_row")).select("name", "_row.*")
         kept, moved = reconcile_inventory(stored, seen)
         refreshed = refresh_phase(kept, seen)
         (refreshed.drop("changed").write.mode("overwrite").parquet(_folder(table, batch_id)))
