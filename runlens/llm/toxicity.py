@@ -61,7 +61,7 @@ def feature_counts(train: DataFrame) -> DataFrame:
     """feature, toxic, clean: in how many training texts (text, label) of either label a feature occurs."""
     def count(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text"):
                 seen: dict[str, list[int]] = {}
                 for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
                     for f in {f for w in words_of(text) for f in features_of(w)}:
@@ -112,7 +112,7 @@ def design(train: DataFrame, features: list[str], groups=IDENTITY_TERMS) -> Data
 
     def make(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 pairs = []
                 for text in texts:
@@ -126,11 +126,11 @@ def design(train: DataFrame, features: list[str], groups=IDENTITY_TERMS) -> Data
     return train.mapInArrow(make, "label int, on array<int>, pairs array<struct<lost:array<int>,gained:array<int>>>")
 
 
-def fit(rows: list, n_features: int, ridge: float = 1e-3, fairness: float = 1.0, steps: int = 400,
+def fit(rows: list, n_features: int, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 400,
         rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and bias of the classifier, by Adam on the whole (bounded) design.
 
-    Loss: the mean log loss with both labels weighing the same, plus ``ridge`` times the squared weights, plus
+    Loss: the mean log loss, plus ``ridge`` times the squared weights, plus
     ``fairness`` times the mean squared change of the score between sentences and their counterfactuals.
     """
     labels = np.array([r.label for r in rows], float)
@@ -138,11 +138,12 @@ def fit(rows: list, n_features: int, ridge: float = 1e-3, fairness: float = 1.0,
     if not len(labels):
         return weights, bias
     share = labels.mean()
-    if share in (0.0, 1.0) or not n_features:
-        return weights, 8.0 * share - 4.0 if share in (0.0, 1.0) else 0.0
+    if share in (0.0, 1.0):
+        return weights, 8.0 * share - 4.0
+    if not n_features:
+        return weights, math.log(share / (1 - share))
     at = np.repeat(np.arange(len(rows)), [len(r.on) for r in rows])
     on = np.concatenate([np.array(r.on, np.int64) for r in rows])
-    each = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)) / len(labels)
     pairs = [p for r in rows for p in r.pairs]
     p_at = np.repeat(np.arange(len(pairs)), [len(p.lost) + len(p.gained) for p in pairs]).astype(np.int64)
     p_on = np.array([i for p in pairs for i in (*p.lost, *p.gained)], np.int64)
@@ -150,7 +151,7 @@ def fit(rows: list, n_features: int, ridge: float = 1e-3, fairness: float = 1.0,
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
         z = bias + np.bincount(at, weights[on], len(labels))
-        error = each * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
         slope = np.bincount(on, error[at], n_features) + 2 * ridge * weights
         if pairs:
             change = np.bincount(p_at, p_sign * weights[p_on], len(pairs))
@@ -211,7 +212,7 @@ def scored(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", t
     def judge(batches):
         scorer = Scorer(model)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text"):
                 scores = scorer.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()),
@@ -228,7 +229,7 @@ def without_toxic(docs: DataFrame, model, text: str = "text", threshold: float =
     def keep(batches):
         scorer = Scorer(model)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, at):
                 scores = scorer.scores([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
@@ -246,7 +247,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, grou
 
     Null and empty texts get the score of a text without features. Null ids are scored (their crc32 is that of the empty
     text). Labels that are null or not 0 or 1, contradict each other or belong to no document are ignored; without rows of
-    both labels every score is that of the one label there is, or 0.5. Repeated rows are scored each; either table may be
+    both labels every score is that of the one label there is, or 0.5; without telling features it is their share. Repeated rows are scored each; either table may be
     empty. Whole texts are read; nothing but the bounded sample is shuffled.
     """
     return scored(docs, train_classifier(docs, labels, rows, groups, fairness, doc_id, text, label), doc_id, text)
