@@ -163,7 +163,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def read(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "html"):
                 texts = [main_text(t) for t in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),

@@ -1,6 +1,8 @@
 """Best-fit packing of documents into sequences of a fixed length."""
 
+import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -17,6 +19,7 @@ CAPACITY = 2048
 # Words whose ids a worker remembers, and the longest word it remembers.
 MEMORY = 1_000_000
 WORD = 64
+STOPS = ".,;:!?"
 # Python splits words at these, Unicode does not count them as white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -29,6 +32,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Spark's tasks are the parallelism.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,8 +48,18 @@ class Encoder:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if len(w) <= WORD and not any(s in w for s in self.specials)]
-        out = {}
+        """Ids of different words. Where a word ends in stops, the pattern of the vocabulary splits it before them."""
+        cut = {w: core for w in words if (core := w.rstrip(STOPS)) != w and core[-1:].isalnum()}
+        cores = {c.lower() if c.isascii() else c for c in cut.values()}
+        tails = {w[len(c):] for w, c in cut.items()}
+        once = self.encoded(list(cores.union(tails, (w for w in words if w not in cut))))
+        return {w: once[w] if w not in cut else once[c.lower() if (c := cut[w]).isascii() else c] + once[w[len(c):]] for w in words}
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        # Plain letters are one pre-token and their bytes stand for themselves, so the model can have them directly.
+        model = self.tokenizer.model
+        out = {w: _packed([t.id for t in model.tokenize(w.lower())]) for w in words if w.isascii() and w.isalpha()}
+        plain = [w for w in words if w not in out and len(w) <= WORD and not any(s in w for s in self.specials)]
         for start in range(0, len(plain), 2000):
             part = plain[start:start + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([self.special.join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -61,7 +76,7 @@ class Encoder:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -92,7 +107,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
         mine, task, ranks = encoder(vocabulary), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text"):
                 source, rows = [], []
                 for at, ids in enumerate(mine.encode(part.column("text").to_pylist())):
                     ids += end

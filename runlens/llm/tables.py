@@ -1,12 +1,17 @@
 """Helpers shared by the operators of this folder."""
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.session import new_dir
 
-# Rows of whole texts that one Arrow batch may hold; with texts of 100 kB a batch stays near 50 MB.
+# Rows and bytes of whole texts that Python handles at a time.
 TEXT_ROWS = 512
+TEXT_BYTES = 4 << 20
+# Rows of a few fixed-size columns that may be sent to every executor: some 50 MB there.
+BROADCAST_ROWS = 500_000
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -23,7 +28,18 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
-def slices(batch, rows: int = TEXT_ROWS):
-    """An Arrow batch in zero-copy parts of at most ``rows`` rows."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (short ones, of a written table) marked for replication if they are counted to be ``most`` or fewer; else
+    as they are, for a join by exchange."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def slices(batch, column, rows: int = TEXT_ROWS, most: int = TEXT_BYTES):
+    """An Arrow batch in zero-copy parts of at most ``rows`` rows and about ``most`` bytes of ``column``, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop

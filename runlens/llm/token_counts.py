@@ -1,7 +1,7 @@
 """Token counts of whole texts."""
 
+import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ BATCH_BYTES = 4 << 20
 # Counts of pieces that a worker remembers, and the longest piece it remembers.
 MEMORY = 1_000_000
 PIECE = 64
+STOPS = ".,;:!?"
 # A piece begins at a space that is followed by something else than white space: the tokenizer's own pattern ends a
 # match there, whatever stands before. _UNEVEN finds the texts in which some space is no such place.
 _UNEVEN = re.compile(r" (?=\s)|\s \Z")
@@ -30,6 +31,8 @@ class Counter:
     """
 
     def __init__(self, path: str, special: str = "<|endoftext|>"):
+        # Spark's tasks are the parallelism.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,7 +50,13 @@ class Counter:
         return [first, *[f" {x}" for x in rest]] if not rest or rest[-1] else [first, *[f" {x}" for x in rest[:-1]], " "]
 
     def learn(self, pieces: list[str]) -> dict[str, int]:
-        """Counts of different pieces."""
+        """Counts of different pieces. Where a piece ends in stops, the pattern of the vocabulary splits it before them."""
+        cut = {p: core for p in pieces if (core := p.rstrip(STOPS)) != p and core[-1:].isalnum()}
+        tails = {p[len(c):] for p, c in cut.items()}
+        once = self.counted(list({*cut.values(), *tails, *(p for p in pieces if p not in cut)}))
+        return {p: once[p] if p not in cut else once[cut[p]] + once[p[len(cut[p]):]] for p in pieces}
+
+    def counted(self, pieces: list[str]) -> dict[str, int]:
         plain = [p for p in pieces if len(p) <= PIECE and not any(s in p for s in self.specials)]
         out = {}
         for start in range(0, len(plain), 2000):
@@ -76,19 +85,6 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def by_bytes(texts: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters together, at least one each."""
-    part, size = [], 0
-    for text in texts:
-        if part and size + len(text) > most:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens).
 
@@ -102,9 +98,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, doc_id: str
     def count(batches):
         mine = counter(vocabulary)
         for batch in batches:
-            for part in slices(batch, 4096):
+            for part in slices(batch, "text", rows=4096, most=BATCH_BYTES):
                 texts = part.column("text").to_pylist()
-                n = [c for run in by_bytes(texts) for c in mine.counts(run)]
+                n = mine.counts(texts)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
                     pa.array(n, pa.int64()), pa.array([c > limit for c in n], pa.bool_())],
