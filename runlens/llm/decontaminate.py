@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runlens.llm.tables import settle, text_of
+from runlens.llm.tables import settle, small, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -73,9 +73,9 @@ def text_key(text: Column) -> Column:
 def candidate_windows(marks: DataFrame, listed: DataFrame) -> DataFrame:
     """key, start, m of the item-sized windows that can reach the threshold with any item at all.
 
-    ``marks``: key, position, mark of every shingle. A window of m shingles at 0.8 or more to an item of m has 8 / 9 of
-    them in common with it, so it is enough to fingerprint windows with that many shingles that occur in the benchmark.
-    The best window of an item starts with such a shingle: one that does not is not worse when moved on to the next.
+    ``marks``: key, position, mark of every shingle. A window at 0.8 or more to an item of m shingles has 4 / 5 of
+    them in common with it, also where the text ends within the window, so it is enough to fingerprint windows with that
+    many shingles that occur in the benchmark. The best window of an item starts with such a shingle: one that does not is not worse when moved on to the next.
     The number of shingles in a window is read off ranks: the one that completes it must lie within it.
     """
     known = settle(listed.select(F.explode("marks").alias("mark"), "m").distinct(), "marks")
@@ -83,7 +83,7 @@ def candidate_windows(marks: DataFrame, listed: DataFrame) -> DataFrame:
     # A partition is one text, its rows the benchmark shingles in it.
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("position")))
     opened = ranked.select("key", F.col("position").alias("start"), F.explode("sizes").alias("m"), "rank")
-    opened = opened.withColumn("_last", F.col("rank") + F.ceil(F.col("m") * 8 / 9).cast("int") - 1)
+    opened = opened.withColumn("_last", F.col("rank") + F.ceil(F.col("m") * 4 / 5).cast("int") - 1)
     last = ranked.select(F.col("key").alias("_key"), F.col("rank").alias("_rank"), F.col("position").alias("_position"))
     return opened.join(last, (opened.key == last["_key"]) & (opened["_last"] == last["_rank"])).where(
         "_position < start + m").select("key", "start", "m")
@@ -101,9 +101,10 @@ def passages(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     marks = with_marks(hashed).select("key", F.posexplode_outer("marks").alias("position", "mark"))
     windows = settle(candidate_windows(marks, listed), "windows")
     starts = windows.groupBy("key").agg(F.collect_set(F.struct("start", "m")).alias("windows"))
-    # Only texts with windows are hashed again.
-    again = with_marks(hashed.join(starts, "key")).select("key", "marks", "windows").dropDuplicates(["key"])
-    cut = again.select("key", "marks", F.explode("windows").alias("w")).select(
+    # Only texts with windows are hashed again; of texts alike, one.
+    keys = small(windows.select("key").distinct())
+    again = with_marks(hashed.join(keys, "key", "left_semi").dropDuplicates(["key"])).select("key", "marks")
+    cut = again.join(starts, "key").select("key", "marks", F.explode("windows").alias("w")).select(
         "key", F.col("w.start").alias("start"), F.col("w.m").alias("m"), F.expr("slice(marks, w.start + 1, w.m)").alias("marks"))
     prints = settle(with_print(cut), "prints")
     blocks = prints.select("key", "start", "m", F.explode(F.array(*[
@@ -134,7 +135,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     (words: letters and digits in lower case; weights: how often a shingle occurs); 0.8 or more counts. Each candidate
     passes three steps: enough benchmark shingles in the window (exact), SimHash fingerprints within RADIUS = 19 of 64
     bits (a pair at 0.8 is about 10 apart), exact similarity. start is the word at which the best window begins; ties
-    take the first one.
+    take the first one that starts with a shingle of the benchmark.
 
     Null texts and texts without words hold nothing. Items of fewer than five words are one shingle, found only in
     documents that consist of just them; items without words are not searched. Repeated rows and equal texts all get
@@ -150,4 +151,5 @@ def without_passages(docs: DataFrame, items: DataFrame, text: str = "text", item
     """The rows of ``docs`` in whose text no benchmark item is found, in their own columns."""
     found = settle(passages(docs, items, text, item_id, item_text).select("key").distinct(), "found")
     held = docs.withColumn("_key", text_key(text_of(docs, text)))
+    found = small(found)
     return held.join(found, held["_key"] == found["key"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
