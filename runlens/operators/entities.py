@@ -7,7 +7,7 @@ Fact tables are always the side a skew join may split.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.scalars import parse_flag, parse_instant
+from runlens.functions.scalars import parse_flag, parse_instant, safe_file_name
 from runlens.operators.scan import MAX_ROWS, micros, ordered
 from runlens.operators.series import first_by_name
 from runlens.schemas import RUN_STATES
@@ -33,25 +33,26 @@ def attach_metrics(entities: DataFrame, metrics: DataFrame, key: str, columns) -
 
 
 def run_pod_metrics(runs: DataFrame, pods: DataFrame, metrics: DataFrame,
-                    run_pods: DataFrame = None) -> DataFrame:
+                    run_pods: DataFrame = None, carried=()) -> DataFrame:
     """Samples of a run's pods taken while the run lasted (an open run has no end).
 
-    Membership is the pod's current run, or ``run_pods(run_id, pod_id)`` when a history is kept.
+    Membership is the pod's current run, or ``run_pods(run_id, pod_id)`` when a history is kept. ``carried`` names
+    columns of the runs to keep.
     """
     members = pods.select("pod_id", F.col("name").alias("pod_name"), "run_id") if run_pods is None else \
         run_pods.select("run_id", "pod_id").join(
             pods.select("pod_id", F.col("name").alias("pod_name")), "pod_id")
     spans = (members.filter(F.col("run_id").isNotNull())
-             .join(runs.select("run_id", F.col("name").alias("run_name"), "created_at", "finished_at"), "run_id"))
+             .join(runs.select("run_id", F.col("name").alias("run_name"), "created_at", "finished_at", *carried), "run_id"))
     samples = metrics.drop("run_id")
     inside = (F.col("date") >= F.col("created_at")) & \
              (F.col("finished_at").isNull() | (F.col("date") <= F.col("finished_at")))
     return samples.join(spans, "pod_id").filter(inside).drop("created_at", "finished_at")
 
 
-def run_own_metrics(runs: DataFrame, metrics: DataFrame) -> DataFrame:
+def run_own_metrics(runs: DataFrame, metrics: DataFrame, carried=()) -> DataFrame:
     """A run's own samples within its lifetime."""
-    spans = runs.select("run_id", F.col("name").alias("run_name"), "created_at", "finished_at")
+    spans = runs.select("run_id", F.col("name").alias("run_name"), "created_at", "finished_at", *carried)
     inside = (F.col("date") >= F.col("created_at")) & \
              (F.col("finished_at").isNull() | (F.col("date") <= F.col("finished_at")))
     return (metrics.filter(F.col("run_id").isNotNull()).join(spans, "run_id").filter(inside)
@@ -59,14 +60,32 @@ def run_own_metrics(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def run_export_rows(runs: DataFrame, pods: DataFrame, metrics: DataFrame,
-                    run_pods: DataFrame = None) -> DataFrame:
-    """The samples of a run's export: its own under ``result``, its pods' under the pod name."""
-    columns = ["run_id", "run_name", "prefix", "name", "date", "value", "cumulative", "metric_id"]
-    own = run_own_metrics(runs, metrics).withColumn("prefix", F.lit("result"))
-    of_pods = run_pod_metrics(runs, pods, metrics, run_pods).withColumn("prefix", F.col("pod_name"))
+                    run_pods: DataFrame = None, since=None) -> DataFrame:
+    """The samples of a run's export: its own under ``result``, its pods' under the pod name; from ``since`` on, if given.
+
+    The archive's name is made on the table of runs.
+    """
+    columns = ["run_id", "run_name", "archive", "prefix", "name", "date", "value", "cumulative", "metric_id"]
+    runs = runs.withColumn("archive", _archive("name"))
+    metrics = metrics if since is None else metrics.filter(F.col("date") >= since)
+    own = run_own_metrics(runs, metrics, ["archive"]).withColumn("prefix", F.lit("result"))
+    of_pods = run_pod_metrics(runs, pods, metrics, run_pods, ["archive"]).withColumn("prefix", F.col("pod_name"))
     return own.select(*columns).unionByName(of_pods.select(*columns))
 
 
+def pod_export_rows(pods: DataFrame, metrics: DataFrame, since=None) -> DataFrame:
+    """The samples of each pod's own export, whenever taken; from ``since`` on, if given. ``run_id`` holds the pod's id."""
+    named = pods.select("pod_id", F.col("name").alias("run_name"), _archive("name").alias("archive"))
+    metrics = metrics if since is None else metrics.filter(F.col("date") >= since)
+    return metrics.drop("run_id").join(named, "pod_id").select(
+        F.col("pod_id").alias("run_id"), "run_name", "archive", F.lit("result").alias("prefix"), "name", "date", "value",
+        "cumulative", "metric_id")
+
+
+def _archive(name: str):
+    return F.concat(F.lit("metrics_"), safe_file_name(F.col(name)))
+
+
 def ingest_status(events: DataFrame, pods: DataFrame, runs: DataFrame) -> DataFrame:
     """Posted payloads with ``status``, ``message`` and the ids of the pod or run they belong to.
 

@@ -135,6 +135,11 @@ def job_output(spark, sf):
 def export_run(spark, sf):
     path = new_dir(spark, "export")
     rows = entities.run_export_rows(t.runs(spark, sf), t.pods(spark, sf), t.metrics(spark, sf))
+    return exported(spark, rows, path)
+
+
+def exported(spark, rows, path):
+    """Rows of the documents written for ``rows``."""
     export.export_run(rows, path)
     sample = F.from_json(F.regexp_replace("value", r"^[\[,]", ""), "date timestamp, value string, cumulative boolean")
     return (spark.read.text(path).filter(F.col("value") != "]")
@@ -143,6 +148,24 @@ def export_run(spark, sf):
                     F.col("s.value").cast("double").alias("value"), "s.cumulative"))
 
 
+@query(with_tables(PODS, METRICS) + """select p.pod_id as run_id, 'metrics_' || replace(p.name, '#', '') as archive,
+  'result_' || m.name || '.json' as file, m.date, m.value, m.cumulative from metrics m join pods p on m.pod_id = p.pod_id""")
+def export_pod(spark, sf):
+    return exported(spark, entities.pod_export_rows(t.pods(spark, sf), t.metrics(spark, sf)), new_dir(spark, "export"))
+
+
+@query(with_tables(PODS, RUNS, METRICS, RUN_METRICS) + """select r.run_id, 'metrics_' || r.name as archive,
+  'result_' || m.name || '.json' as file, m.date, m.value, m.cumulative
+ from metrics m join runs r on m.run_id = r.run_id
+ where m.date >= r.created_at and (r.finished_at is null or m.date <= r.finished_at) and m.date >= timestamp '2024-01-15'
+ union all select run_id, 'metrics_' || run_name, pod_name || '_' || name || '.json', date, value, cumulative
+ from run_metrics where date >= timestamp '2024-01-15'""")
+def export_since(spark, sf):
+    rows = entities.run_export_rows(t.runs(spark, sf), t.pods(spark, sf), t.metrics(spark, sf),
+                                    since=F.lit("2024-01-15").cast("timestamp"))
+    return exported(spark, rows, new_dir(spark, "export"))
+
+
 @query(with_tables(PODS, RUNS, PAYLOADS, JUDGED) + """select name, status::bigint as status, message, count(*) as payloads
  from judged group by 1, 2, 3""")
 def metric_events(spark, sf):

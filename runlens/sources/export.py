@@ -12,11 +12,11 @@ CLOSING = (1 << 63) - 1
 def export_lines(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Lines of one JSON array per (run, archive, file), in order of ``pos``.
 
-    ``rows`` as from ``run_export_rows``. Each sample is one line, so a series needs no task of its own.
+    ``rows`` as from ``run_export_rows`` or ``pod_export_rows``. Each sample is one line, so a series needs no task of its own.
     """
-    files = rows.withColumns({
-        "archive": F.concat(F.lit("metrics_"), safe_file_name(F.col("run_name"))),
-        "file": F.concat(F.col("prefix"), F.lit("_"), F.col("name"), F.lit(".json"))})
+    if "archive" not in rows.columns:
+        rows = rows.withColumn("archive", F.concat(F.lit("metrics_"), safe_file_name(F.col("run_name"))))
+    files = rows.withColumn("file", F.concat(F.col("prefix"), F.lit("_"), F.col("name"), F.lit(".json")))
     keys = ["run_id", "archive", "file"]
     placed = ordinal(files, keys, micros("date"), ["date", "metric_id"], "pos", max_rows,
                      F.col("metric_id"))

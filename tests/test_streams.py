@@ -90,3 +90,39 @@ def test_nothing_new(spark, sf):
     stream = spark.readStream.schema(data.schema).parquet(landing)
     assert jobs.read_since(stream, out, checkpoint).count() == data.count()
     assert jobs.read_since(stream, out, checkpoint).isEmpty()
+
+
+def test_latest_listing_of_a_trigger_counts(spark, tmp_path):
+    from runlens.streaming.jobs import start_inventory
+
+    rows = [("a", "Running", 1), ("b", "Running", 1), ("a", "Failed", 2)]
+    df = spark.createDataFrame([(n, p, "ip", "node", s) for n, p, s in rows],
+                               "name string, phase string, ip string, node_name string, seen_at long")
+    df.write.parquet(f"{tmp_path}/in")
+    initial = df.drop("seen_at").limit(0)
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    start_inventory(stream, initial, f"{tmp_path}/table", f"{tmp_path}/changes", f"{tmp_path}/check").awaitTermination()
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/table").collect()
+    assert [(r["name"], r["phase"]) for r in stored] == [("a", "Failed")]
+
+
+def test_rates_of_equal_dates_across_triggers(spark, tmp_path):
+    import datetime
+
+    from runlens.streaming.jobs import start_counter_rate
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(1, 0, 1.0), (2, 0, 2.0), (3, 0, 4.0), (4, 1, 9.0), (0, 0, 7.0)]
+    schema = "metric_id long, pod_id long, name string, date timestamp, value double, cumulative boolean"
+    for n, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame([(i, 1, "c", day + datetime.timedelta(seconds=s), v, True) for i, s, v in part], schema) \
+            .coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1) \
+        .parquet(f"{tmp_path}/in/")
+    query = start_counter_rate(stream, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/check",
+                               trigger={"availableNow": True}, rejects=f"{tmp_path}/late")
+    query.awaitTermination()
+    read = lambda p: spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{p}").collect()
+    assert {r["metric_id"] for r in read("out")} | {r["metric_id"] for r in read("late")} == {0, 1, 2, 3, 4}
+    assert not {r["metric_id"] for r in read("out")} & {r["metric_id"] for r in read("late")}
+    assert 3 in {r["metric_id"] for r in read("out")} or {1, 2} <= {r["metric_id"] for r in read("late")}
