@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.memory import Memory
-from runlens.llm.tables import settle, slices, text_of
+from runlens.llm.tables import settle, slices, small, text_of
 
 # Words in a shingle; the similarity from which texts are near duplicates.
 SHINGLE = 5
 SIMILARITY = 0.8
 # Sketches of a text, and the shingles in each. Two texts at the threshold agree in a sketch with a probability of about
-# 0.8 ** 5 = 0.33 and so miss each other in all of them with 1e-7.
-SKETCHES = 40
-MINIMA = 5
+# 0.8 ** 4 = 0.41 and so miss each other in all of them with 3e-6.
+SKETCHES = 24
+MINIMA = 4
 # Texts of up to SHORT_TO shingles have sketches of SHORT_MINIMA, those of LONG_FROM or more have the others; as lengths of
 # near duplicates differ by a fifth at most, any two of them share one kind.
 SHORT_MINIMA, SHORT_TO, LONG_FROM = 3, 12, 10
+# Members of a bucket that are all compared with each other; larger buckets have a center.
+FEW = 8
 MEMORY = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLIERS = np.random.RandomState(20).randint(1, 2**63 - 1, 64 + SHINGLE + MINIMA, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -159,7 +161,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
 
     def sign(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text"):
                 texts, keys = part.column("text").to_pylist(), part.column("text_key").to_pylist()
                 words, counts, values = [], [], []
                 for hashes, key in zip(word_hashes(texts), keys):
@@ -176,92 +178,108 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
         sign, f"doc_id {kind}, text_key binary, words_key binary, n_shingles long, sketches array<long>"), "signatures")
 
 
-def shingle_table(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """words_key, marks (the shingles as bytes) of the texts in ``wanted`` (text_key, words_key), written once."""
-    plain = docs.select(text_of(docs, text).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
-    plain = plain.join(wanted, "text_key").select("words_key", "text")
+def shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """words_key, marks (the shingles as bytes) of the texts in ``wanted`` (doc_id, text_key, words_key), written once."""
+    plain = docs.select(docs[doc_id].alias("doc_id"), text_of(docs, text).alias("text")).withColumn(
+        "text_key", F.unhex(F.md5("text")))
+    wanted = small(wanted.withColumnRenamed("doc_id", "_id"))
+    plain = plain.join(wanted, (plain.text_key == wanted.text_key) & plain.doc_id.eqNullSafe(wanted["_id"])).select(
+        "words_key", "text")
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text"):
                 marks = [shingles(h).tobytes() for h in word_hashes(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("words_key"), pa.array(marks, pa.binary())], ["words_key", "marks"])
 
     return settle(plain.mapInArrow(cut, "words_key binary, marks binary").dropDuplicates(["words_key"]), "shingles")
 
 
+def apart(member: np.ndarray, center: np.ndarray) -> np.ndarray:
+    """The labelled shingles that ``member`` has and ``center`` has not, in the order of their hashes, as many as any
+    text similar to ``member`` must share one of, if it shares any.
+
+    Similar texts have 0.8 of the longer one's shingles in common, so in any common order the first 0.2 n + 1 of each
+    must meet. The order here puts the shingles of the center last.
+    """
+    own = labelled(member)
+    return np.setdiff1d(own, labelled(center), assume_unique=True)[:len(own) - -(-4 * len(own) // 5) + 1]
+
+
 def verify(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (member, center) that are near duplicates, with their similarity."""
+    """The pairs (member, center, deal) with their similarity, null below the threshold, and ``apart`` where ``deal``."""
     a = marks.select(F.col("words_key").alias("member"), F.col("marks").alias("_a"))
     b = marks.select(F.col("words_key").alias("center"), F.col("marks").alias("_b"))
 
     def judge(batches):
         for batch in batches:
-            for part in slices(batch, 1024):
-                good, values = [], []
-                for at, (x, y) in enumerate(zip(part.column("_a"), part.column("_b"))):
+            for part in slices(batch, "_a"):
+                values, keys = [], []
+                for x, y, deal in zip(part.column("_a"), part.column("_b"), part.column("deal").to_pylist()):
                     x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                     found = aligned(x, y, needed(len(x), len(y)))
-                    if found >= 0:
-                        good.append(at)
-                        values.append(found / (len(x) + len(y) - found))
-                chosen = pa.array(good, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("member").take(chosen), part.column("center").take(chosen),
-                                                  pa.array(values, pa.float64())], ["member", "center", "similarity"])
+                    values.append(found / (len(x) + len(y) - found) if found >= 0 else None)
+                    keys.append(apart(x, y).astype(np.int64) if deal else [])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("member"), part.column("center"), part.column("deal"), pa.array(values, pa.float64()),
+                     pa.array(keys, pa.list_(pa.int64()))], ["member", "center", "deal", "similarity", "apart"])
 
-    return pairs.join(a, "member").join(b, "center").select("member", "center", "_a", "_b").mapInArrow(
-        judge, "member binary, center binary, similarity double")
+    return a.join(small(pairs), "member").join(b, "center").select("member", "center", "deal", "_a", "_b").mapInArrow(
+        judge, "member binary, center binary, deal boolean, similarity double, apart array<long>")
 
 
-def links(docs: DataFrame, signed: DataFrame, text: str = "text") -> DataFrame:
-    """Near-duplicate pairs (member, center, similarity) of words keys that hold every class together, written once.
+def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Near-duplicate pairs (member, center, similarity) of words keys that hold every class together.
 
-    Texts that agree in a sketch form a bucket. No pairs of a bucket are listed: every member is compared with a center,
+    Texts that agree in a sketch form a bucket. Buckets of up to FEW members are compared throughout. No pairs of a larger
+    bucket are listed: every member is compared with a center,
     the member that shares most sketches with others (of a text and its edited copies that is the text, or the copy
-    closest to it). Those who match it are linked and leave the bucket; the rest elect new centers, in the next round four
-    times as many, until no bucket has two members left. Every comparison is made once. A pair at the threshold or
-    above shares about thirteen buckets, which hold different neighbours, so it is compared or linked by way of others.
+    closest to it), and linked if it matches. Two members that both match are connected by that. If one of two similar
+    members does not match, they have a shingle in common that the center lacks, as the center has too few of its
+    shingles: so all members are dealt anew by such shingles (``apart``), and buckets with members that no links connect so
+    far go through the same in the next round, without the old center. Edits and surroundings differ between texts, so what goes on is
+    little, and a passage that many texts share, which the center has as well, keeps no bucket together.
     """
     texts = signed.where("n_shingles > 0").groupBy("words_key").agg(
-        F.min("text_key").alias("text_key"), F.min_by("sketches", "text_key").alias("sketches"))
-    entries = texts.select("words_key", "text_key", F.explode(F.array_distinct("sketches")).alias("bucket"))
+        F.min(F.struct("text_key", "doc_id")).alias("_first"), F.min_by("sketches", "text_key").alias("sketches"))
+    texts = settle(texts.select("words_key", "_first.*", F.array_distinct("sketches").alias("sketches"),
+                                F.xxhash64("words_key").alias("short")), "texts")
+    # Buckets are counted by short keys. Should two texts share one, a bucket has one more to be compared.
+    entries = texts.select("short", F.explode("sketches").alias("bucket"))
     counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = settle(entries.join(counts, "bucket"), "buckets")
-    degrees = shared.groupBy("words_key", "text_key").agg(F.sum("size").alias("degree"))
-    degrees = settle(degrees, "degrees")
-    marks = shingle_table(docs, degrees.select("text_key", "words_key"), text)
-    members = settle(shared.select("bucket", F.col("words_key").alias("member")).join(
-        degrees.select(F.col("words_key").alias("member"), "degree"), "member"), "members")
-    found, judged, split = [], None, 1
-    while not members.isEmpty():
-        part = F.pmod(F.xxhash64("member", F.lit(split)), F.lit(split))
-        centers = members.groupBy("bucket", part.alias("_part")).agg(
-            F.max(F.struct("degree", "member")).alias("_center")).select("bucket", F.col("_center.member").alias("center"))
-        tried = settle(members.join(centers, "bucket"), "tried")
-        pairs = tried.where("member <> center").select(
-            F.greatest("member", "center").alias("member"), F.least("member", "center").alias("center")).distinct()
+    degrees = shared.groupBy("short").agg(F.sum("size").alias("degree"))
+    degrees = settle(texts.drop("sketches").join(degrees, "short"), "degrees")
+    marks = shingle_table(docs, degrees.select("doc_id", "text_key", "words_key"), doc_id, text)
+    rank = degrees.select(F.col("words_key").alias("member"), "degree")
+    members = settle(shared.join(degrees, "short").select("bucket", F.col("words_key").alias("member"), "degree"), "members")
+    judged = None
+    while judged is None or not members.isEmpty():
+        elected = members.groupBy("bucket").agg(F.max(F.struct("degree", "member")).alias("_center"), F.count(F.lit(1)).alias("_n"))
+        sized = settle(members.join(elected, "bucket").select(
+            "bucket", "member", F.col("_center.member").alias("center"), (F.col("_n") > FEW).alias("deal")), "members")
+        few = sized.where("not deal").select("bucket", "member", "deal")
+        others = few.select("bucket", F.col("member").alias("center"))
+        pairs = sized.where("deal and member <> center").select("member", "center", "deal").unionByName(
+            few.join(others, "bucket").where("member > center").select("member", "center", "deal"))
+        pairs = pairs.groupBy("member", "center").agg(F.bool_or("deal").alias("deal"))
         if judged is not None:
-            pairs = pairs.join(judged, ["member", "center"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        good = settle(verify(pairs, marks), "links")
-        found.append(good)
-        judged = pairs if judged is None else judged.unionByName(pairs)
-        both = good.select("member", "center").union(good.select("center", "member"))
-        for old in found[:-1]:
-            both = both.union(old.select("member", "center")).union(old.select("center", "member"))
-        over = tried.join(both.withColumn("_linked", F.lit(True)), ["member", "center"], "left").groupBy(
-            "bucket", "member", "degree").agg(F.max(F.coalesce("_linked", F.col("member") == F.col("center"))).alias("_out"))
-        rest = over.where("not _out").select("bucket", "member", "degree")
-        many = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-        members = settle(rest.join(many, "bucket", "left_semi"), "members")
-        split *= 4
-    if not found:
-        kind = "member binary, center binary, similarity double"
-        return signed.sparkSession.createDataFrame([], kind)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+            before = judged.select("member", "center", F.col("deal").alias("_dealt"))
+            pairs = pairs.join(before, ["member", "center"], "left").where("_dealt is null or deal and not _dealt").drop("_dealt")
+        tried = settle(verify(settle(pairs, "pairs"), marks), "verified")
+        judged = tried if judged is None else judged.unionByName(tried)
+        again = tried.where("deal")
+        if again.isEmpty():
+            break
+        found = judged.where("similarity is not null")
+        roots = components(found.select(F.col("member").alias("a"), F.col("center").alias("b")))
+        dealt = again.join(roots, again.member == roots.node, "left").select(
+            "member", F.coalesce("root", "member").alias("_root"), "center", F.explode("apart").alias("_mark"))
+        dealt = dealt.select("member", "_root", F.xxhash64("center", "_mark").alias("bucket"))
+        wanted = dealt.groupBy("bucket").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b"))
+        wanted = wanted.where("_a <> _b").select("bucket")
+        members = settle(dealt.join(wanted, "bucket").select("bucket", "member").distinct().join(rank, "member"), "members")
+    return judged.where("similarity is not null").select("member", "center", "similarity").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,23 +315,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table gives an empty result. Only doc_id and text are read, and whole.
     """
     signed = signatures(docs, doc_id, text, sketches)
-    return classes(signed, links(docs, signed, text))
+    return classes(signed, links(docs, signed, doc_id, text)).drop("text_key")
 
 
 def classes(signed: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text_key, class_id, class_size, n_links, kept of all rows of ``signatures`` under the links ``found``."""
     roots = components(found.select(F.col("member").alias("a"), F.col("center").alias("b")))
     degree = found.select("member").union(found.select("center")).groupBy("member").agg(F.count(F.lit(1)).alias("n_links"))
     known = roots.join(degree, roots.node == degree.member).select(F.col("node").alias("words_key"), "root", "n_links")
     # Only linked texts are in ``known``; all others are their own roots.
-    rows = signed.select("doc_id", "words_key").join(known, "words_key", "left").select(
-        "doc_id", F.coalesce("root", "words_key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = signed.select("doc_id", "text_key", "words_key").join(known, "words_key", "left").select(
+        "doc_id", "text_key", F.coalesce("root", "words_key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = settle(rows, "classes")
     sums = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(sums, "root").select("doc_id", "class_id", "class_size", "n_links",
+    return rows.join(sums, "root").select("doc_id", "text_key", "class_id", "class_size", "n_links",
                                           F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, in their own columns."""
-    kept = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_id"]), "left_semi")
+    """The rows of ``docs`` that stay, in their own columns; texts are exchanged only where more rows go than can be
+    replicated."""
+    signed = signatures(docs, doc_id, text)
+    gone = classes(signed, links(docs, signed, doc_id, text)).where("not kept")
+    gone = small(settle(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_gone")).distinct(), "gone"))
+    held = docs.withColumn("_key", F.unhex(F.md5(text_of(docs, text))))
+    out = held.join(gone, held[doc_id].eqNullSafe(gone["_id"]) & (held["_key"] == gone["_gone"]), "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
