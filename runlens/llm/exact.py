@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.tables import settle, text_of
+from runlens.llm.tables import settle, small, text_of
 
 # Runs that one task set merges into one per round, as a power of two: 3 stands for eight-way merges.
 RADIX_BITS = 3
@@ -65,15 +65,20 @@ def exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, in their own columns.
 
-    Only the digests are merged; the texts are not shuffled unless a doc_id is repeated. Rows that repeat a doc_id and
-    its text become one; rows with equal texts and null ids become one if the group has no other id to keep.
+    Only digests are exchanged; the texts are where no more rows go than can be replicated. Rows that repeat a doc_id
+    and its text become one; rows with equal texts and null ids become one if the group has no other id to keep.
     """
-    fates = exact_copies(docs, doc_id, text)
-    kept = settle(fates.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")), "kept")
-    twice = kept.groupBy("_id", "_sha").count().where("count > 1")
-    once = kept.distinct()
+    fates = settle(exact_copies(docs, doc_id, text).select(
+        F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept", "group_size"), "fates")
+    gone = small(fates.where("not kept").select("_id", F.col("_sha").alias("_gone")).distinct())
+    names = [F.col(f"`{c}`") for c in docs.columns]
     held = docs.withColumn("_sha", F.unhex(F.sha2(normalised(docs, text), 256)))
-    out = held.join(once, held[doc_id].eqNullSafe(once["_id"]) & (held["_sha"] == once["_sha"]), "left_semi")
-    if not twice.isEmpty():
-        out = out.dropDuplicates([doc_id, "_sha"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = held.join(gone, held[doc_id].eqNullSafe(gone["_id"]) & (held["_sha"] == gone["_gone"]), "left_anti")
+    twice = fates.where("kept and group_size > 1").groupBy("_id", "_sha").count().where("count > 1")
+    twice = settle(twice.select("_id", F.col("_sha").alias("_twice")), "repeated")
+    if twice.isEmpty():
+        return out.select(*names)
+    again = small(twice)
+    same = out[doc_id].eqNullSafe(again["_id"]) & (out["_sha"] == again["_twice"])
+    once = out.join(again, same, "left_semi").dropDuplicates([doc_id, "_sha"])
+    return out.join(again, same, "left_anti").select(*names).unionByName(once.select(*names))
