@@ -24,7 +24,7 @@ MINIMA = 4
 # near duplicates differ by a fifth at most, any two of them share one kind.
 SHORT_MINIMA, SHORT_TO, LONG_FROM = 3, 12, 10
 # Members of a bucket that are all compared with each other; larger buckets have a center.
-FEW = 8
+FEW = 32
 MEMORY = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLIERS = np.random.RandomState(20).randint(1, 2**63 - 1, 64 + SHINGLE + MINIMA, dtype=np.int64).astype(np.uint64) | np.uint64(1)
