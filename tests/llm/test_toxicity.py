@@ -50,13 +50,14 @@ def test_held_out_labels_are_never_read(spark):
 def test_counterfactuals_take_weight_off_identity_terms(spark):
     rows, labels = corpus(identity="muslims")
     docs, known = documents(spark, rows), labels_of(spark, labels)
-    neutral = documents(spark, [(1, "Muslims w1 w2 w3."), (2, "Christians w1 w2 w3."), (3, "w1 w2 w3.")])
     plain, fair = (t.train_classifier(docs, known, fairness=x) for x in (0.0, 30.0))
-    gap = []
-    for model in (plain, fair):
-        scores = {r.doc_id: r.score for r in t.scored(neutral, model).collect()}
-        gap.append(abs(scores[1] - scores[2]))
-    assert gap[0] > 0.05 and gap[1] < gap[0] / 4
+
+    def gap(weights):
+        """The change in log odds when one term is swapped for the other; scores far from a half would hide it."""
+        return abs(sum(weights.get(f, 0.0) for f in t.features_of("muslims")) - sum(
+            weights.get(f, 0.0) for f in t.features_of("christians")))
+
+    assert gap(plain[0]) > 0.2 and gap(fair[0]) < gap(plain[0]) / 4
     assert fair[0]["idiot"] > 1
 
 
