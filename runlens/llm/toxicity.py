@@ -45,16 +45,26 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def training_ids(labels: DataFrame, rows: int = TRAINING_ROWS, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """doc_id and label of at most ``rows`` labelled documents of each label: those with the smallest hashes of their id.
+def usable_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """doc_id and label of the labelled documents that may be learned from.
 
     Rows whose crc32(doc_id as text) is divisible by 5 are held out; a document with contradicting labels is left out.
     """
     known = labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("label"))
     known = known.where("doc_id is not null and label in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most")
+    return known.select("doc_id", "label")
+
+
+def sampled(known: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """At most ``rows`` of ``usable_labels`` of each label: those with the smallest hashes of their id."""
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for v in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("doc_id", "label")
+    return parts[0].unionByName(parts[1])
+
+
+def training_ids(labels: DataFrame, rows: int = TRAINING_ROWS, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """doc_id and label of at most ``rows`` labelled documents of each label, held-out and contradicting ones left out."""
+    return sampled(usable_labels(labels, doc_id, label), rows)
 
 
 def feature_counts(train: DataFrame) -> DataFrame:
@@ -127,35 +137,40 @@ def design(train: DataFrame, features: list[str], groups=IDENTITY_TERMS) -> Data
 
 
 def fit(rows: list, n_features: int, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 400,
-        rate: float = 0.3) -> tuple[np.ndarray, float]:
+        rate: float = 0.3, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """Weights and bias of the classifier, by Adam on the whole (bounded) design.
 
     Loss: the mean log loss, plus ``ridge`` times the squared weights, plus
-    ``fairness`` times the mean squared change of the score between sentences and their counterfactuals.
+    ``fairness`` times the mean squared change of the score between sentences and their counterfactuals. In both means a
+    row counts as the number of labelled documents that it ``stands_for``, given for clean and toxic ones.
     """
     labels = np.array([r.label for r in rows], float)
     weights, bias = np.zeros(n_features), 0.0
     if not len(labels):
         return weights, bias
-    share = labels.mean()
-    if share in (0.0, 1.0):
-        return weights, 8.0 * share - 4.0
+    if labels.min() == labels.max():
+        return weights, 8.0 * labels[0] - 4.0
+    part = np.where(labels == 1, stands_for[1], stands_for[0])
+    part /= part.sum()
+    share = part @ labels
     if not n_features:
         return weights, math.log(share / (1 - share))
     at = np.repeat(np.arange(len(rows)), [len(r.on) for r in rows])
     on = np.concatenate([np.array(r.on, np.int64) for r in rows])
     pairs = [p for r in rows for p in r.pairs]
+    p_part = np.repeat(part, [len(r.pairs) for r in rows])
+    p_part /= p_part.sum() or 1.0
     p_at = np.repeat(np.arange(len(pairs)), [len(p.lost) + len(p.gained) for p in pairs]).astype(np.int64)
     p_on = np.array([i for p in pairs for i in (*p.lost, *p.gained)], np.int64)
     p_sign = np.array([s for p in pairs for s in [1.0] * len(p.lost) + [-1.0] * len(p.gained)])
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
         z = bias + np.bincount(at, weights[on], len(labels))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * part
         slope = np.bincount(on, error[at], n_features) + 2 * ridge * weights
         if pairs:
-            change = np.bincount(p_at, p_sign * weights[p_on], len(pairs))
-            slope += 2 * fairness / len(pairs) * np.bincount(p_on, p_sign * change[p_at], n_features)
+            change = p_part * np.bincount(p_at, p_sign * weights[p_on], len(pairs))
+            slope += 2 * fairness * np.bincount(p_on, p_sign * change[p_at], n_features)
         slope = np.append(slope, error.sum())
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope ** 2
         move = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
@@ -168,9 +183,13 @@ def train_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_RO
     """(weight by feature, bias), learned from at most ``rows`` documents of each label.
 
     The ids of the sample are bounded by that parameter and so is what the driver receives: at most ``FEATURES`` names and
-    a few indexes per sampled document. Features are counted in Spark over the sample.
+    a few indexes per sampled document. Features are counted in Spark over the sample. A sampled row stands for as many
+    labelled documents as there are of its label for each one sampled, so the share of toxic ones is that of all labels.
     """
-    chosen = settle(training_ids(labels, rows, doc_id, label), "training")
+    known = settle(usable_labels(labels, doc_id, label), "labels")
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands_for = tuple(max(1.0, counts.get(v, 0) / max(rows, 1)) for v in (0, 1))
+    chosen = settle(sampled(known, rows), "training")
     held = docs.select(docs[doc_id].alias("doc_id"), text_of(docs, text).alias("text"))
     # At most 2 * rows ids of 8 bytes.
     train = settle(held.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label"), "training")
@@ -179,7 +198,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_RO
     if sizes.get(0) and sizes.get(1):
         features = chosen_features(feature_counts(train), sizes[1], sizes[0])
     made = design(train, features, groups).collect()
-    weights, bias = fit(made, len(features), fairness=fairness)
+    weights, bias = fit(made, len(features), fairness=fairness, stands_for=stands_for)
     return {f: float(w) for f, w in zip(features, weights) if abs(w) > 1e-9}, float(bias)
 
 

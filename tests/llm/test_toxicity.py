@@ -88,3 +88,29 @@ def test_sample_is_bounded_and_contradictions_go(spark):
     got = {r.doc_id: r.label for r in t.training_ids(known, rows=20).collect()}
     assert len(got) == 40 and 1 not in got and all(y == i % 2 for i, y in got.items())
     assert 3 in {r.doc_id for r in t.training_ids(known, rows=500).collect()}
+
+
+def test_a_cap_on_the_sample_leaves_the_scores(spark):
+    """5% of the texts are toxic; a cap that binds for clean ones only must not draw clean texts towards a half."""
+    draw, rows, labels = random.Random(5), [], []
+    for i in range(4000):
+        toxic = i % 20 == 3
+        w = [f"w{draw.randrange(80)}" for _ in range(draw.randint(5, 30))]
+        if draw.random() < (0.9 if toxic else 0.005):
+            w.append(draw.choice(["idiot", "moron"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, known = documents(spark, rows), labels_of(spark, labels)
+    low, full = ({r.doc_id: r.score for r in t.toxicity(docs, known, rows=n).collect()} for n in (150, 20_000))
+    gaps = [abs(np.log(low[i] / (1 - low[i])) - np.log(full[i] / (1 - full[i]))) for i in full]
+    assert np.mean(gaps) < 0.4 and np.mean([(low[i] >= 0.5) == (full[i] >= 0.5) for i in full]) >= 0.99
+    plain = [low[i] for i, text in rows if not {"idiot", "moron"} & set(text.split())]
+    assert np.mean(plain) < 0.05
+
+
+def test_without_features_a_capped_sample_gives_the_share_of_all_labels(spark):
+    rows = [(i, "same words") for i in range(2000)]
+    known = labels_of(spark, [(i, int(i % 20 == 3)) for i in range(2000)])
+    weights, bias = t.train_classifier(documents(spark, rows), known, rows=50)
+    used = [r.label for r in t.usable_labels(known).collect()]
+    assert not weights and 1 / (1 + np.exp(-bias)) == pytest.approx(np.mean(used))
