@@ -23,7 +23,7 @@ MINIMA = 4
 # Texts of up to SHORT_TO shingles have sketches of SHORT_MINIMA, those of LONG_FROM or more have the others; as lengths of
 # near duplicates differ by a fifth at most, any two of them share one kind.
 SHORT_MINIMA, SHORT_TO, LONG_FROM = 3, 12, 10
-# Members of a bucket that are all compared with each other; larger buckets have a center.
+# Members of a bucket that are all compared with each other, not counting connected ones; larger buckets have a center.
 FEW = 32
 MEMORY = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -195,49 +195,91 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) ->
     return settle(plain.mapInArrow(cut, "words_key binary, marks binary").dropDuplicates(["words_key"]), "shingles")
 
 
+def prefix(n: int) -> int:
+    """How many shingles of a text of ``n``, first in any order common to all texts, hold one of every similar text's
+    first ones: similar texts have 0.8 of the longer one's shingles in common."""
+    return n - -(-4 * n // 5) + 1
+
+
 def apart(member: np.ndarray, center: np.ndarray) -> np.ndarray:
-    """The labelled shingles that ``member`` has and ``center`` has not, in the order of their hashes, as many as any
-    text similar to ``member`` must share one of, if it shares any.
+    """All labelled shingles that ``member`` has and ``center`` has not, in the order of their hashes."""
+    return np.sort(np.setdiff1d(labelled(member), labelled(center), assume_unique=True))
 
-    Similar texts have 0.8 of the longer one's shingles in common, so in any common order the first 0.2 n + 1 of each
-    must meet. The order here puts the shingles of the center last.
-    """
-    own = labelled(member)
-    return np.setdiff1d(own, labelled(center), assume_unique=True)[:len(own) - -(-4 * len(own) // 5) + 1]
 
+def within(member: np.ndarray, center: np.ndarray) -> np.ndarray:
+    """The labelled shingles of ``center`` that ``member`` has, in the order of their hashes, as far as they belong to its
+    ``prefix`` where the shingles of the center come last."""
+    common = np.intersect1d(labelled(member), labelled(center), assume_unique=True)
+    return common[:max(0, prefix(len(member)) - len(member) + len(common))]
 
-def verify(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (member, center, deal) with their similarity, null below the threshold, and ``apart`` where ``deal``."""
-    a = marks.select(F.col("words_key").alias("member"), F.col("marks").alias("_a"))
-    b = marks.select(F.col("words_key").alias("center"), F.col("marks").alias("_b"))
 
+def verify(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (member, center, deal) with their similarity, null below the threshold, the number of shingles of the
+    member (n) and how many of them the center has (inside), and where ``deal`` the ``prefix`` of ``apart``."""
     def judge(batches):
         for batch in batches:
             for part in slices(batch, "_a"):
-                values, keys = [], []
+                values, keys, sizes, inside = [], [], [], []
                 for x, y, deal in zip(part.column("_a"), part.column("_b"), part.column("deal").to_pylist()):
                     x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                     found = aligned(x, y, needed(len(x), len(y)))
                     values.append(found / (len(x) + len(y) - found) if found >= 0 else None)
-                    keys.append(apart(x, y).astype(np.int64) if deal else [])
+                    outside = apart(x, y) if deal else x[:0]
+                    keys.append(outside[:prefix(len(x))].astype(np.int64))
+                    sizes.append(len(x))
+                    inside.append(len(x) - len(outside) if deal else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("member"), part.column("center"), part.column("deal"), pa.array(values, pa.float64()),
-                     pa.array(keys, pa.list_(pa.int64()))], ["member", "center", "deal", "similarity", "apart"])
+                     pa.array(sizes, pa.int64()), pa.array(inside, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["member", "center", "deal", "similarity", "n", "inside", "apart"])
+
+    return with_marks(pairs, marks).select("member", "center", "deal", "_a", "_b").mapInArrow(
+        judge, "member binary, center binary, deal boolean, similarity double, n long, inside long, apart array<long>")
+
+
+def with_marks(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The written ``pairs`` with the shingles of the member (_a) and of the center (_b)."""
+    a = marks.select(F.col("words_key").alias("member"), F.col("marks").alias("_a"))
+    b = marks.select(F.col("words_key").alias("center"), F.col("marks").alias("_b"))
+    return a.join(small(pairs), "member").join(b, "center")
+
+
+def contained(again: DataFrame, marks: DataFrame) -> DataFrame:
+    """member, center, _mark: ``within`` of those members that may have all they share with a similar text in the center
+    although one of the two misses it, as the center is longer or has another order.
+
+    Two texts of n and m shingles share 4 / 9 (n + m) of them at least. If the center has all of those, 4 m is no more than
+    9 inside - 4 n (reach), and the same holds the other way round.
+    """
+    again = again.withColumn("reach", F.expr("9 * inside - 4 * n")).where("5 * reach >= 16 * n")
+    missed = again.where("similarity is null").groupBy("center").agg(F.min("n").alias("_low"), F.max("reach").alias("_top"))
+    missed = settle(missed, "missed")
+    found = again.join(small(missed), "center").where("4 * n <= _top and reach >= 4 * _low").select("member", "center")
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, "_a"):
+                keys = [within(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)).astype(np.int64)
+                        for pair in zip(part.column("_a"), part.column("_b"))]
+                yield pa.RecordBatch.from_arrays([part.column("member"), part.column("center"), pa.array(keys, pa.list_(pa.int64()))],
+                                                 ["member", "center", "within"])
 
-    return a.join(small(pairs), "member").join(b, "center").select("member", "center", "deal", "_a", "_b").mapInArrow(
-        judge, "member binary, center binary, deal boolean, similarity double, apart array<long>")
+    cuts = with_marks(settle(found, "contained"), marks).select("member", "center", "_a", "_b").mapInArrow(
+        cut, "member binary, center binary, within array<long>")
+    return settle(cuts, "within").select("member", "center", F.explode("within").alias("_mark"))
 
 
 def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Near-duplicate pairs (member, center, similarity) of words keys that hold every class together.
 
-    Texts that agree in a sketch form a bucket. Buckets of up to FEW members are compared throughout. No pairs of a larger
-    bucket are listed: every member is compared with a center,
+    Texts that agree in a sketch form a bucket. Buckets of up to FEW members are compared throughout, and so are
+    fewer than FEW members with all others of a bucket that links connect already. No pairs of another bucket are listed: every member is compared with a center,
     the member that shares most sketches with others (of a text and its edited copies that is the text, or the copy
     closest to it), and linked if it matches. Two members that both match are connected by that. If one of two similar
-    members does not match, they have a shingle in common that the center lacks, as the center has too few of its
-    shingles: so all members are dealt anew by such shingles (``apart``), and buckets with members that no links connect so
-    far go through the same in the next round, without the old center. Edits and surroundings differ between texts, so what goes on is
+    members does not match, they mostly have a shingle in common that the center lacks, as the center has too few of its
+    shingles: so all members are dealt anew by such shingles (``apart``). Where the center may have all that they share, as
+    it is longer or ordered differently, they are dealt by shingles of the center, too (``contained``). Buckets with members
+    that no links connect so far go through the same in the next round, without the old center. Edits and surroundings differ between texts, so what goes on is
     little, and a passage that many texts share, which the center has as well, keeps no bucket together.
     """
     texts = signed.where("n_shingles > 0").groupBy("words_key").agg(
@@ -252,16 +294,21 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
     degrees = settle(texts.drop("sketches").join(degrees, "short"), "degrees")
     marks = shingle_table(docs, degrees.select("doc_id", "text_key", "words_key"), doc_id, text)
     rank = degrees.select(F.col("words_key").alias("member"), "degree")
-    members = settle(shared.join(degrees, "short").select("bucket", F.col("words_key").alias("member"), "degree"), "members")
+    members = settle(shared.join(degrees, "short").select("bucket", F.col("words_key").alias("member"), "degree",
+                                                           F.col("words_key").alias("root")), "members")
     judged = None
     while judged is None or not members.isEmpty():
-        elected = members.groupBy("bucket").agg(F.max(F.struct("degree", "member")).alias("_center"), F.count(F.lit(1)).alias("_n"))
+        parts = members.groupBy("bucket", "root").agg(F.max(F.struct("degree", "member")).alias("_best"), F.count(F.lit(1)).alias("_n"))
+        elected = parts.groupBy("bucket").agg(F.max("_best").alias("_center"), F.max(F.struct("_n", "root")).alias("_main"),
+                                              (F.sum("_n") - F.max("_n")).alias("_others"))
         sized = settle(members.join(elected, "bucket").select(
-            "bucket", "member", F.col("_center.member").alias("center"), (F.col("_n") > FEW).alias("deal")), "members")
-        few = sized.where("not deal").select("bucket", "member", "deal")
-        others = few.select("bucket", F.col("member").alias("center"))
+            "bucket", "member", "root", F.col("_center.member").alias("center"), (F.col("_others") >= FEW).alias("deal"),
+            (F.col("root") == F.col("_main.root")).alias("main")), "members")
+        few = sized.where("not deal").select("bucket", "member", "root", "main", "deal")
+        others = few.select("bucket", F.col("member").alias("center"), F.col("root").alias("_root"), F.col("main").alias("_main"))
+        met = few.where("not main").join(others, "bucket").where("root <> _root and (_main or member > center)")
         pairs = sized.where("deal and member <> center").select("member", "center", "deal").unionByName(
-            few.join(others, "bucket").where("member > center").select("member", "center", "deal"))
+            met.select(F.greatest("member", "center").alias("member"), F.least("member", "center").alias("center"), "deal"))
         pairs = pairs.groupBy("member", "center").agg(F.bool_or("deal").alias("deal"))
         if judged is not None:
             before = judged.select("member", "center", F.col("deal").alias("_dealt"))
@@ -273,12 +320,12 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
             break
         found = judged.where("similarity is not null")
         roots = components(found.select(F.col("member").alias("a"), F.col("center").alias("b")))
-        dealt = again.join(roots, again.member == roots.node, "left").select(
-            "member", F.coalesce("root", "member").alias("_root"), "center", F.explode("apart").alias("_mark"))
-        dealt = dealt.select("member", "_root", F.xxhash64("center", "_mark").alias("bucket"))
+        dealt = again.select("member", "center", F.explode("apart").alias("_mark")).unionByName(contained(again, marks))
+        dealt = dealt.join(roots, dealt.member == roots.node, "left").select(
+            "member", F.coalesce("root", "member").alias("_root"), F.xxhash64("center", "_mark").alias("bucket"))
         wanted = dealt.groupBy("bucket").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b"))
         wanted = wanted.where("_a <> _b").select("bucket")
-        members = settle(dealt.join(wanted, "bucket").select("bucket", "member").distinct().join(rank, "member"), "members")
+        members = settle(dealt.join(wanted, "bucket").select("bucket", "member", F.col("_root").alias("root")).distinct().join(rank, "member"), "members")
     return judged.where("similarity is not null").select("member", "center", "similarity").distinct()
 
 

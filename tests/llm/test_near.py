@@ -127,3 +127,28 @@ def test_long_chain(spark):
 def test_without_words(spark, table):
     got = near.near_duplicates(documents(spark, table) if table else spark.createDataFrame([], DOCS)).collect()
     assert len(got) == len(table) and all(r.class_id == 1 for r in got)
+
+
+def linked(spark, texts, buckets):
+    """Class of every text, where texts agree in the sketches ``buckets`` gives for their ids and in no others."""
+    docs = documents(spark, list(texts.items()))
+    chosen = spark.createDataFrame(list(buckets.items()), "doc_id long, sketches array<long>")
+    signed = near.settle(near.signatures(docs).drop("sketches").join(chosen, "doc_id"), "signed")
+    return {r.doc_id: r.class_id for r in near.classes(signed, near.links(docs, signed)).collect()}
+
+
+def test_members_that_the_center_contains(spark):
+    """Excerpts and swapped halves miss the original, which has nearly all of their shingles."""
+    draw = random.Random(9)
+    source = words(draw, 150, 9000)
+
+    def edited(base, *at):
+        return " ".join(f"new{draw.random()}" if i in at else w for i, w in enumerate(base))
+
+    texts = {0: " ".join(source)} | {100 + i: edited(source, 3 * i) for i in range(45)}
+    texts |= {1000 + i: edited(source[:116], 20 + 30 * i) for i in range(2)}
+    texts |= {2000 + i: edited(source[75:] + source[:75], 20 + 100 * i, 74) for i in range(2)}
+    buckets = {i: [1] for i in texts} | {0: [1, 2, 3, 4], 100: [1, 2], 101: [1, 3], 102: [1, 4]}
+    want = brute(texts)
+    assert [want[i] for i in (102, 1000, 1001, 2000, 2001)] == [0, 1000, 1000, 2000, 2000]
+    assert linked(spark, texts, buckets) == want
