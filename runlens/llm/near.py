@@ -309,13 +309,16 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
         met = few.where("not main").join(others, "bucket").where("root <> _root and (_main or member > center)")
         pairs = sized.where("deal and member <> center").select("member", "center", "deal").unionByName(
             met.select(F.greatest("member", "center").alias("member"), F.least("member", "center").alias("center"), "deal"))
-        pairs = pairs.groupBy("member", "center").agg(F.bool_or("deal").alias("deal"))
+        pairs = settle(pairs.groupBy("member", "center").agg(F.bool_or("deal").alias("deal")), "pairs")
+        new = pairs
         if judged is not None:
-            before = judged.select("member", "center", F.col("deal").alias("_dealt"))
-            pairs = pairs.join(before, ["member", "center"], "left").where("_dealt is null or deal and not _dealt").drop("_dealt")
-        tried = settle(verify(settle(pairs, "pairs"), marks), "verified")
+            before = judged.groupBy("member", "center").agg(F.bool_or("deal").alias("_dealt"))
+            new = settle(pairs.join(before, ["member", "center"], "left").where("_dealt is null or deal and not _dealt").drop("_dealt"), "new")
+        tried = settle(verify(new, marks), "verified")
         judged = tried if judged is None else judged.unionByName(tried)
-        again = tried.where("deal")
+        # Members judged in an earlier round are dealt again with those that meet the same center only now. Centers of one
+        # chain of buckets rank ever lower, so the rounds end by themselves.
+        again = settle(judged.where("deal").join(pairs.where("deal").select("member", "center"), ["member", "center"]), "again")
         if again.isEmpty():
             break
         found = judged.where("similarity is not null")

@@ -152,3 +152,17 @@ def test_members_that_the_center_contains(spark):
     want = brute(texts)
     assert [want[i] for i in (102, 1000, 1001, 2000, 2001)] == [0, 1000, 1000, 2000, 2000]
     assert linked(spark, texts, buckets) == want
+
+
+def test_a_center_that_some_members_met_before(spark, monkeypatch):
+    """1 meets the center 3 of the second round in the first one already, 2 does not."""
+    monkeypatch.setattr(near, "FEW", 2)
+    draw = random.Random(4)
+    same, passage = words(draw, 100, 9000), words(draw, 20, 9000)
+    texts = {0: same + words(draw, 20, 9000), 1: same + passage, 2: same[:50] + ["edit"] + same[51:] + passage,
+             3: same[-4:] + passage + words(draw, 100, 9000)} | {i: words(draw, 50, 9000) for i in range(10, 18)}
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    buckets = {0: [1, 10, 11, 12, 13, 14], 1: [1, 2], 2: [1], 3: [1, 2, 15, 16], 17: [2]} | {i: [i] for i in range(10, 17)}
+    want = brute(texts)
+    assert want[2] == 1
+    assert linked(spark, texts, buckets) == want
