@@ -40,32 +40,32 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(spark: SparkSession, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 40,
+def propagate(spark: SparkSession, edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
               tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank: host, score.
 
     ``seeds`` (host, mass) sum to 1. A host hands ``damping`` of its score to the hosts it links to, by link weight;
     what hosts without links hold is given back to the seeds by way of normalising. Each round is one join and one sum
-    over the edges, written to the shared folder; the rounds end when the scores move by less than ``tolerance`` in all.
+    over the edges, written to the shared folder; the rounds end when no host is newly reached and no score moves by more
+    than ``tolerance`` of itself, however far the host is. Scores below 1e-300 are at the end of what a double holds and
+    do not prolong the rounds.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
     shares = settle(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share")), "shares")
-    scores = settle(seeds.select("host", F.col("mass").alias("score")), "scores")
-    for _ in range(rounds):
+    scores, zero = settle(seeds.select("host", F.col("mass").alias("score")), "scores"), F.lit(0.0)
+    while True:
         flow = shares.join(scores, shares.src == scores.host).select(
-            F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        step = flow.unionByName(seeds.select("host", ((1 - damping) * F.col("mass")).alias("score")))
-        step = step.groupBy("host").agg(F.sum("score").alias("score"))
-        total = step.agg(F.sum("score")).first()[0]
+            F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("_new"), zero.alias("_old"))
+        step = flow.unionByName(seeds.select("host", ((1 - damping) * F.col("mass")).alias("_new"), zero.alias("_old")))
+        step = step.unionByName(scores.select("host", zero.alias("_new"), F.col("score").alias("_old")))
+        step = settle(step.groupBy("host").agg(F.sum("_new").alias("_new"), F.sum("_old").alias("_old")), "scores")
+        ratio = F.when(F.col("_new") > 1e-300, F.col("_old") / F.col("_new"))
+        total, least, most = step.agg(F.sum("_new"), F.min(ratio), F.max(ratio)).first()
         if not total:
-            break
-        after = settle(step.select("host", (F.col("score") / F.lit(total)).alias("score")), "scores")
-        moved = after.alias("a").join(scores.alias("b"), "host", "full").agg(F.sum(F.abs(
-            F.coalesce("a.score", F.lit(0.0)) - F.coalesce("b.score", F.lit(0.0))))).first()[0]
-        scores = after
-        if moved < tolerance:
-            break
-    return scores
+            return scores
+        scores = step.select("host", (F.col("_new") / F.lit(total)).alias("score"))
+        if max(abs(1 - least * total), abs(1 - most * total)) < tolerance:
+            return scores
 
 
 def host_scores(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, url: str = "url",

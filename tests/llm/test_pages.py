@@ -62,6 +62,17 @@ def test_trust_and_distrust_spread_over_links(spark):
                                                       "spam.net": "block", "bad.com": "block", "lone.net": "allow"}
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """60 hosts in a row link to the one before, the first of them to a blocked page."""
+    hosts = ["bad.com", *[f"h{i}.net" for i in range(60)]]
+    rows = [(0, "http://bad.com/de/1", None)] + [
+        (i, f"http://{host}/", f"<a href=http://{hosts[i - 1]}/de/1>x</a>") for i, host in enumerate(hosts) if i]
+    got = {r.host: r for r in u.judge_urls(pages(spark, rows)).collect()}
+    want = brute_rank({(a, b): 1 for a, b in zip(hosts, hosts[1:])}, {"bad.com": 1.0}, rounds=400)
+    for host in hosts:
+        assert got[host].verdict == "block" and got[host].distrust == pytest.approx(want[host], rel=1e-4)
+
+
 def test_no_pages(spark):
     empty = pages(spark, []) if False else spark.createDataFrame([], PAGES)
     assert u.judge_urls(empty).count() == extract(empty).count() == 0
