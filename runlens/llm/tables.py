@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.session import new_dir
@@ -34,6 +34,28 @@ def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def ranked(rows: DataFrame, key: list[str], order: list[str], label: str) -> DataFrame:
+    """``rows`` with ``rank``, their place from 0 among those of an equal ``key`` in the order of ``order``, and ``n``,
+    their number.
+
+    The rows are sorted by range, so a key of any size lies in many tasks; places within a task come from the order it
+    wrote, and a table with one row per task and key says how many rows of a key lie before.
+    """
+    sorted_rows = rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    placed = settle(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), label)
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    parts = settle(placed.groupBy(*key, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")), "parts")
+    all_of = Window.partitionBy(*key)
+    earlier = all_of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_part").alias("_in"), "_first",
+                         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(all_of).alias("n"))
+    same = placed["_part"] == F.col("_in")
+    for k in key:
+        same = same & placed[k].eqNullSafe(F.col(f"_{k}"))
+    return placed.join(small(settle(parts, "parts")), same).select(
+        *rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("rank"), "n")
+
+
 def slices(batch, column, rows: int = TEXT_ROWS, most: int = TEXT_BYTES):
     """An Arrow batch in zero-copy parts of at most ``rows`` rows and about ``most`` bytes of ``column``, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
