@@ -52,12 +52,12 @@ def elementwise(df: DataFrame, keys, array: str, op: str = "sum", width: int = N
 
 def gather(df: DataFrame, keys, rank: str, column: str, **limits) -> DataFrame:
     """Every worker's value in rank order, as pages of bounded arrays."""
-    return pages(df, keys, [rank], F.col(column), grid=F.col(rank), **limits)
+    return pages(df, keys, [rank], F.col(column), **limits)
 
 
 def local_rank(df: DataFrame, host: str = "host", rank: str = "rank", max_rows: int = MAX_ROWS) -> DataFrame:
     """Number of lower ranks on the same host."""
-    return ordinal(df, [host], F.col(rank), [rank], "local_rank", max_rows)
+    return ordinal(df, [host], [rank], "local_rank", max_rows)
 
 
 def restorable_epoch(checkpoints: DataFrame, run: str = "run_id", directory: str = None) -> DataFrame:

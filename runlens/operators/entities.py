@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.scalars import parse_flag, parse_instant, safe_file_name
+from runlens.operators.intervals import FEW, in_spans
 from runlens.operators.scan import MAX_ROWS, micros, ordered
 from runlens.operators.series import first_by_name
 from runlens.schemas import RUN_STATES
@@ -33,21 +34,21 @@ def attach_metrics(entities: DataFrame, metrics: DataFrame, key: str, columns) -
 
 
 def run_pod_metrics(runs: DataFrame, pods: DataFrame, metrics: DataFrame,
-                    run_pods: DataFrame = None, carried=()) -> DataFrame:
+                    run_pods: DataFrame = None, carried=(), max_rows: int = MAX_ROWS) -> DataFrame:
     """Samples of a run's pods taken while the run lasted (an open run has no end).
 
     Membership is the pod's current run, or ``run_pods(run_id, pod_id)`` when a history is kept. ``carried`` names
-    columns of the runs to keep.
+    columns of the runs to keep. A pod may have served any number of runs (``in_spans``).
     """
     members = pods.select("pod_id", F.col("name").alias("pod_name"), "run_id") if run_pods is None else \
         run_pods.select("run_id", "pod_id").join(
             pods.select("pod_id", F.col("name").alias("pod_name")), "pod_id")
     spans = (members.filter(F.col("run_id").isNotNull())
              .join(runs.select("run_id", F.col("name").alias("run_name"), "created_at", "finished_at", *carried), "run_id"))
-    samples = metrics.drop("run_id")
-    inside = (F.col("date") >= F.col("created_at")) & \
-             (F.col("finished_at").isNull() | (F.col("date") <= F.col("finished_at")))
-    return samples.join(spans, "pod_id").filter(inside).drop("created_at", "finished_at")
+    # Without a history a pod has one span.
+    few = None if run_pods is None else FEW
+    return in_spans(metrics.drop("run_id"), spans, "pod_id", "date", "created_at", "finished_at", few, max_rows) \
+        .drop("created_at", "finished_at")
 
 
 def run_own_metrics(runs: DataFrame, metrics: DataFrame, carried=()) -> DataFrame:
@@ -199,8 +200,7 @@ def conflicting_runs(runs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     Sorted sweep over the start times instead of comparing all pairs; an open run never ends.
     """
     end = F.coalesce(micros("finished_at"), F.lit((1 << 63) - 1))
-    rows = ordered(runs.withColumn("_end", end), [], micros("created_at"), ["created_at", "run_id"], max_rows,
-                   F.col("run_id"))
+    rows = ordered(runs.withColumn("_end", end), [], ["created_at", "run_id"], max_rows)
     rows = rows.carry(_earlier=("max", F.col("_end")))
     rows = rows.add(_busy=F.greatest(F.max("_end").over(rows.before()), F.col("_earlier")))
     out = rows.result().filter(F.col("_busy") > micros("created_at"))

@@ -17,10 +17,12 @@ def proper(df: DataFrame, value: str) -> DataFrame:
 
 
 def best_so_far(df: DataFrame, keys, step: str, value: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Adds the best value up to each step, the first step that reached it, and whether it is this one."""
+    """Adds the best value up to each step, the first step that reached it, and whether it is this one.
+
+    Rows of one step count from the lowest value to the highest."""
     # A maximum over (value, -step) keeps the earliest of equal values.
     here = F.struct(F.col(value).alias("v"), (-F.col(step)).alias("s"))
-    rows = ordered(proper(df, value), keys, F.col(step), [step], max_rows).carry(_earlier=("max", here))
+    rows = ordered(proper(df, value), keys, [step, value], max_rows).carry(_earlier=("max", here))
     rows = rows.add(_best=F.greatest(F.max(here).over(rows.running()), F.col("_earlier")))
     return (rows.add(best=F.col("_best.v"), best_step=-F.col("_best.s"),
                      is_best=F.col("_best.s") == -F.col(step))
@@ -29,9 +31,9 @@ def best_so_far(df: DataFrame, keys, step: str, value: str, max_rows: int = MAX_
 
 def average_meter(df: DataFrame, keys, step: str, value: str, count: str,
                   max_rows: int = MAX_ROWS) -> DataFrame:
-    """Adds running weighted sum, count and average."""
+    """Adds running weighted sum, count and average; rows of one step count from the lowest value to the highest."""
     part = F.col(value) * F.col(count)
-    rows = ordered(df, keys, F.col(step), [step], max_rows)
+    rows = ordered(df, keys, [step, value, count], max_rows)
     rows = rows.carry(_sum=("sum", part), _count=("sum", F.col(count)))
     total = F.sum(part).over(rows.running()) + F.coalesce(F.col("_sum"), F.lit(0.0))
     n = F.sum(count).over(rows.running()) + F.coalesce(F.col("_count"), F.lit(0))
@@ -46,7 +48,7 @@ def active_time(events: DataFrame, keys, date: str = "ts", kind: str = "kind", t
     The clock runs from the first event; time counts once a pause closes it, so between pauses the
     value stays. Pausing twice or resuming twice changes nothing. ``offset`` continues earlier time.
     """
-    rows = ordered(events, keys, micros(date), [date, tie], max_rows, F.col(tie))
+    rows = ordered(events, keys, [date, tie], max_rows)
     here = F.struct(F.col(kind).alias("k"), micros(date).alias("t"))
 
     def gap(before):
@@ -145,7 +147,7 @@ def compare_over_time(records: DataFrame, tick_seconds: float, run: str = "run_i
             .agg(F.max_by(value, F.struct(time, step)).alias("value")))
     # A gap is filled from its left end: find where the next tick of the run lies. Across a segment
     # border the next tick is the following segment's first one, which is carried backwards.
-    turned = ordered(last.withColumn("_turn", -F.col("tick")), [run], F.col("_turn"), ["_turn"], max_rows)
+    turned = ordered(last.withColumn("_turn", -F.col("tick")), [run], ["_turn"], max_rows)
     turned = turned.carry(_next=("last", F.col("tick")))
     following = F.coalesce(F.lag("tick").over(turned.window()), F.col("_next"))
     until = F.coalesce(following - 1, F.col("tick"))

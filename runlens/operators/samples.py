@@ -123,7 +123,7 @@ def partition_samples(df: DataFrame, sample: str, fractions, seed: int = 42, epo
     if shuffle:
         placed = hashed_position(df, [], sample, seed, epoch, total="_total", digits=digits)
     else:
-        placed = ordinal(df, [], F.col(sample), [sample], "pos", max_rows)
+        placed = ordinal(df, [], [sample], "pos", max_rows)
         placed = placed.withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
     pos, total = F.col("pos"), F.col("_total")
     if isinstance(fractions, int) and not compat:
@@ -165,7 +165,7 @@ def limit_batches(df: DataFrame, maximum: int = None) -> DataFrame:
 
 def stride_of(df: DataFrame, sample: str, world: int, max_rows: int = MAX_ROWS) -> DataFrame:
     """Adds ``pos`` in id order and the worker ``rank`` that takes every ``world``-th row."""
-    return ordinal(df, [], F.col(sample), [sample], "pos", max_rows) \
+    return ordinal(df, [], [sample], "pos", max_rows) \
         .withColumn("rank", F.pmod("pos", F.lit(world)))
 
 

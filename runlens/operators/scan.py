@@ -1,12 +1,13 @@
 """Ordered computations over series of any length.
 
 ``Window.partitionBy(key).orderBy(t)`` sends all rows of a key to one task, which fails when one key
-holds a large share of the data. ``ordered`` counts rows per key first (a map-side combined aggregate
-over the key and order columns only). Keys below ``max_rows`` need nothing special, and if there are
-no others the result is the plain window. A longer key is cut along its order column into segments,
-and a segment that is still too long is cut again; windows then run per (key, segment), and what a
-segment needs from the ones before it (a running sum, a running maximum, the last row) comes from a
-small table with one row per segment.
+holds a large share of the data. ``ordered`` sketches the keys first: rows per key, and of the order
+columns a sample that hashing picks, counted with a map-side combined aggregate that reads the key and
+order columns only. Keys below ``max_rows`` need nothing special, and if there are no others the result
+is the plain window. A longer key is cut between sampled places into segments of equal expected size;
+windows then run per (key, segment), and what a segment needs from the ones before it (a running sum, a
+running maximum, the last row) comes from a small table with one row per segment. Places are compared
+as the order columns themselves, whatever their types, so cutting never changes an order.
 """
 
 from dataclasses import dataclass, replace
@@ -14,16 +15,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from runlens.session import settled
+from runlens.session import written
 
 MAX_ROWS = 2_000_000
 SEGMENT = "_segment"
 LONG = "_long"
-# A cell grid four times finer than the even split leaves room for uneven density; a cell that is
-# still too large is cut again by the next level.
-CELLS_PER_SPLIT = 4
-CELL_LIMIT = 1 << 20
-LEVELS = 8
+# Sampled places of a segment of full size; segments aim at half of it, which leaves room for chance.
+SAMPLES = 512
+# Segments a row is compared with in one join.
+FANOUT = 64
 # Tables of cut keys and of carried values are replicated up to this many rows, and joined by
 # exchange beyond.
 REPLICATED_ROWS = 500_000
@@ -81,8 +81,8 @@ class Ordered:
     def carry(self, **wanted) -> "Ordered":
         """Add, per row, what earlier segments of the same key amount to.
 
-        ``wanted[name] = (kind, column)`` with kind ``sum``, ``max``, ``min``, ``last`` or ``first``;
-        null in the first segment and for keys that were not cut.
+        ``wanted[name] = (kind, column)`` with kind ``sum``, ``max``, ``min``, ``last`` or ``first``; null in the first
+        segment and for keys that were not cut. Null values are passed over; wrap a column in a struct to carry them.
         """
         if not self.split:
             types = self.df.select(*[c.alias(n) for n, (_, c) in wanted.items()]).schema
@@ -125,50 +125,71 @@ class Ordered:
         return self.df.select(*columns) if columns else self.df.drop(SEGMENT, LONG)
 
 
-def ordered(df: DataFrame, keys, grid: Column, order, max_rows: int = MAX_ROWS,
-            tie: Column = None) -> Ordered:
-    """Prepare windows over ``keys`` ordered by ``order``.
+def cuts(df: DataFrame, keys, order, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The segments of keys with more than ``max_rows`` rows: keys, segment (from 0), and lo and hi, the places (structs of
+    the ``order`` columns) between which it lies, from lo on and below hi; null at the ends.
 
-    ``grid`` is a number that never decreases along ``order``. Rows of equal ``grid`` stay in one
-    segment, unless ``tie`` gives a second number that orders them.
+    A place is sampled if its hash says so, whichever task reads it, so the counts of tasks simply add up. Rows of one
+    place are never parted: order columns that many rows share should end in one that tells them apart.
     """
-    keys = tuple(keys)
-    cut = df.withColumns({"_g1": grid.cast("double"), "_g2": (F.lit(0.0) if tie is None else tie.cast("double"))})
-    segments = 0
-    for _ in range(LEVELS):
-        by = [*keys, SEGMENT] if segments else list(keys)
-        apart = F.col("_hi1") > F.col("_lo1")
-        cells = F.least(F.ceil(F.col("_n") / max_rows) * CELLS_PER_SPLIT, F.lit(CELL_LIMIT)).cast("int")
-        found = (cut.groupBy(*by)
-                 .agg(F.count(F.lit(1)).alias("_n"),
-                      F.min("_g1").alias("_lo1"), F.max("_g1").alias("_hi1"),
-                      F.min("_g2").alias("_lo2"), F.max("_g2").alias("_hi2"))
-                 .filter((F.col("_n") > max_rows) & (apart | (F.col("_hi2") > F.col("_lo2"))))
-                 .select(*by, apart.alias("_first"), F.when(apart, F.col("_lo1")).otherwise(F.col("_lo2")).alias("_lo"),
-                         F.when(apart, F.col("_hi1")).otherwise(F.col("_hi2")).alias("_hi"),
-                         cells.alias("_cells"))).persist()
-        if found.isEmpty():
-            found.unpersist()
-            break
-        long_keys = settled(found)
-        found.unpersist()
-        size, added = long_keys.agg(F.count(F.lit(1)), F.sum("_cells")).first()
-        place = (F.when(F.col("_first"), F.col("_g1")).otherwise(F.col("_g2")) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        cell = F.array(F.coalesce(F.floor(place * F.col("_cells")).cast("int"), F.lit(0)))
-        cut = _attach(cut, long_keys, by, size)
-        if segments:
-            cut = cut.withColumn(SEGMENT, F.concat(F.col(SEGMENT), cell))
-        else:
-            cut = cut.withColumns({SEGMENT: cell, LONG: F.col("_cells").isNotNull()})
-        cut = cut.drop("_first", "_lo", "_hi", "_cells")
-        # The largest value has a cell of its own at the upper end.
-        segments += added + size
-    return Ordered(cut.drop("_g1", "_g2"), keys, tuple(order), segments)
-
-
-def ordinal(df: DataFrame, keys, grid: Column, order, name: str = "pos",
-            max_rows: int = MAX_ROWS, tie: Column = None) -> DataFrame:
+    keys, bits = list(keys), max(0, (max_rows // SAMPLES).bit_length() - 1)
+    chosen = F.xxhash64(*order).bitwiseAND(F.lit((1 << bits) - 1)) == 0
+    counts = df.groupBy(*keys, F.when(chosen, F.struct(*order)).alias("_at")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum(F.when(F.col("_at").isNotNull(), F.col("_c"))).over(earlier)
+    size = max(1, (max_rows // 2) >> bits)
+    part = F.floor(F.coalesce(before, F.lit(0)) / size)
+    long = (counts.withColumns({"_n": F.sum("_c").over(whole), "_part": part})
+            .filter((F.col("_n") > max_rows) & F.col("_at").isNotNull())
+            .groupBy(*keys, "_part").agg(F.min("_at").alias("_lo")))
+    numbered = whole.orderBy("_lo")
+    found = long.select(*keys, (F.row_number().over(numbered) - 1).cast("bigint").alias(SEGMENT), "_lo",
+                        F.lead("_lo").over(numbered).alias("_hi"))
+    return found.withColumn("_lo", F.when(F.col(SEGMENT) > 0, F.col("_lo")))
+
+
+def _placed(df: DataFrame, keys, order, segments: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df`` with the segment of its row, null for keys that are not cut.
+
+    Rows meet at most FANOUT ranges of their key at a time: first those of many segments together, then the segments in
+    the range they fell into.
+    """
+    width = 1
+    while width * FANOUT < most:
+        width *= FANOUT
+    place, df, first = F.struct(*order), df.withColumn("_in", F.lit(None).cast("bigint")), True
+    while width:
+        table = segments.groupBy(*keys, F.expr(f"{SEGMENT} div {width}").alias("_part")).agg(
+            F.min_by("_lo", SEGMENT).alias("_lo"), F.max_by("_hi", SEGMENT).alias("_hi"))
+        table = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_part", "_lo", "_hi",
+                             F.expr(f"_part div {FANOUT}").alias("_of"))
+        same = (F.col("_lo").isNull() | (place >= F.col("_lo"))) & (F.col("_hi").isNull() | (place < F.col("_hi")))
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        if not first:
+            same = same & (F.col("_in") == F.col("_of"))
+        table = F.broadcast(table) if rows <= REPLICATED_ROWS else table
+        df = df.join(table, same, "left").withColumn("_in", F.col("_part")) \
+            .drop("_part", "_lo", "_hi", "_of", *[f"_k{i}" for i in range(len(keys))])
+        width, first = width // FANOUT, False
+    return df.withColumnRenamed("_in", SEGMENT)
+
+
+def ordered(df: DataFrame, keys, order, max_rows: int = MAX_ROWS) -> Ordered:
+    """Prepare windows over ``keys`` ordered by the columns ``order`` (ascending, nulls first)."""
+    keys, order = tuple(keys), tuple(order)
+    segments = written(cuts(df, keys, order, max_rows), "segments")
+    rows, most = segments.agg(F.count(F.lit(1)), F.max(SEGMENT)).first()
+    if not rows:
+        return Ordered(df, keys, order)
+    cut = _placed(df, keys, order, segments, rows, most + 1)
+    cut = cut.withColumns({LONG: F.col(SEGMENT).isNotNull(), SEGMENT: F.coalesce(SEGMENT, F.lit(0).cast("bigint"))})
+    return Ordered(cut, keys, order, rows)
+
+
+def ordinal(df: DataFrame, keys, order, name: str = "pos", max_rows: int = MAX_ROWS) -> DataFrame:
     """Number the rows of each key from 0 in ``order``."""
-    rows = ordered(df, keys, grid, order, max_rows, tie).carry(_before=("sum", F.lit(1).cast("bigint")))
+    rows = ordered(df, keys, order, max_rows).carry(_before=("sum", F.lit(1).cast("bigint")))
     local = F.row_number().over(rows.window()).cast("bigint") - 1
     return rows.add(**{name: local + F.coalesce(F.col("_before"), F.lit(0))}).result().drop("_before")

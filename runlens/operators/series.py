@@ -57,14 +57,13 @@ def select_metrics(metrics: DataFrame, wanted: DataFrame, metric_type: str = "po
 
 
 def pages(df: DataFrame, keys, order, sample: Column, page_rows: int = PAGE_ROWS,
-          max_rows: int = MAX_ROWS, grid: Column = None) -> DataFrame:
+          max_rows: int = MAX_ROWS) -> DataFrame:
     """Each series as numbered pages, every page an array of at most ``page_rows`` ordered samples.
 
     The pages of a series in order are the series; no series has to fit into one task or one value.
     """
     keys = list(keys)
-    rows = ordered(df, keys, micros(order[0]) if grid is None else grid, order, max_rows,
-                   F.col(order[-1]) if len(order) > 1 else None)
+    rows = ordered(df, keys, order, max_rows)
     page = F.floor((F.row_number().over(rows.window()) - 1) / page_rows)
     if rows.split:
         sizes = rows.segment_table(_pages=F.ceil(F.count(F.lit(1)) / page_rows))
@@ -109,12 +108,11 @@ def counter_rate(df: DataFrame, keys=("pod_id", "name"), max_rows: int = MAX_ROW
     A series counts as cumulative if its first sample says so. The first sample has rate 0, and time
     steps below one millisecond count as one.
     """
-    rows = ordered(df.withColumn("_v", numbers(df, "value")), keys, micros("date"),
-                   ["date", "metric_id"], max_rows, F.col("metric_id"))
+    rows = ordered(df.withColumn("_v", numbers(df, "value")), keys, ["date", "metric_id"], max_rows)
     here = F.struct(F.col("_v").alias("v"), micros("date").alias("t"))
-    rows = rows.carry(_last=("last", here), _kind=("first", F.col("cumulative")))
+    rows = rows.carry(_last=("last", here), _kind=("first", F.struct("cumulative")))
     rows = rows.add(_prev=F.coalesce(F.lag(here).over(rows.window()), F.col("_last"), here),
-                    _cumulative=F.coalesce(F.col("_kind"), F.first("cumulative").over(rows.running())))
+                    _cumulative=F.coalesce(F.col("_kind"), F.first(F.struct("cumulative")).over(rows.running()))["cumulative"])
     step = F.greatest(F.lit(1.0), (micros("date") - F.col("_prev.t")) / F.lit(1000.0))
     gain = F.greatest(F.lit(0.0), F.col("_v") - F.col("_prev.v"))
     rate = F.when(F.col("_cumulative"), F.lit(1000.0) * gain / step).otherwise(F.col("_v"))
@@ -136,7 +134,7 @@ def accept_newer(df: DataFrame, arrival: str, entity=("pod_id",), shared=SHARED_
     keys = [*entity, "_owner"]
     # One row per arrival, added up before the exchange, goes through the window; the samples do not.
     newest = rows.groupBy(*keys, arrival).agg(F.max(setter).alias("_newest"))
-    marks = ordered(newest, keys, F.col(arrival), [arrival], max_rows).carry(_earlier=("max", F.col("_newest")))
+    marks = ordered(newest, keys, [arrival], max_rows).carry(_earlier=("max", F.col("_newest")))
     before = marks.window().rowsBetween(Window.unboundedPreceding, -1)
     marks = marks.add(_seen=F.greatest(F.max("_newest").over(before), F.col("_earlier"))) \
         .result(*keys, arrival, "_seen")

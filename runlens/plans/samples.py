@@ -157,7 +157,7 @@ def synthetic_classification(spark, sf):
 def positions(spark, sf):
     from runlens.operators.scan import micros
     rows = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderdate")
-    return ordinal(rows, ["o_custkey"], micros("o_orderdate"), ["o_orderdate", "id"]).select("id", "pos")
+    return ordinal(rows, ["o_custkey"], ["o_orderdate", "id"]).select("id", "pos")
 
 
 @query(with_tables(placed_sql(1)) + """, sized as (select *, count(*) over () as n from placed)

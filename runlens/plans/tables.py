@@ -103,12 +103,24 @@ JOBS = """jobs as (select o_orderkey as run_id, o_custkey as owner, o_orderprior
   o_totalprice as price from orders)"""
 
 
+def history(spark, sf) -> tuple:
+    """(runs, which pod served them): a run per order on the clock of the samples, some without an end."""
+    seconds = "cast(floor(o_totalprice * 10) as bigint) % 2592000"
+    begin = "timestamp_ntz'2024-01-01 00:00:00'"
+    runs = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("run_id"), F.col("o_orderkey").cast("string").alias("name"),
+        F.expr(f"timestampadd(SECOND, {seconds}, {begin})").alias("created_at"),
+        F.expr(f"case when o_orderstatus <> 'P' then timestampadd(SECOND, {seconds} + o_custkey * 7919 % 40000, {begin}) end")
+         .alias("finished_at"), (F.col("o_custkey") % 100 + 1).alias("pod_id"))
+    return runs.drop("pod_id"), runs.select("run_id", "pod_id")
+
+
 def records(spark, sf) -> DataFrame:
     """Evaluations of one run per user: epoch in time order, accuracy, seconds since the first."""
     events = table(spark, sf, "events").select(
         F.col("user_id").alias("run_id"), (F.col("value") / 5).alias("value"), "ts", "event_id")
     first = events.groupBy("run_id").agg(F.min(micros("ts")).alias("_t0"))
-    return (ordinal(events, ["run_id"], micros("ts"), ["ts", "event_id"], "epoch", tie=F.col("event_id"))
+    return (ordinal(events, ["run_id"], ["ts", "event_id"], "epoch")
             .join(first, "run_id")
             .withColumn("cumu_time", (micros("ts") - F.col("_t0")) / F.lit(1e6)).drop("_t0"))
 

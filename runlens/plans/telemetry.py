@@ -34,6 +34,22 @@ def run_network_rate(spark, sf):
         F.round(F.max("rate"), 6).alias("peak_rate"))
 
 
+HISTORY = """history as (select o_orderkey as run_id, o_custkey % 100 + 1 as pod_id,
+  timestamp '2024-01-01 00:00:00' + to_seconds(cast(floor(o_totalprice * 10) as bigint) % 2592000) as created_at,
+  case when o_orderstatus <> 'P' then timestamp '2024-01-01 00:00:00'
+    + to_seconds(cast(floor(o_totalprice * 10) as bigint) % 2592000 + o_custkey * 7919 % 40000) end as finished_at from orders)"""
+
+
+@query(with_tables(METRICS, PODS, HISTORY) + """select h.run_id, h.run_id::varchar as run_name, m.pod_id, p.name as pod_name,
+ m.metric_id, m.name, m.date, m.value from metrics m join pods p using (pod_id) join history h using (pod_id)
+ where m.date >= h.created_at and (h.finished_at is null or m.date <= h.finished_at)""")
+def run_pod_metrics_history(spark, sf):
+    """Every pod has served many runs, some of which overlap or are still open."""
+    runs, members = t.history(spark, sf)
+    rows = entities.run_pod_metrics(runs, t.pods(spark, sf), t.pod_metrics(spark, sf), members)
+    return rows.select("run_id", "run_name", "pod_id", "pod_name", "metric_id", "name", "date", "value")
+
+
 @query(with_tables(PODS) + """select name, phase, ip, 'bench' as app, component,
  substr(node_name, 6) as zone from pods""")
 def pod_list(spark, sf):

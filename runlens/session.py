@@ -63,6 +63,13 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table below the shared folder: computed once, its lineage cut, readable after executors are lost."""
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Checkpoint ``df``: computed once, lineage cut, readable after executors are lost."""
     shared_dir(df.sparkSession)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.scalars import format_instant, safe_file_name
-from runlens.operators.scan import MAX_ROWS, micros, ordinal
+from runlens.operators.scan import MAX_ROWS, ordinal
 
 CLOSING = (1 << 63) - 1
 
@@ -18,8 +18,7 @@ def export_lines(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         rows = rows.withColumn("archive", F.concat(F.lit("metrics_"), safe_file_name(F.col("run_name"))))
     files = rows.withColumn("file", F.concat(F.col("prefix"), F.lit("_"), F.col("name"), F.lit(".json")))
     keys = ["run_id", "archive", "file"]
-    placed = ordinal(files, keys, micros("date"), ["date", "metric_id"], "pos", max_rows,
-                     F.col("metric_id"))
+    placed = ordinal(files, keys, ["date", "metric_id"], "pos", max_rows)
     sample = F.to_json(F.struct(format_instant(F.col("date")).alias("date"),
                                 F.col("value").cast("string").alias("value"), "cumulative"))
     lines = placed.select(*keys, "pos", F.concat(F.when(F.col("pos") == 0, "[").otherwise(","), sample).alias("line"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators.scan import MAX_ROWS, micros, ordered
+from runlens.operators.scan import MAX_ROWS, ordered
 
 # The line format and the messages the trainer writes.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) (\S+) (\d+) (\w+): (.*)$"
@@ -28,7 +28,8 @@ def parse_worker_logs(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Typed rows of the known messages; lines without their own epoch get that of the line before.
 
     Lines of another form (stack traces, wrapped messages, impossible dates) are kept: kind ``other``, the whole line as
-    message, without time, rank, level or epoch.
+    message, without time, rank, level or epoch. Every line keeps its place (source, file, block, seq), which puts a stack
+    trace back behind its message.
     """
     def part(pattern, i):
         return F.regexp_extract("line", LINE, i) if pattern == LINE else \
@@ -40,7 +41,8 @@ def parse_worker_logs(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     rows = given.filter(formed).select(
         "source", "file", "block", "seq", F.col("_ts").alias("ts"), F.col("_rank").alias("rank"),
         part(LINE, 4).alias("level"), part(LINE, 5).alias("message"))
-    odd = given.filter(~formed).select("source", F.col("line").alias("message"), F.lit("other").alias("kind"))
+    odd = given.filter(~formed).select("source", "file", "block", "seq", F.col("line").alias("message"),
+                                       F.lit("other").alias("kind"))
     message = F.col("message")
     kind = (F.when(message.rlike(TRAIN), "train").when(message.rlike(EPOCH), "epoch")
             .when(message.rlike(VALIDATION), "validation").when(message.rlike(BEST), "best").otherwise("other"))
@@ -56,9 +58,9 @@ def parse_worker_logs(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
                   .when(F.col("kind") == "validation", part(VALIDATION, 1))
                   .when(F.col("kind") == "best", part(BEST, 5)).try_cast("double")})
     place = ["ts", "file", "block", "seq"]
-    run = ordered(rows, ["source", "rank"], micros("ts"), place, max_rows).carry(_before=("last", F.col("_own")))
+    run = ordered(rows, ["source", "rank"], place, max_rows).carry(_before=("last", F.col("_own")))
     epoch = F.coalesce(F.last("_own", ignorenulls=True).over(run.running()), F.col("_before"))
-    known = run.add(epoch=epoch).result("source", "ts", "rank", "level", "kind", "epoch", "batch", "metric",
+    known = run.add(epoch=epoch).result("source", "file", "block", "seq", "ts", "rank", "level", "kind", "epoch", "batch", "metric",
                                         "best_epoch", "value", "message")
     return known.unionByName(odd, allowMissingColumns=True)
 
@@ -66,7 +68,7 @@ def parse_worker_logs(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 def explode_job_output(jobs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Lines of captured output numbered per (run, stream); ``jobs(run_id, chunk_no, stdout, stderr)``."""
     streams = ("stdout", "stderr")
-    rows = ordered(jobs, ["run_id"], F.col("chunk_no"), ["chunk_no"], max_rows)
+    rows = ordered(jobs, ["run_id"], ["chunk_no"], max_rows)
     rows = rows.add(**{s: F.coalesce(F.split(s, LINE_BREAK, -1), F.array().cast("array<string>")) for s in streams})
     # A break at the very end of a chunk opens no further line.
     rows = rows.add(**{s: F.when(F.try_element_at(s, F.lit(-1)) == "", F.slice(s, 1, F.size(s) - 1)).otherwise(F.col(s))

@@ -31,7 +31,7 @@ LIMITS = [25, 200]
 
 @pytest.mark.parametrize("limit", LIMITS)
 def test_segments_are_small_and_whole(skewed, limit):
-    out = scan.ordered(skewed, ["pod_id"], scan.micros("date"), ["date", "metric_id"], limit, F.col("metric_id"))
+    out = scan.ordered(skewed, ["pod_id"], ["date", "metric_id"], limit)
     assert out.split
     sizes = out.df.groupBy(*out.by).count().agg(F.max("count"), F.sum("count"), F.count("*")).first()
     assert sizes[0] <= limit and sizes[1] == 1200
@@ -59,9 +59,8 @@ def test_accept_newer(skewed, limit):
 
 @pytest.mark.parametrize("limit", LIMITS)
 def test_ordinal(skewed, limit):
-    args = (["pod_id"], scan.micros("date"), ["date", "metric_id"], "pos")
-    tie = F.col("metric_id")
-    assert rows(scan.ordinal(skewed, *args, limit, tie)) == rows(scan.ordinal(skewed, *args, tie=tie))
+    args = (["pod_id"], ["date", "metric_id"], "pos")
+    assert rows(scan.ordinal(skewed, *args, limit)) == rows(scan.ordinal(skewed, *args))
 
 
 @pytest.mark.parametrize("limit", LIMITS)
