@@ -17,7 +17,7 @@ from runlens.llm.tables import settle, slices, text_of
 
 CAPACITY = 2048
 # Words whose ids a worker remembers, and the longest word it remembers.
-MEMORY = 1_000_000
+MEMORY = 200 << 20
 WORD = 64
 STOPS = ".,;:!?"
 # Python splits words at these, Unicode does not count them as white space.

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import (decontaminate, exact, main_text, merkle, near, packing, pivots, revisits, secrets, token_counts,
-                         toxicity, url_trust)
+from runlens.llm import (alignment, decontaminate, exact, main_text, merkle, near, packing, pivots, revisits, secrets,
+                         token_counts, toxicity, url_trust)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,3 +171,9 @@ from l join subroots s using (tree) join done d on d.tree = l.tree and d.pos = l
 join (select digest from uppers where n = 1) r on true""")
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_tokenizer_alignment(spark, sf_dir):
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                               public_tokenizers.path("piece_bpe_32k.model")).drop("groups")

@@ -14,7 +14,7 @@ from runlens.llm.tables import slices, text_of
 # Bytes of text that are encoded at a time.
 BATCH_BYTES = 4 << 20
 # Counts of pieces that a worker remembers, and the longest piece it remembers.
-MEMORY = 1_000_000
+MEMORY = 200 << 20
 PIECE = 64
 STOPS = ".,;:!?"
 # A piece begins at a space that is followed by something else than white space: the tokenizer's own pattern ends a
