@@ -3,11 +3,13 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.tables import settle
+from runlens.llm.tables import BROADCAST_ROWS, settle, small
 
 # (verdict, host, path): a rule fits its host and all subdomains, if the path of the url starts with its path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+# Rounds of the propagation in one job.
+ROUNDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # An href of a link to another host, quoted or not.
 LINK = r"""(?i)\bhref\s{0,9}=\s{0,9}["']?\s{0,9}(?:https?:)?//([^/?#"'\s>]+)"""
@@ -41,31 +43,38 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def propagate(spark: SparkSession, edges: DataFrame, seeds: DataFrame, damping: float = 0.85,
-              tolerance: float = 1e-6) -> DataFrame:
-    """Personalised PageRank: host, score.
-
-    ``seeds`` (host, mass) sum to 1. A host hands ``damping`` of its score to the hosts it links to, by link weight;
-    what hosts without links hold is given back to the seeds by way of normalising. Each round is one join and one sum
-    over the edges, written to the shared folder; the rounds end when no host is newly reached and no score moves by more
-    than ``tolerance`` of itself, however far the host is. Scores below 1e-300 are at the end of what a double holds and
-    do not prolong the rounds.
+              tolerance: float = 1e-8, together: int = ROUNDS) -> DataFrame:
+    """Personalised PageRank: host, score, summing to 1.
+
+    ``seeds`` (host, mass) sum to 1. A surfer follows a link with probability ``damping``, by link weight, and else starts
+    anew at a seed; at a host without links they start anew, too. Those restarts only scale the scores, so the rounds move
+    what is new alone: every round hands on ``damping`` of the mass that arrived in the round before, all arrivals are added
+    up, and the sums are divided by their total at the end. What is under way shrinks by ``damping`` a round or faster,
+    whatever the graph, and the rounds end when it is less than ``tolerance`` of the seeds' mass (some 115 rounds at most)
+    and no host has been reached for the first time lately; only a host farther than that from all seeds makes more.
+
+    ``together`` rounds are one job, whose result is written. The mass under way is one short row per linked host: counted
+    to be few, it is replicated and the edges stay where they are; else both are exchanged by host.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
     shares = settle(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("share")), "shares")
-    scores, zero = settle(seeds.select("host", F.col("mass").alias("score")), "scores"), F.lit(0.0)
+    few = shares.select("dst").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    moving = settle(seeds.select("host", ((1 - damping) * F.col("mass")).alias("score")), "scores")
+    scores, zero = moving, F.lit(0.0)
     while True:
-        flow = shares.join(scores, shares.src == scores.host).select(
-            F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("_new"), zero.alias("_old"))
-        step = flow.unionByName(seeds.select("host", ((1 - damping) * F.col("mass")).alias("_new"), zero.alias("_old")))
-        step = step.unionByName(scores.select("host", zero.alias("_new"), F.col("score").alias("_old")))
-        step = settle(step.groupBy("host").agg(F.sum("_new").alias("_new"), F.sum("_old").alias("_old")), "scores")
-        ratio = F.when(F.col("_new") > 1e-300, F.col("_old") / F.col("_new"))
-        total, least, most = step.agg(F.sum("_new"), F.min(ratio), F.max(ratio)).first()
-        if not total:
-            return scores
-        scores = step.select("host", (F.col("_new") / F.lit(total)).alias("score"))
-        if max(abs(1 - least * total), abs(1 - most * total)) < tolerance:
-            return scores
+        known = scores.select("host", "score", zero.alias("moving"), F.lit(False).alias("new"))
+        for n in range(1, together + 1):
+            there = F.broadcast(moving) if few and n > 1 else small(moving) if n == 1 else moving
+            moving = shares.join(there, shares.src == there.host).groupBy(F.col("dst").alias("host")).agg(
+                F.sum(damping * F.col("score") * F.col("share")).alias("score"))
+            known = known.unionByName(moving.select("host", "score", (F.col("score") if n == together else zero).alias("moving"),
+                                                    F.lit(True).alias("new")))
+        step = settle(known.groupBy("host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving"),
+                                                F.bool_and("new").alias("new")), "scores")
+        total, left, reached = step.agg(F.sum("score"), F.sum("moving"), F.bool_or(F.col("new") & (F.col("score") > 0))).first()
+        scores, moving = step.select("host", "score"), step.where("moving > 0").select("host", F.col("moving").alias("score"))
+        if not total or left < tolerance * (1 - damping) and not reached:
+            return scores.withColumn("score", F.col("score") / F.lit(total or 1.0))
 
 
 def host_scores(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, url: str = "url",
