@@ -30,9 +30,11 @@ TRAINING_ROWS = 20_000
 LEAST_G = 24.0
 FEATURES = 50_000
 THRESHOLD = 0.5
+# Log odds of a text where nothing tells toxic ones, and the highest where no feature does.
+NO_EVIDENCE, NO_FEATURES = -4.0, -0.01
 # Beginnings of words, by length, that are features like whole words (for inflected and compounded forms).
 PREFIXES = (4, 5, 6)
-MEMORY = 1_000_000
+MEMORY = 200 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -112,7 +114,7 @@ def swapped(text: str, groups=IDENTITY_TERMS) -> list[tuple[str, str]]:
 
 
 def design(train: DataFrame, features: list[str], groups=IDENTITY_TERMS) -> DataFrame:
-    """label, on (indexes of the features present), pairs (indexes only in a sentence, only in its counterfactual).
+    """label, on (indexes of the features present), pairs (indexes only in a sentence, only in its counterfactual), written.
 
     Counterfactuals that change no feature in use need no penalty and are not listed."""
     index = {f: i for i, f in enumerate(features)}
@@ -133,45 +135,57 @@ def design(train: DataFrame, features: list[str], groups=IDENTITY_TERMS) -> Data
                     pa.array(pairs, pa.list_(pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32()))])))],
                     ["label", "on", "pairs"])
 
-    return train.mapInArrow(make, "label int, on array<int>, pairs array<struct<lost:array<int>,gained:array<int>>>")
+    return settle(train.mapInArrow(make, "label int, on array<int>, pairs array<struct<lost:array<int>,gained:array<int>>>"),
+                  "design")
 
 
-def fit(rows: list, n_features: int, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 400,
+def swaps(made: DataFrame) -> DataFrame:
+    """label, lost, gained, n: the different counterfactual changes of a design, and how often texts of a label have them."""
+    return made.select("label", F.explode("pairs").alias("_pair")).groupBy("label", "_pair.lost", "_pair.gained").agg(
+        F.count(F.lit(1)).alias("n")).orderBy("label", "lost", "gained")
+
+
+def slope_of(weights: np.ndarray, bias: float, labels, part, at, on, swap, ridge: float, fairness: float) -> np.ndarray:
+    """The gradient of the loss of ``fit`` by the weights and, last, the bias."""
+    z = bias + np.bincount(at, weights[on], len(labels))
+    error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * part
+    slope = np.bincount(on, error[at], len(weights)) + 2 * ridge * weights
+    p_part, p_at, p_on, p_sign = swap
+    if len(p_part):
+        change = p_part * np.bincount(p_at, p_sign * weights[p_on], len(p_part))
+        slope += 2 * fairness * np.bincount(p_on, p_sign * change[p_at], len(weights))
+    return np.append(slope, error.sum())
+
+
+def fit(rows: list, pairs: list, n_features: int, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 400,
         rate: float = 0.3, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
-    """Weights and bias of the classifier, by Adam on the whole (bounded) design.
+    """Weights and bias of the classifier, by Adam on the whole (bounded) design: rows (label, on) and the changes of
+    ``swaps`` (label, lost, gained, n).
 
-    Loss: the mean log loss, plus ``ridge`` times the squared weights, plus
-    ``fairness`` times the mean squared change of the score between sentences and their counterfactuals. In both means a
-    row counts as the number of labelled documents that it ``stands_for``, given for clean and toxic ones.
+    Loss: the mean log loss, plus ``ridge`` times the squared weights, plus ``fairness`` times the mean squared change of
+    the log odds between sentences and their counterfactuals. In both means a row counts as the number of labelled documents
+    that it ``stands_for``, given for clean and toxic ones. Without rows of both labels nothing tells toxic texts, and
+    without telling features only their share is known: then no score reaches a half.
     """
     labels = np.array([r.label for r in rows], float)
-    weights, bias = np.zeros(n_features), 0.0
-    if not len(labels):
-        return weights, bias
-    if labels.min() == labels.max():
-        return weights, 8.0 * labels[0] - 4.0
+    weights = np.zeros(n_features)
+    if not len(labels) or labels.min() == labels.max():
+        return weights, NO_EVIDENCE
     part = np.where(labels == 1, stands_for[1], stands_for[0])
     part /= part.sum()
     share = part @ labels
     if not n_features:
-        return weights, math.log(share / (1 - share))
+        return weights, min(math.log(share / (1 - share)), NO_FEATURES)
     at = np.repeat(np.arange(len(rows)), [len(r.on) for r in rows])
     on = np.concatenate([np.array(r.on, np.int64) for r in rows])
-    pairs = [p for r in rows for p in r.pairs]
-    p_part = np.repeat(part, [len(r.pairs) for r in rows])
+    p_part = np.array([p.n * stands_for[p.label] for p in pairs], float)
     p_part /= p_part.sum() or 1.0
     p_at = np.repeat(np.arange(len(pairs)), [len(p.lost) + len(p.gained) for p in pairs]).astype(np.int64)
     p_on = np.array([i for p in pairs for i in (*p.lost, *p.gained)], np.int64)
     p_sign = np.array([s for p in pairs for s in [1.0] * len(p.lost) + [-1.0] * len(p.gained)])
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    m, v, bias = np.zeros(n_features + 1), np.zeros(n_features + 1), 0.0
     for step in range(1, steps + 1):
-        z = bias + np.bincount(at, weights[on], len(labels))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * part
-        slope = np.bincount(on, error[at], n_features) + 2 * ridge * weights
-        if pairs:
-            change = p_part * np.bincount(p_at, p_sign * weights[p_on], len(pairs))
-            slope += 2 * fairness * np.bincount(p_on, p_sign * change[p_at], n_features)
-        slope = np.append(slope, error.sum())
+        slope = slope_of(weights, bias, labels, part, at, on, (p_part, p_at, p_on, p_sign), ridge, fairness)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope ** 2
         move = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
         weights, bias = weights - move[:-1], bias - move[-1]
@@ -182,23 +196,28 @@ def train_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_RO
                      fairness: float = 1.0, doc_id: str = "doc_id", text: str = "text", label: str = "toxic"):
     """(weight by feature, bias), learned from at most ``rows`` documents of each label.
 
-    The ids of the sample are bounded by that parameter and so is what the driver receives: at most ``FEATURES`` names and
-    a few indexes per sampled document. Features are counted in Spark over the sample. A sampled row stands for as many
-    labelled documents as there are of its label for each one sampled, so the share of toxic ones is that of all labels.
+    The ids of the sample are bounded by that parameter and so is what the driver receives: at most ``FEATURES`` names, their
+    indexes in the sampled documents, and the different changes that swaps make, each once. Features are counted in Spark
+    over the sample, and equal changes added up there. A sampled row stands for as many labelled documents as there are of its
+    label for each one sampled, so the share of toxic ones is that of all labels of documents. Of several texts with one
+    id the least counts.
     """
-    known = settle(usable_labels(labels, doc_id, label), "labels")
+    ids = docs.select(docs[doc_id].alias("doc_id"))
+    known = settle(usable_labels(labels, doc_id, label).join(ids, "doc_id", "left_semi"), "labels")
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     stands_for = tuple(max(1.0, counts.get(v, 0) / max(rows, 1)) for v in (0, 1))
     chosen = settle(sampled(known, rows), "training")
     held = docs.select(docs[doc_id].alias("doc_id"), text_of(docs, text).alias("text"))
     # At most 2 * rows ids of 8 bytes.
-    train = settle(held.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label"), "training")
+    train = settle(held.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(
+        "text", "label"), "training")
     sizes = {r.label: r.n for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     features = []
     if sizes.get(0) and sizes.get(1):
         features = chosen_features(feature_counts(train), sizes[1], sizes[0])
-    made = design(train, features, groups).collect()
-    weights, bias = fit(made, len(features), fairness=fairness, stands_for=stands_for)
+    made = design(train, features, groups)
+    rows = made.select("label", "on").orderBy("label", "on").collect()
+    weights, bias = fit(rows, swaps(made).collect(), len(features), fairness=fairness, stands_for=stands_for)
     return {f: float(w) for f, w in zip(features, weights) if abs(w) > 1e-9}, float(bias)
 
 
@@ -265,8 +284,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, grou
     column but the text enters a score.
 
     Null and empty texts get the score of a text without features. Null ids are scored (their crc32 is that of the empty
-    text). Labels that are null or not 0 or 1, contradict each other or belong to no document are ignored; without rows of
-    both labels every score is that of the one label there is, or 0.5; without telling features it is their share. Repeated rows are scored each; either table may be
-    empty. Whole texts are read; nothing but the bounded sample is shuffled.
+    text). Labels that are null or not 0 or 1, contradict each other or belong to no document are ignored. A text is only
+    rejected on evidence: without rows of both labels, or without telling features, every score is below 0.5. Repeated rows
+    are scored each; either table may be empty. Whole texts are read; nothing but the bounded sample is shuffled.
     """
     return scored(docs, train_classifier(docs, labels, rows, groups, fairness, doc_id, text, label), doc_id, text)

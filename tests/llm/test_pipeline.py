@@ -43,7 +43,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(i % 8 != 3 or i >= 160 for i in left) and len(left) > 0.8 * len(rows)
     first = {}
     for i in sorted(left):
-        first.setdefault(" ".join(left[i].split()) if False else re.sub(r"[ \t-\r]+", " ", left[i]), i)
+        first.setdefault(re.sub(r"[ \t-\r]+", " ", left[i]), i)
     left = {i: left[i] for i in first.values()}
     classes = near_classes(left)
     left = {i: t for i, t in left.items() if classes[i] == i}

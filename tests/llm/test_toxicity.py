@@ -50,7 +50,7 @@ def test_held_out_labels_are_never_read(spark):
 def test_counterfactuals_take_weight_off_identity_terms(spark):
     rows, labels = corpus(identity="muslims")
     docs, known = documents(spark, rows), labels_of(spark, labels)
-    plain, fair = (t.train_classifier(docs, known, fairness=x) for x in (0.0, 30.0))
+    plain, fair, usual = (t.train_classifier(docs, known, **x) for x in ({"fairness": 0.0}, {"fairness": 30.0}, {}))
 
     def gap(weights):
         """The change in log odds when one term is swapped for the other; scores far from a half would hide it."""
@@ -58,7 +58,8 @@ def test_counterfactuals_take_weight_off_identity_terms(spark):
             weights.get(f, 0.0) for f in t.features_of("christians")))
 
     assert gap(plain[0]) > 0.2 and gap(fair[0]) < gap(plain[0]) / 4
-    assert fair[0]["idiot"] > 1
+    assert gap(usual[0]) < gap(plain[0]) / 4
+    assert fair[0]["idiot"] > 1 and usual[0]["idiot"] > 1
 
 
 def test_swapped():
@@ -71,7 +72,7 @@ def test_awkward_rows(spark, labels):
     known = labels_of(spark, labels) if labels else spark.createDataFrame([], LABELS)
     docs = documents(spark, AWKWARD)
     got = t.toxicity(docs, known).collect()
-    assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 for r in got)
+    assert len(got) == len(AWKWARD) and all(0 <= r.score < 0.5 and not r.predicted for r in got)
     empty = t.toxicity(spark.createDataFrame([], DOCS), known)
     assert empty.count() == 0
 
@@ -114,3 +115,40 @@ def test_without_features_a_capped_sample_gives_the_share_of_all_labels(spark):
     weights, bias = t.train_classifier(documents(spark, rows), known, rows=50)
     used = [r.label for r in t.usable_labels(known).collect()]
     assert not weights and 1 / (1 + np.exp(-bias)) == pytest.approx(np.mean(used))
+
+
+def test_few_labels_reject_nothing(spark):
+    """One toxic and one clean label tell nothing apart."""
+    docs = documents(spark, [(i, f"text number {i}") for i in range(20)])
+    got = t.toxicity(docs, labels_of(spark, [(1, 1), (2, 0), (3, 1)])).collect()
+    assert len(got) == 20 and not any(r.predicted for r in got)
+
+
+def test_gradient_against_differences():
+    """The slope that fit follows is that of the loss it names."""
+    draw = np.random.RandomState(6)
+    on = [sorted(draw.choice(5, draw.randint(1, 5), replace=False)) for _ in range(30)]
+    labels, part = draw.randint(0, 2, 30).astype(float), draw.rand(30)
+    part /= part.sum()
+    changes = [([0, 2], [1]), ([3], []), ([], [4, 0])]
+    weight, ridge, fairness = np.array([0.5, 0.2, 0.3]), 0.01, 2.0
+
+    def loss(x):
+        z = np.array([x[-1] + sum(x[i] for i in some) for some in on])
+        gaps = np.array([sum(x[i] for i in lost) - sum(x[i] for i in gained) for lost, gained in changes])
+        fits = np.log1p(np.exp(-z)) * labels + np.log1p(np.exp(z)) * (1 - labels)
+        return part @ fits + ridge * (x[:-1] ** 2).sum() + fairness * weight @ gaps ** 2
+
+    x = draw.randn(6)
+    flat = [(k, i, s) for k, (lost, gained) in enumerate(changes) for i, s in [(i, 1.0) for i in lost] + [(i, -1.0) for i in gained]]
+    got = t.slope_of(x[:-1], x[-1], labels, part, np.repeat(np.arange(30), [len(o) for o in on]), np.concatenate(on),
+                     (weight, *map(np.array, zip(*flat))), ridge, fairness)
+    near = [(loss(x + e) - loss(x - e)) / 2e-6 for e in 1e-6 * np.eye(6)]
+    assert np.allclose(got, near, atol=1e-7)
+
+
+def test_of_several_texts_with_one_id_the_least_is_learned(spark):
+    rows, labels = corpus(150)
+    twice = rows + [(i, "zz " + text) for i, text in rows]
+    a = t.train_classifier(documents(spark, rows), labels_of(spark, labels))
+    assert t.train_classifier(documents(spark, twice[::-1]), labels_of(spark, labels)) == a
