@@ -10,7 +10,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.memory import Memory
 from runlens.llm.tables import settle, slices, small, text_of
 
 # Words in a shingle; the similarity from which texts are near duplicates.
@@ -25,10 +24,8 @@ MINIMA = 4
 SHORT_MINIMA, SHORT_TO, LONG_FROM = 3, 12, 10
 # Members of a bucket that are all compared with each other, not counting connected ones; larger buckets have a center.
 FEW = 32
-MEMORY = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLIERS = np.random.RandomState(20).randint(1, 2**63 - 1, 64 + SHINGLE + MINIMA, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_HASHES = Memory(MEMORY)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -37,14 +34,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _hash_words(words: list[str]) -> dict[str, int]:
-    return {w: xxhash.xxh64_intdigest(w) for w in words}
-
-
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
     """64-bit hashes of the words of each text: runs of letters and digits in lower case."""
     words = [_WORD.findall(t.lower()) for t in texts]
-    look = _HASHES.ready(set().union(*words), _hash_words).__getitem__
+    look = {w: xxhash.xxh64_intdigest(w) for w in set().union(*words)}.__getitem__
     return [np.fromiter(map(look, w), np.uint64, len(w)) for w in words]
 
 
@@ -323,6 +316,10 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
             break
         found = judged.where("similarity is not null")
         roots = components(found.select(F.col("member").alias("a"), F.col("center").alias("b")))
+        # Where all members of a center are connected already, they have nothing to tell each other.
+        rooted = again.join(roots, again.member == roots.node, "left").select("member", "center", F.coalesce("root", "member").alias("_root"))
+        split = rooted.groupBy("center").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).where("_a <> _b")
+        again = settle(again.join(small(settle(split.select("center"), "split")), "center", "left_semi"), "again")
         dealt = again.select("member", "center", F.explode("apart").alias("_mark")).unionByName(contained(again, marks))
         dealt = dealt.join(roots, dealt.member == roots.node, "left").select(
             "member", F.coalesce("root", "member").alias("_root"), F.xxhash64("center", "_mark").alias("bucket"))
