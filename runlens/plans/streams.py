@@ -9,7 +9,7 @@ from runlens.plans.tables import ARRIVALS, METRICS, PODS, RECORDS, RUNS, with_ta
 from runlens.plans.telemetry import (ACCEPTED, JUDGED, LISTINGS, PAYLOADS, POD_METRICS, RATE, listing,
                                      payloads)
 from runlens.session import new_dir
-from runlens.streaming import jobs
+from runlens.streaming import commits, jobs
 
 CUT = "2024-01-15 00:00:00"
 
@@ -39,6 +39,25 @@ def ingest_stream(spark, sf):
     return jobs.ingested(spark, out).select("metric_id", "status", "message", "found_pod", "found_run", "accepted")
 
 
+@query(with_tables(PODS, RUNS, PAYLOADS, JUDGED) + """select metric_id, name, ts as date, value, found_pod as pod_id,
+ found_run as run_id, status::bigint as status, message from judged""")
+def ingest_stream_metrics(spark, sf):
+    """Metric rows and refused payloads, committed together by each of two triggers."""
+    root, rows = new_dir(spark, "ingested"), payloads(spark, sf)
+    parts = _parts(rows.withColumn("_at", F.to_timestamp_ntz("date", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))), "_at")
+    _run(spark, [p.drop("_at") for p in parts], lambda stream, checkpoint: jobs.start_metric_ingest(
+        stream, lambda: t.pods(spark, sf), lambda: t.runs(spark, sf), root, checkpoint))
+    accepted = commits.read(spark, root, "metrics", "metric_id bigint, name string, date timestamp, value string, "
+                            "metadata string, cumulative boolean, pod_id bigint, run_id bigint")
+    rejects = commits.read(spark, root, "rejects", rows.schema.add("status", "long").add("message", "string"))
+    none = F.lit(None).cast("bigint")
+    rejects = rejects.select("metric_id", "name", F.to_timestamp_ntz("date", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("date"),
+                             "value", none.alias("pod_id"), none.alias("run_id"), "status", "message")
+    return accepted.select("metric_id", "name", F.col("date").cast("timestamp_ntz").alias("date"), "value", "pod_id", "run_id",
+                           F.lit(201).cast("bigint").alias("status"), F.lit(None).cast("string").alias("message")) \
+        .unionByName(rejects).withColumn("value", F.col("value").cast("double"))
+
+
 @query(with_tables(METRICS, ARRIVALS, ACCEPTED) + "select metric_id, pod_id, name, date, value from accepted")
 def accept_newer_stream(spark, sf):
     out, state = new_dir(spark, "accepted"), new_dir(spark, "marks")
@@ -86,6 +105,46 @@ def inventory_stream(spark, sf):
                 "name", F.col("action").alias("change"), "phase", F.coalesce("ip", F.lit("")).alias("ip"), "node_name")))
 
 
+SEEN = """obs as (select k as seen_at, 'worker-' || c_custkey as name, ['Pending', 'Running', 'Failed'][(c_custkey + k) // 2 % 3 + 1] as phase,
+  case when (c_custkey + k) % 7 <> 0 then '10.' || c_custkey || '.' || k else '' end as ip, 'node-' || k % 2 as node_name
+  from customer, range(6) r(k) where k <> 3 and (c_custkey * 7 + k * 3) % 5 <> 0),
+ changes as (
+  select o.seen_at, case when p.name is null then 'insert' else 'phase' end as action, o.name, o.phase from obs o
+    left join obs p on p.name = o.name and p.seen_at = o.seen_at - 1 where p.name is null or p.phase <> o.phase
+  union all select p.seen_at + 1, 'delete', p.name, p.phase from obs p
+    left join obs o on p.name = o.name and p.seen_at = o.seen_at - 1 where o.name is null and p.seen_at < 5),
+ shown as (select seen_at, 'stored' as action, name, phase from obs where seen_at = 5 union all select * from changes)"""
+
+
+def seen(spark, sf):
+    """Six listings of the customers as workers, each leaving out some; the fourth shows nothing and stands for itself."""
+    k = F.col("seen_at")
+    rows = t.table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("seen_at")) \
+        .filter((k != 3) & ((F.col("c_custkey") * 7 + k * 3) % 5 != 0))
+    turn = F.expr("(c_custkey + seen_at) div 2 % 3")
+    shown = rows.select("seen_at", F.format_string("worker-%d", "c_custkey").alias("name"),
+                        F.when(turn == 0, "Pending").when(turn == 1, "Running").otherwise("Failed").alias("phase"),
+                        F.when((F.col("c_custkey") + k) % 7 != 0, F.format_string("10.%d.%d", "c_custkey", "seen_at")).alias("ip"),
+                        F.format_string("node-%d", k % 2).alias("node_name"))
+    empty = t.table(spark, sf, "region").filter("r_regionkey = 0").select(
+        F.lit(3).alias("seen_at"), *[F.lit(None).cast("string").alias(c) for c in ("name", "phase", "ip", "node_name")])
+    return shown.unionByName(empty)
+
+
+@query(f"with {SEEN}" + """ select s.seen_at::bigint as seen_at, s.action, s.name, s.phase, b.ip, b.node_name from shown s join obs b on b.name = s.name
+ and b.seen_at = (select max(i.seen_at) from changes i where i.action = 'insert' and i.name = s.name
+   and i.seen_at <= s.seen_at - (s.action = 'delete')::int)""")
+def inventory_stream_many(spark, sf):
+    """Three listings land in each of two triggers; every one of them counts."""
+    root, rows = new_dir(spark, "inventory"), seen(spark, sf)
+    _run(spark, [rows.filter("seen_at < 3"), rows.filter("seen_at >= 3")], lambda stream, checkpoint: jobs.start_presence(
+        stream, rows.drop("seen_at").limit(0), root, checkpoint))
+    entity = "name string, phase string, ip string, node_name string"
+    changes = commits.read(spark, root, "changes", f"seen_at int, action string, {entity}")
+    stored = commits.read(spark, root, "inventory", entity).select(F.lit(5).alias("seen_at"), F.lit("stored").alias("action"), "*")
+    return changes.unionByName(stored).withColumn("seen_at", F.col("seen_at").cast("bigint"))
+
+
 @query(with_tables(RECORDS) + f"""select run_id, max(value) as best, arg_max(epoch, (value, -epoch)) as best_step,
  min(case when value >= {TARGET} then epoch_us(ts) end) as reached_us from records group by run_id""")
 def best_stream(spark, sf):
@@ -94,3 +153,14 @@ def best_stream(spark, sf):
     _run(spark, _parts(records, "ts"), lambda stream, checkpoint: jobs.start_best(
         stream, TARGET, out, checkpoint))
     return jobs.latest_best(spark, out)
+
+
+@query(with_tables(RECORDS) + f"""select run_id, max(value) as best, arg_max(epoch, (value, -epoch)) as best_step,
+ min(case when value >= {TARGET} then epoch_us(ts) end) as reached_us from records group by run_id""")
+def best_stream_compacted(spark, sf):
+    """Four triggers, every second of which folds the updates."""
+    root = new_dir(spark, "best")
+    records = t.records(spark, sf).select("run_id", "epoch", "value", "ts")
+    days = [records.filter((F.dayofmonth("ts") % 4) == n) for n in range(4)]
+    _run(spark, days, lambda stream, checkpoint: jobs.start_best_compacted(stream, TARGET, root, checkpoint, every=2))
+    return jobs.current_best(spark, root)

@@ -74,3 +74,9 @@ def settled(df: DataFrame) -> DataFrame:
     """Checkpoint ``df``: computed once, lineage cut, readable after executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written, wherever Spark's paths reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runlens.operators.entities import ingest_status, reconcile_inventory, refresh_phase
+from runlens.operators.entities import accepted_metrics, ingest_status, reconcile_inventory, refresh_phase, rejected_events
+from runlens.operators.presence import inventory_after
 from runlens.operators.progress import proper
 from runlens.operators.scan import micros
 from runlens.operators.series import SHARED_MARK, accept_newer, counter_rate
+from runlens.session import remove, written
+from runlens.streaming import commits
 
 
 def _reused(each):
@@ -52,6 +55,24 @@ def start_ingest(events: DataFrame, pods, runs, out: str, checkpoint: str, trigg
     return _start(events, each, checkpoint, trigger)
 
 
+def start_metric_ingest(events: DataFrame, pods, runs, root: str, checkpoint: str, trigger: dict = None) -> StreamingQuery:
+    """As ``start_ingest``, into two tables below ``root``: ``metrics``, the rows of accepted payloads, and ``rejects``, the
+    refused ones with status and message. A trigger's rows reach both or neither (``commits``).
+
+    The entities may change while a trigger works, so payloads are judged once, and both tables are made of what was
+    written then.
+    """
+    def each(batch, batch_id):
+        spark = batch.sparkSession
+        if batch_id <= commits.last_trigger(spark, root):
+            return
+        judged = written(ingest_status(batch, pods(), runs()), "judged")
+        commits.commit(spark, root, batch_id, {"metrics": accepted_metrics(judged), "rejects": rejected_events(judged)})
+        for path in {f.rpartition("/")[0] for f in judged.inputFiles()}:
+            remove(spark, path)
+    return _start(events, each, checkpoint, trigger)
+
+
 def ingested(spark: SparkSession, out: str) -> DataFrame:
     """Payloads judged so far, with ``accepted`` as a boolean."""
     return spark.read.parquet(out).withColumn("accepted", F.col("accepted").cast("boolean"))
@@ -154,6 +175,29 @@ def start_inventory(observed: DataFrame, initial: DataFrame, table: str, changes
     return _start(observed, _reused(each), checkpoint, trigger or {"availableNow": True})
 
 
+def start_presence(observed: DataFrame, initial: DataFrame, root: str, checkpoint: str, trigger: dict = None,
+                   seen_at: str = "seen_at") -> StreamingQuery:
+    """As ``start_inventory``, with every listing counted: however many land in one trigger, each of them makes its inserts,
+    deletes and phase changes, also one that shows nothing (a row without a name).
+
+    Below ``root``: ``inventory``, of which the newest version counts, and ``changes``. A listing that is not after the
+    last one of an earlier trigger is late and changes nothing.
+    """
+    time = observed.schema[seen_at].dataType.simpleString()
+
+    def each(batch, batch_id):
+        spark = batch.sparkSession
+        known = commits.last_trigger(spark, root) >= 0
+        stored = commits.read(spark, root, "inventory", initial.schema) if known else initial
+        mark = commits.read(spark, root, "mark", f"seen_at {time}")
+        newest = mark.agg(F.max("seen_at")).first()[0]
+        batch = batch if newest is None else batch.filter(F.col(seen_at) > F.lit(newest))
+        after, changes = inventory_after(stored, batch, seen_at=seen_at)
+        mark = batch.select(F.col(seen_at).alias("seen_at")).unionByName(mark).agg(F.max("seen_at").alias("seen_at"))
+        commits.commit(spark, root, batch_id, {"changes": changes}, {"inventory": after, "mark": mark})
+    return _start(observed, _reused(each), checkpoint, trigger)
+
+
 def best_stream(records: DataFrame, target: float, run: str = "run_id", step: str = "epoch",
                 value: str = "value", date: str = "ts") -> DataFrame:
     """Per run the best value, its earliest step, and the first time the target was reached."""
@@ -177,3 +221,31 @@ def latest_best(spark: SparkSession, out: str, run: str = "run_id") -> DataFrame
     rest = [c for c in updates.columns if c not in (run, "batch_id")]
     return updates.groupBy(run).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_row")) \
         .select(run, "_row.*")
+
+
+def start_best_compacted(records: DataFrame, target: float, root: str, checkpoint: str, trigger: dict = None, every: int = 10,
+                         run: str = "run_id", **names) -> StreamingQuery:
+    """As ``start_best``, below ``root`` as committed parts; every ``every``-th trigger folds them into a snapshot of one row
+    per run, so readers and folders have to do with no more than that many parts."""
+    updates = best_stream(records, target, run, **names)
+
+    def each(batch, batch_id):
+        spark = batch.sparkSession
+        part = batch.withColumn("trigger", F.lit(batch_id).cast("bigint"))
+        if batch_id % every:
+            commits.commit(spark, root, batch_id, {"best": part})
+        else:
+            whole = commits.read(spark, root, "best", part.schema).unionByName(part)
+            commits.commit(spark, root, batch_id, snapshots={"best": _newest(whole, run)})
+    return _start(updates, each, checkpoint, trigger, mode="update")
+
+
+def _newest(updates: DataFrame, run: str) -> DataFrame:
+    rest = [c for c in updates.columns if c != run]
+    return updates.groupBy(run).agg(F.max_by(F.struct(*rest), "trigger").alias("_row")).select(run, "_row.*")
+
+
+def current_best(spark: SparkSession, root: str, run: str = "run_id", run_type: str = "bigint", step_type: str = "bigint") -> DataFrame:
+    """Current row per run of ``start_best_compacted``."""
+    schema = f"{run} {run_type}, best double, best_step {step_type}, reached_us bigint, trigger bigint"
+    return _newest(commits.read(spark, root, "best", schema), run).drop("trigger")
