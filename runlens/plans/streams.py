@@ -9,7 +9,7 @@ from runlens.plans.tables import ARRIVALS, METRICS, PODS, RECORDS, RUNS, with_ta
 from runlens.plans.telemetry import (ACCEPTED, JUDGED, LISTINGS, PAYLOADS, POD_METRICS, RATE, listing,
                                      payloads)
 from runlens.session import new_dir
-from runlens.streaming import commits, jobs
+from runlens.streaming import commits, jobs, states
 
 CUT = "2024-01-15 00:00:00"
 
@@ -75,6 +75,33 @@ def counter_rate_stream(spark, sf):
     return spark.read.parquet(out).select("metric_id", "pod_id", "name", "date", F.round("rate", 6).alias("rate"))
 
 
+@query(with_tables(METRICS, ARRIVALS, ACCEPTED) + "select metric_id, pod_id, name, date, value from accepted")
+def accept_newer_states(spark, sf):
+    """Marks in the state store."""
+    out = new_dir(spark, "accepted")
+    columns = ["metric_id", "pod_id", "name", "date", "value", "arrival"]
+    _run(spark, _parts(t.arrivals(spark, sf).select(*columns), "date"), lambda stream, checkpoint: states.start_table(
+        states.newer_samples(stream, "arrival"), out, checkpoint))
+    return spark.read.parquet(out).select("metric_id", "pod_id", "name", "date", "value")
+
+
+@query(with_tables(METRICS) + ", days as (select metric_id, pod_id, name, date_trunc('day', date) as date, value, cumulative from metrics"
+       " where pod_id is not null), " + RATE.format(source="days", keys="pod_id, name") + """
+select metric_id, pod_id, name, date, round(rate, 6) as rate from rated""")
+def counter_rate_stream_ties(spark, sf):
+    """Dates of whole days, so that many samples of a series share one, also across the two triggers."""
+    rows = t.pod_metrics(spark, sf).select("metric_id", "pod_id", "name", F.expr("cast(date_trunc('DAY', date) as timestamp_ntz)").alias("date"),
+                                           "value", "cumulative")
+    cut = F.lit(CUT).cast("timestamp_ntz")
+    middle = rows.filter(F.col("date") == cut).agg(F.percentile_approx("metric_id", 0.5)).first()[0] or 0
+    first = (F.col("date") < cut) | ((F.col("date") == cut) & (F.col("metric_id") <= middle))
+    out = new_dir(spark, "rates")
+    _run(spark, [rows.filter(first), rows.filter(~first)], lambda stream, checkpoint: states.start_table(
+        states.rates(stream), out, checkpoint))
+    found = spark.read.parquet(out).filter("not late")
+    return found.select("metric_id", "pod_id", "name", "date", F.round("rate", 6).alias("rate"))
+
+
 @query(with_tables(METRICS) + f"""select metric_id, name, date, value,
  case when date < timestamp '{CUT}' then 1 else 2 end::bigint as read from metrics""")
 def read_since(spark, sf):
