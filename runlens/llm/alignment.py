@@ -1,10 +1,10 @@
 """Alignment of two tokenizers over a corpus, as an Arrow pipeline over flattened token lists."""
 
 import hashlib
+import json
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,24 +12,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.memory import Memory
 from runlens.llm.tables import settle, slices, small, text_of
 
 # Bytes of text whose tokens are aligned at a time.
 BATCH_BYTES = 4 << 20
-# Bytes of pieces and ids that a worker remembers.
-MEMORY_BYTES = 128 << 20
-PIECE = 64
 # Different id pairs that a task counts before it hands them on.
 PARTIAL = 500_000
 # Counted id pairs, of 17 bytes each, that are replicated; more are joined by exchange.
 REPLICATED_PAIRS = 2_000_000
-STOPS = ".,;:!?"
-# Letters below are letters under every version of Unicode.
-_LATIN_END = "\u0250"
-# Where white space stands alone, pieces begin at every space; else at one after something else that does not end the text.
-_UNEVEN = re.compile(r"\s |\s\Z")
-_SAFE = re.compile(r"(?s)(?<=\S)(?= .)")
+# The pattern of byte-level vocabularies, a fixed value: contractions, then letters, digits or other signs after a space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters beyond Latin, Greek and Cyrillic, and runs that a pattern match may make very long.
+_SLOW = re.compile("[^\u0000-\u052f]|\\S{1000}|\\s{1000}")
 ROW = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs array<long>, counts array<int>"
 
 
@@ -44,12 +38,12 @@ def byte_letters() -> dict[str, int]:
 class Pair:
     """A byte-level vocabulary of tokenizers (A) and one of sentencepiece (B) with its leading space.
 
-    Both take special strings as plain text. ``a_bytes`` and ``b_bytes`` hold the bytes of every id. Texts are cut where
-    neither joins: A ends a match before a space that follows something else than white space, and B has no piece with a
-    space inside (else its texts are not cut).
+    Both take special strings as plain text. ``a_bytes`` and ``b_bytes`` hold the bytes of every id. A's merges are
+    ranked by their ids in vocabularies of this kind; then tiktoken, which is faster, makes the same ids for texts in scripts
+    whose letters no version of Unicode disputes, and the library itself for all others and for very long words.
     """
 
-    def __init__(self, path_a: str, path_b: str, special: str = "<|endoftext|>"):
+    def __init__(self, path_a: str, path_b: str):
         # Spark's tasks are the parallelism.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
@@ -62,60 +56,49 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_letters()
         names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
-        self.a_bytes = pa.array([bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in names],
-                                pa.large_binary())
+        spelled = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in names]
+        self.a_bytes = pa.array(spelled, pa.large_binary())
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = pa.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                                  for i, p in enumerate(pieces)], pa.large_binary())
-        self.whole = any("▁" in p.lstrip("▁") for p in pieces)
-        # The letter of a byte, by the character with the byte's number.
-        self.spelled = {b: c for c, b in letters.items()}
-        self.space = self.spelled[32]
-        self.memory = Memory(MEMORY_BYTES, PIECE)
+        self.fast = self._ranked(path_a, names, spelled)
         # Every id as it stands in a text of groups, with what may follow it.
         self.n_a, self.n_b = len(names), len(pieces)
         self.words = pa.array([f"{i}{s}".encode() for i in range(self.n_a) for s in (",", "|")]
                               + [f"{i}{s}".encode() for i in range(self.n_b) for s in (",", ";", "")], pa.large_binary())
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of space + text, each without its first space; none of an empty text."""
-        if not text:
-            return []
-        if self.whole:
-            return [text]
-        if _UNEVEN.search(" " + text):
-            return [p[1:] for p in _SAFE.split(" " + text)]
-        return text.split(" ")
-
-    def learn(self, pieces: list[str]) -> dict[str, tuple]:
-        """The ids of both for pieces, as bytes of 32-bit integers."""
-        # Plain letters are one match of A's pattern, and so are stops after them, so its model can have them directly.
-        tokenize, space, cut = self.a.model.tokenize, self.space, {}
-        for p in pieces:
-            core = p.rstrip(STOPS)
-            if core.isalpha() and (core.isascii() or max(core) < _LATIN_END):
-                cut[p] = core
-        tails = {t: array("i", [x.id for x in tokenize(t)]).tobytes() for t in {p[len(c):] for p, c in cut.items()} if t}
-        tails[""] = b""
-        spelled = self.spelled
-        a = {p: array("i", [x.id for x in tokenize(space + (c if c.isascii() else c.encode().decode("latin-1").translate(spelled)))]).tobytes()
-             + tails[p[len(c):]] for p, c in cut.items()}
-        odd = [p for p in pieces if p not in cut]
-        a |= {p: array("i", e.ids).tobytes()
-              for p, e in zip(odd, self.a.encode_batch_fast([" " + p for p in odd], add_special_tokens=False))}
-        return {p: (a[p], array("i", ids).tobytes()) for p, ids in zip(pieces, self.b.encode(pieces, num_threads=1))}
-
-    def lists(self, pieces: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
-        """The ids of A and of B of each of the different pieces."""
-        keys = pieces.to_pylist()
-        known = self.memory.ready(set(keys), self.learn)
-        out = []
-        for side in (0, 1):
-            held = [known[k][side] for k in keys]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in held], dtype=np.int64) // 4])
-            out.append(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()),
-                                                     pa.array(np.frombuffer(b"".join(held), np.int32))))
-        return tuple(out)
+    @staticmethod
+    def _ranked(path: str, names: list[str], spelled: list[bytes]):
+        """A's encoding in tiktoken, or None if its ids are not the ranks of its merges or its pattern is another one."""
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        model, split = told["model"], told["pre_tokenizer"] or {}
+        at = {name: i for i, name in enumerate(names)}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        if told["normalizer"] or not plain or model.get("ignore_merges") or [at.get(x + y) for x, y in merges] != [*range(256, 256 + len(merges))]:
+            return None
+        import tiktoken
+
+        ranks = {spelled[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> tuple[pa.LargeListArray, pa.LargeListArray]:
+        """The ids of space + text under A and of the text under B; none of empty texts."""
+        a = [None if not t else self.fast.encode_ordinary(" " + t) if self.fast and not _SLOW.search(t) else t for t in texts]
+        slow = [i for i, ids in enumerate(a) if isinstance(ids, str)]
+        for i, e in zip(slow, self.a.encode_batch_fast([" " + a[i] for i in slow], add_special_tokens=False)):
+            a[i] = e.ids
+        b = [x if t else _NONE for t, x in zip(texts, self.b.encode(texts, out_type="numpy", num_threads=1))]
+        return _lists([_NONE if x is None else np.frombuffer(array("i", x), np.int32) for x in a]), _lists(b)
+
+
+_NONE = np.empty(0, np.int32)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.LargeListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+    return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate([_NONE, *parts])))
 
 
 _PAIRS: dict[tuple, Pair] = {}
@@ -138,12 +121,10 @@ def _same(texts: list[bytes], lengths: np.ndarray, joined: pa.Array) -> np.ndarr
     return np.array([n == m and data[e - n:e] == t for t, n, m, e in zip(texts, lengths.tolist(), wanted.tolist(), ends.tolist())], bool)
 
 
-def _side(lists: pa.ListArray, index: pa.Array, parents: pa.Array, table: pa.Array, texts: list[bytes]):
+def _side(lists: pa.LargeListArray, table: pa.Array, texts: list[bytes]):
     """The tokens of a batch under one tokenizer: ids, documents, byte lengths, and which documents they spell."""
-    taken = lists.take(index)
-    ids, docs = pc.list_flatten(taken), parents.take(pc.list_parent_indices(taken))
+    ids, docs = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
     lengths = pc.binary_length(table).take(ids).to_numpy()
-    docs = docs.to_numpy().astype(np.int64)
     per_doc = np.bincount(docs, lengths, len(texts)).astype(np.int64)
     return ids, docs, lengths, _same(texts, per_doc, table.take(ids))
 
@@ -168,14 +149,8 @@ def align(mine: Pair, texts: list[str], keep_groups: bool = False) -> dict[str,
     of each side covers, which is a link, and those with an end of both sides close a group.
     """
     n = len(texts)
-    cut = [mine.pieces(t) for t in texts]
-    coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
-    by_doc = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cut])]), pa.int32()), coded.indices)
-    index, parents = pc.list_flatten(by_doc), pc.list_parent_indices(by_doc)
-    lists = mine.lists(coded.dictionary)
-    whole = [b" " + t.encode() if t else b" " for t in texts]
-    a = _side(lists[0], index, parents, mine.a_bytes, whole)
-    b = _side(lists[1], index, parents, mine.b_bytes, whole)
+    whole = [b" " + t.encode() for t in texts]
+    a, b = (_side(lists, table, whole) for lists, table in zip(mine.encode(texts), (mine.a_bytes, mine.b_bytes)))
     good = a[3] & b[3] & np.array([bool(t) for t in texts], bool)
     left, docs_a = _keyed(*a[:3], good, "a")
     right, docs_b = _keyed(*b[:3], good, "b")
@@ -231,6 +206,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = False
         for batch in batches:
             for part in slices(batch, "text", rows=4096, most=BATCH_BYTES):
                 columns = align(mine, part.column("text").to_pylist(), keep_groups)
+                # The pool would keep what a batch took at most.
+                pa.default_memory_pool().release_unused()
                 sizes = pa.array([mine.n_b] * part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns.values(), sizes],
                                                  ["doc_id", *columns, "size_b"])
