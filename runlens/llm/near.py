@@ -22,8 +22,9 @@ MINIMA = 4
 # Texts of up to SHORT_TO shingles have sketches of SHORT_MINIMA, those of LONG_FROM or more have the others; as lengths of
 # near duplicates differ by a fifth at most, any two of them share one kind.
 SHORT_MINIMA, SHORT_TO, LONG_FROM = 3, 12, 10
-# Members of a bucket that are all compared with each other, not counting connected ones; larger buckets have a center.
-FEW = 32
+# The square of this many pairs of a bucket are compared: members outside its largest connected part with all others. Where
+# there would be more, members are dealt anew.
+FEW = 96
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLIERS = np.random.RandomState(20).randint(1, 2**63 - 1, 64 + SHINGLE + MINIMA, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -265,10 +266,10 @@ def contained(again: DataFrame, marks: DataFrame) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Near-duplicate pairs (member, center, similarity) of words keys that hold every class together.
 
-    Texts that agree in a sketch form a bucket. Buckets of up to FEW members are compared throughout, and so are
-    fewer than FEW members with all others of a bucket that links connect already. No pairs of another bucket are listed: every member is compared with a center,
-    the member that shares most sketches with others (of a text and its edited copies that is the text, or the copy
-    closest to it), and linked if it matches. Two members that both match are connected by that. If one of two similar
+    Texts that agree in a sketch form a bucket. Every member is compared with a center, the member that shares most sketches
+    with others (of a text and its edited copies that is the text, or the copy closest to it), and linked if it matches. Two
+    members that both match are connected by that. Members outside the largest connected part of a bucket are compared with
+    all that they are not connected with, if these are fewer than FEW * FEW pairs. No pairs of another bucket are listed. If one of two similar
     members does not match, they mostly have a shingle in common that the center lacks, as the center has too few of its
     shingles: so all members are dealt anew by such shingles (``apart``). Where the center may have all that they share, as
     it is longer or ordered differently, they are dealt by shingles of the center, too (``contained``). Buckets with members
@@ -276,9 +277,10 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
     little, and a passage that many texts share, which the center has as well, keeps no bucket together.
     """
     texts = signed.where("n_shingles > 0").groupBy("words_key").agg(
-        F.min(F.struct("text_key", "doc_id")).alias("_first"), F.min_by("sketches", "text_key").alias("sketches"))
+        F.min(F.struct("text_key", "doc_id")).alias("_first"), F.min_by("sketches", "text_key").alias("sketches"),
+        F.min("n_shingles").alias("n_shingles"))
     texts = settle(texts.select("words_key", "_first.*", F.array_distinct("sketches").alias("sketches"),
-                                F.xxhash64("words_key").alias("short")), "texts")
+                                "n_shingles", F.xxhash64("words_key").alias("short")), "texts")
     # Buckets are counted by short keys. Should two texts share one, a bucket has one more to be compared.
     entries = texts.select("short", F.explode("sketches").alias("bucket"))
     counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -286,36 +288,45 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
     degrees = shared.groupBy("short").agg(F.sum("size").alias("degree"))
     degrees = settle(texts.drop("sketches").join(degrees, "short"), "degrees")
     marks = shingle_table(docs, degrees.select("doc_id", "text_key", "words_key"), doc_id, text)
-    rank = degrees.select(F.col("words_key").alias("member"), "degree")
-    members = settle(shared.join(degrees, "short").select("bucket", F.col("words_key").alias("member"), "degree",
+    rank = degrees.select(F.col("words_key").alias("member"), "degree", "n_shingles")
+    members = settle(shared.join(degrees, "short").select("bucket", F.col("words_key").alias("member"), "degree", "n_shingles",
                                                            F.col("words_key").alias("root")), "members")
-    judged = None
-    while judged is None or not members.isEmpty():
+    # First every member meets the center of its buckets alone: copies of a text are mostly connected by that.
+    center = members.groupBy("bucket").agg(F.max(F.struct("degree", "member", "n_shingles")).alias("_center"))
+    near_center = members.join(center, "bucket").where(
+        "member <> _center.member and 4 * (n_shingles + _center.n_shingles) <= 9 * least(n_shingles, _center.n_shingles)")
+    pairs = settle(near_center.select("member", F.col("_center.member").alias("center"), F.lit(False).alias("deal")).distinct(), "pairs")
+    judged = settle(verify(pairs, marks), "verified")
+    roots = joined_roots(None, judged.where("similarity is not null").select(F.col("member").alias("a"), F.col("center").alias("b")))
+    members = members.drop("root").join(roots, members.member == roots.node, "left").withColumn("root", F.coalesce("root", "member"))
+    split = members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
+    members = settle(members.drop("node").join(split, "bucket"), "members")
+    while not members.isEmpty():
         parts = members.groupBy("bucket", "root").agg(F.max(F.struct("degree", "member")).alias("_best"), F.count(F.lit(1)).alias("_n"))
         elected = parts.groupBy("bucket").agg(F.max("_best").alias("_center"), F.max(F.struct("_n", "root")).alias("_main"),
-                                              (F.sum("_n") - F.max("_n")).alias("_others"))
+                                              ((F.sum("_n") - F.max("_n")) * F.sum("_n")).alias("_pairs"))
         sized = settle(members.join(elected, "bucket").select(
-            "bucket", "member", "root", F.col("_center.member").alias("center"), (F.col("_others") >= FEW).alias("deal"),
+            "bucket", "member", "root", "n_shingles", F.col("_center.member").alias("center"), (F.col("_pairs") >= FEW * FEW).alias("deal"),
             (F.col("root") == F.col("_main.root")).alias("main")), "members")
-        few = sized.where("not deal").select("bucket", "member", "root", "main", "deal")
-        others = few.select("bucket", F.col("member").alias("center"), F.col("root").alias("_root"), F.col("main").alias("_main"))
-        met = few.where("not main").join(others, "bucket").where("root <> _root and (_main or member > center)")
+        few = sized.where("not deal").select("bucket", "member", "root", "main", "deal", "n_shingles")
+        others = few.select("bucket", F.col("member").alias("center"), F.col("root").alias("_root"), F.col("main").alias("_main"),
+                            F.col("n_shingles").alias("_n"))
+        # Texts whose lengths differ by more than a fifth of the longer one cannot be similar.
+        met = few.where("not main").join(others, "bucket").where(
+            "root <> _root and (_main or member > center) and 4 * (n_shingles + _n) <= 9 * least(n_shingles, _n)")
         pairs = sized.where("deal and member <> center").select("member", "center", "deal").unionByName(
             met.select(F.greatest("member", "center").alias("member"), F.least("member", "center").alias("center"), "deal"))
         pairs = settle(pairs.groupBy("member", "center").agg(F.bool_or("deal").alias("deal")), "pairs")
-        new = pairs
-        if judged is not None:
-            before = judged.groupBy("member", "center").agg(F.bool_or("deal").alias("_dealt"))
-            new = settle(pairs.join(before, ["member", "center"], "left").where("_dealt is null or deal and not _dealt").drop("_dealt"), "new")
+        before = judged.groupBy("member", "center").agg(F.bool_or("deal").alias("_dealt"))
+        new = settle(pairs.join(before, ["member", "center"], "left").where("_dealt is null or deal and not _dealt").drop("_dealt"), "new")
         tried = settle(verify(new, marks), "verified")
-        judged = tried if judged is None else judged.unionByName(tried)
+        judged = judged.unionByName(tried)
         # Members judged in an earlier round are dealt again with those that meet the same center only now. Centers of one
         # chain of buckets rank ever lower, so the rounds end by themselves.
         again = settle(judged.where("deal").join(pairs.where("deal").select("member", "center"), ["member", "center"]), "again")
         if again.isEmpty():
             break
-        found = judged.where("similarity is not null")
-        roots = components(found.select(F.col("member").alias("a"), F.col("center").alias("b")))
+        roots = joined_roots(roots, tried.where("similarity is not null").select(F.col("member").alias("a"), F.col("center").alias("b")))
         # Where all members of a center are connected already, they have nothing to tell each other.
         rooted = again.join(roots, again.member == roots.node, "left").select("member", "center", F.coalesce("root", "member").alias("_root"))
         split = rooted.groupBy("center").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b")).where("_a <> _b")
@@ -329,6 +340,22 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
     return judged.where("similarity is not null").select("member", "center", "similarity").distinct()
 
 
+def joined_roots(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root under the links of ``roots`` (None at first) and those of ``edges`` (a, b) as well.
+
+    Only the roots that new links join are connected anew."""
+    if roots is None:
+        return components(edges)
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    known = settle(roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))), "roots")
+    a, b = (known.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "ab")
+    joins = settle(edges.join(a, "a").join(b, "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "joins")
+    if joins.isEmpty():
+        return known
+    moved = small(components(joins).select(F.col("node").alias("_from"), F.col("root").alias("_to")))
+    return settle(known.join(moved, known.root == moved["_from"], "left").select("node", F.coalesce("_to", "root").alias("root")), "roots")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of ``edges`` (a, b) is connected with.
 
