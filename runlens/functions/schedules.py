@@ -1,6 +1,6 @@
 """Learning rates as column expressions over a step (epoch or batch number)."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of the cyclical modes.
@@ -67,6 +67,50 @@ def cyclical(step: Column, base_lr: float, max_lr: float, length: float, mode: s
     return rate
 
 
+# Columns of a table of configurations; those that a schedule does not use may be null.
+CONFIGURATION = ("schedule STRING, steps BIGINT, lr DOUBLE, lr_per_sample DOUBLE, batch_size BIGINT, warmup_init_lr DOUBLE, "
+                 "workers BIGINT, milestones ARRAY<DOUBLE>, gamma DOUBLE, warmup DOUBLE, mode STRING, max_lr DOUBLE, "
+                 "length DOUBLE, extra DOUBLE")
+
+
+def _checked(good: Column, value: Column, message: str) -> Column:
+    """``value``, or an error where ``good`` is false."""
+    return F.when(F.coalesce(good, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)).cast("double"))
+
+
+def configured(step: Column) -> Column:
+    """The rate at ``step`` under the configuration in the columns of the same row (``CONFIGURATION``).
+
+    ``const`` holds lr; ``MultiStepLRW`` starts from lr, or lr_per_sample times batch_size, scaled by workers, and ``CLR`` swings
+    between lr and max_lr. What is null takes the default of the function for a single schedule. An unknown schedule or
+    mode, milestones that do not increase, a warm-up that reaches the first of them and two or no rates are errors.
+    """
+    at, or_else = step.cast("double"), lambda name, value: F.coalesce(F.col(name), F.lit(value))
+    by_sample = F.col("lr_per_sample") * F.col("batch_size")
+    given = F.coalesce(by_sample, F.col("lr"))
+    base = given * or_else("workers", 1)
+    start = F.coalesce(by_sample, or_else("warmup_init_lr", 0.0))
+    milestones = F.coalesce("milestones", F.array().cast("array<double>"))
+    warmup = or_else("warmup", 0.0)
+    falling = base * F.power(or_else("gamma", 0.1), F.size(F.filter(milestones, lambda m: m <= at)))
+    stepped = F.when((warmup > 0) & (at <= warmup), start + (base - start) * at / warmup).otherwise(falling)
+    orderly = (milestones == F.array_sort(milestones)) & ((F.size(milestones) == 0) | (warmup < F.try_element_at(milestones, F.lit(1))))
+    one_rate = F.col("lr").isNull() != F.col("lr_per_sample").isNull()
+    stepped = _checked(orderly & one_rate, stepped, "milestones must increase, after the warm-up, and one rate be given")
+
+    mode, length = or_else("mode", "triangular"), F.col("length")
+    height = 1 - F.abs(2 * F.pmod(at, length) / length - 1)
+    amplitude = F.when(mode == "triangular2", F.power(F.lit(0.5), F.floor(at / length))) \
+        .when(mode == "exp_range", F.power(or_else("gamma", 0.99), at)).otherwise(1.0)
+    wave = F.when((mode == "one_cycle") & (at > length), F.col("lr") * or_else("extra", 0.1)) \
+        .otherwise(F.col("lr") + (F.col("max_lr") - F.col("lr")) * height * amplitude)
+    wave = _checked(mode.isin(*CYCLICAL_MODES) & (length > 0) & F.col("lr").isNotNull() & F.col("max_lr").isNotNull(), wave,
+                    "a cyclical schedule needs a known mode, a length and two rates")
+    name = F.col("schedule")
+    return F.when(name == "const", F.col("lr")).when(name == "MultiStepLRW", stepped).when(name == "CLR", wave) \
+        .otherwise(F.raise_error(F.concat(F.lit("unknown schedule "), or_else("schedule", "null"))).cast("double"))
+
+
 SCHEDULES = {"const": constant, "CLR": cyclical, "MultiStepLRW": multistep}
 
 

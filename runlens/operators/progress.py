@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.schedules import configured
+from runlens.operators.intervals import counted_up
 from runlens.operators.scan import MAX_ROWS, micros, ordered
 
 # Node prices per hour and the longest run a preemptible node allows.
@@ -126,6 +128,15 @@ def cost(runs: DataFrame, workers: str = "num_workers", seconds: str = "seconds"
             .withColumn("cost", F.col(workers) * hours * price))
 
 
+def schedule_table(configurations: DataFrame, keys=("run_id",)) -> DataFrame:
+    """The learning rate of every step from 0 to ``steps`` - 1 of each configuration (``schedules.CONFIGURATION``): keys, step, lr.
+
+    Configurations are rows, however many; steps are numbered in blocks, so a long run makes no long array.
+    """
+    steps = counted_up(configurations.filter("steps > 0"), F.lit(0).cast("bigint"), F.col("steps") - 1, "step")
+    return steps.select(*keys, "step", configured(F.col("step")).alias("lr"))
+
+
 def compare_runs(records: DataFrame, sizes, by: str = "epoch", workers: str = "num_workers",
                  value: str = "value") -> DataFrame:
     """Mean value per epoch with one column per run size (``w<size>``)."""
@@ -151,6 +162,5 @@ def compare_over_time(records: DataFrame, tick_seconds: float, run: str = "run_i
     turned = turned.carry(_next=("last", F.col("tick")))
     following = F.coalesce(F.lag("tick").over(turned.window()), F.col("_next"))
     until = F.coalesce(following - 1, F.col("tick"))
-    return (turned.add(_until=until).df
-            .select(run, "value", F.explode(F.sequence("tick", "_until")).alias("tick"))
-            .select(run, "tick", "value"))
+    filled = turned.add(_until=until).df.select(run, "value", F.col("tick").alias("_from"), "_until")
+    return counted_up(filled, F.col("_from"), F.col("_until"), "tick").select(run, "tick", "value")

@@ -214,16 +214,16 @@ def resume(spark, sf):
     return outcome(spark, state, first.unionByName(second))
 
 
-@query("""select case when doc_id % 3 = 0 then 'impossible date' when doc_id % 3 = 1 then 'wrapped' else 'formed' end as form,
- case when doc_id % 3 = 2 then 'train' else 'other' end as kind, doc_id % 3 = 2 as has_ts, count(*) as lines from documents group by all""")
+@query(r"""with words as (select doc_id, regexp_replace(text, '[\t\n\x0b\f\r ]+', ' ', 'g') as words from documents)
+select doc_id as seq, 'log' as file, case when doc_id % 3 = 2 then 'train' else 'other' end as kind, doc_id % 3 = 2 as has_ts,
+ md5(case doc_id % 3 when 0 then '2018-13-45 10:00:00 trainer 0 INFO: impossible ' || words when 1 then 'wrapped ' || words
+     else 'Train Batch ' || doc_id || ': loss=0.5' end) as message from words""")
 def worker_logs_dirty(spark, sf):
-    """Lines of other forms and with impossible dates are kept."""
-    form, words = F.col("doc_id") % 3, F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")
+    """Whole texts as lines of other forms and with impossible dates are kept, and so is their place."""
+    form, words = F.col("doc_id") % 3, F.regexp_replace("text", r"[\t\n\x0b\f\r ]+", " ")
     lines = t.table(spark, sf, "documents").select(
         F.when(form == 0, F.concat(F.lit("2018-13-45 10:00:00 trainer 0 INFO: impossible "), words))
         .when(form == 1, F.concat(F.lit("wrapped "), words))
         .otherwise(F.concat(F.lit("2018-09-24 10:00:00 trainer 0 INFO: Train Batch "), F.col("doc_id").cast("string"), F.lit(": loss=0.5"))).alias("line"),
         F.lit("job").alias("source"), F.lit("log").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("doc_id").alias("seq"))
-    out = logs.parse_worker_logs(lines)
-    form = F.when(F.col("message").startswith("wrapped"), "wrapped").when(F.col("message").contains("impossible"), "impossible date").otherwise("formed")
-    return out.groupBy(form.alias("form"), "kind", F.col("ts").isNotNull().alias("has_ts")).agg(F.count(F.lit(1)).alias("lines"))
+    return logs.parse_worker_logs(lines).select("seq", "file", "kind", F.col("ts").isNotNull().alias("has_ts"), F.md5("message").alias("message"))

@@ -255,10 +255,8 @@ def schedule_multistep_warmup(spark, sf):
 
 
 def _wave(amplitude, length=20):
-    half = length / 2
-    cycle = f"floor(1 + epoch / {length}.0::double)"
-    return (f"0.001::double + 0.099::double * greatest(0::double, 1 - abs(epoch / {half}::double - 2 * {cycle} + 1))"
-            f" * {amplitude.format(cycle=cycle)}")
+    """From 0.001 up to 0.1 in the first half of a period and back in the second; the nearer end tells how far up."""
+    return f"0.001::double + 0.099::double * 2 * least(epoch % {length}, {length} - epoch % {length}) / {length}.0::double * {amplitude}"
 
 
 @query(_rate_sql(_wave("1")))
@@ -266,7 +264,7 @@ def schedule_triangular(spark, sf):
     return _rates(spark, sf, lambda s: schedules.schedule("CLR", s, base_lr=0.001, max_lr=0.1, length=20))
 
 
-@query(_rate_sql(_wave("1.0::double / pow(2, {cycle} - 1)")))
+@query(_rate_sql(_wave("pow(0.5::double, epoch // 20)")))
 def schedule_triangular2(spark, sf):
     return _rates(spark, sf, lambda s: schedules.cyclical(s, 0.001, 0.1, 20, "triangular2"))
 
@@ -281,6 +279,33 @@ def schedule_one_cycle(spark, sf):
     return _rates(spark, sf, lambda s: schedules.cyclical(s, 0.001, 0.1, 40, "one_cycle", extra=0.1))
 
 
+CONFIGURED = """configured as (select c_custkey as run_id, c_custkey % 5 as kind, 20 + c_custkey % 30 as steps, 0.01::double * (1 + c_custkey % 7) as lr,
+  [10.0::double, 15.0::double + c_custkey % 4] as milestones, (c_custkey % 3 * 4)::double as warmup, 1 + c_custkey % 8 as workers,
+  (6 + c_custkey % 9)::double as length, unnest(range(20 + c_custkey % 30)) as step from customer),
+ phases as (select *, step % length as phase from configured)"""
+
+
+@query(f"with {CONFIGURED}" + """ select run_id, step, round(case kind when 0 then lr
+ when 1 then case when warmup > 0 and step <= warmup then lr * workers * step / warmup
+   else lr * workers * pow(0.1::double, (step >= milestones[1])::int + (step >= milestones[2])::int) end
+ when 4 then case when step > length then lr * 0.2::double else lr + (1 - lr) * 2 * least(phase, length - phase) / length end
+ else lr + (1 - lr) * 2 * least(phase, length - phase) / length
+   * case kind when 2 then 1 else pow(0.5::double, floor(step / length)) end end, 9) as lr from phases""")
+def schedule_table(spark, sf):
+    """A configuration per customer, of five kinds of schedule, each with lengths and milestones of its own."""
+    key = F.col("c_custkey")
+    kind, none = key % 5, F.lit(None)
+    configurations = t.table(spark, sf, "customer").select(
+        key.alias("run_id"), F.when(kind == 0, "const").when(kind == 1, "MultiStepLRW").otherwise("CLR").alias("schedule"),
+        (20 + key % 30).cast("bigint").alias("steps"), (F.lit(0.01) * (1 + key % 7)).alias("lr"),
+        none.cast("double").alias("lr_per_sample"), none.cast("bigint").alias("batch_size"), none.cast("double").alias("warmup_init_lr"),
+        (1 + key % 8).alias("workers"), F.array(F.lit(10.0), F.lit(15.0) + key % 4).alias("milestones"), none.cast("double").alias("gamma"),
+        (key % 3 * 4).cast("double").alias("warmup"),
+        F.when(kind == 2, "triangular").when(kind == 3, "triangular2").when(kind == 4, "one_cycle").alias("mode"),
+        F.lit(1.0).alias("max_lr"), (6 + key % 9).cast("double").alias("length"), F.lit(0.2).alias("extra"))
+    return progress.schedule_table(configurations).withColumn("lr", F.round("lr", 9))
+
+
 @query(with_tables(RECORDS) + """select run_id, epoch, printf('%.6f', value) as value, value as raw from records""")
 def value_format(spark, sf):
     return t.records(spark, sf).select("run_id", "epoch", value_text(F.col("value")).alias("value"),

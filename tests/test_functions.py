@@ -81,21 +81,63 @@ def test_single_milestone_without_warmup(spark):
     assert rates(spark, lambda s: schedules.multistep(s, 1.0, 3), [0, 2, 3]) == pytest.approx([1, 1, 0.1])
 
 
-def test_cyclical(spark):
-    def expected(i, base, top, length, mode):
-        half = length / 2
-        cycle = math.floor(1 + i / (2 * half))
-        x = abs(i / half - 2 * cycle + 1)
-        scale = {"triangular2": 1 / 2 ** (cycle - 1), "exp_range": 0.99 ** i}.get(mode, 1.0)
-        if mode == "one_cycle" and i > length:
-            return base * 0.1
-        return base + (top - base) * max(0, 1 - x) * scale
-    steps = list(range(0, 50, 3))
-    for mode in schedules.CYCLICAL_MODES:
-        got = rates(spark, lambda s: schedules.cyclical(s, 0.01, 0.5, 20, mode), steps)
-        assert got == pytest.approx([expected(i, 0.01, 0.5, 20, mode) for i in steps])
-    halved = rates(spark, lambda s: schedules.cyclical(s, 0.0, 1.0, 2, scale_fn=lambda c, i: F.lit(0.5)), [1])
-    assert halved == [0.5]
+@pytest.mark.parametrize("mode", schedules.CYCLICAL_MODES)
+def test_cyclical(spark, mode):
+    """A period of 20 begins and ends at the low rate and has its peak in the middle, with straight lines between; peaks
+    differ by mode."""
+    low, high = 0.01, 0.5
+    got = rates(spark, lambda s: schedules.cyclical(s, low, high, 20, mode), list(range(61)))
+    tops = {"triangular2": [1, 0.5, 0.25]}.get(mode, [1, 1, 1])
+    for n, top in enumerate(tops[:1] if mode == "one_cycle" else tops):
+        period = got[20 * n:20 * n + 21]
+        share = [(r - low) / (high - low) for r in period]
+        if mode == "exp_range":
+            share = [x / 0.99 ** (20 * n + i) for i, x in enumerate(share)]
+        assert share[0] == pytest.approx(0) and share[10] == pytest.approx(top) and share[20] == pytest.approx(0)
+        assert [y - x for x, y in zip(share, share[1:])] == pytest.approx([top / 10] * 10 + [-top / 10] * 10)
+    if mode == "one_cycle":
+        assert got[21:] == pytest.approx([low * 0.1] * 40)
+
+
+def test_own_amplitude(spark):
+    assert rates(spark, lambda s: schedules.cyclical(s, 0.0, 1.0, 2, scale_fn=lambda c, i: F.lit(0.5)), [1]) == [0.5]
+
+
+BLANK = dict.fromkeys(c.split()[0] for c in schedules.CONFIGURATION.split(", "))
+
+
+def configured(spark, *rows):
+    table = spark.createDataFrame([tuple((BLANK | r).values()) for r in rows], schedules.CONFIGURATION)
+    from runlens.operators.progress import schedule_table
+    found = schedule_table(table.withColumn("run_id", F.monotonically_increasing_id()), ["schedule", "mode", "run_id"])
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r.run_id, r.step)):
+        out.setdefault(r.run_id, []).append(r.lr)
+    return list(out.values())
+
+
+def test_configurations_are_the_single_schedules(spark):
+    steps = list(range(30))
+    got = configured(
+        spark, {"schedule": "const", "steps": 30, "lr": 0.5},
+        {"schedule": "MultiStepLRW", "steps": 30, "lr_per_sample": 0.01, "batch_size": 10, "workers": 4, "milestones": [8.0, 20.0], "warmup": 5.0},
+        {"schedule": "MultiStepLRW", "steps": 30, "lr": 1.0, "gamma": 0.5, "milestones": [3.0]},
+        {"schedule": "MultiStepLRW", "steps": 30, "lr": 1.0},
+        *[{"schedule": "CLR", "steps": 30, "lr": 0.1, "max_lr": 0.9, "length": 7.0, "mode": m} for m in schedules.CYCLICAL_MODES])
+    want = [lambda s: schedules.constant(s, 0.5), lambda s: schedules.multistep(s, 0.1, [8, 20], warmup=5, warmup_start=0.1, scale=4),
+            lambda s: schedules.multistep(s, 1.0, 3, 0.5), lambda s: schedules.multistep(s, 1.0, []),
+            *[lambda s, m=m: schedules.cyclical(s, 0.1, 0.9, 7, m) for m in schedules.CYCLICAL_MODES]]
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a == pytest.approx(rates(spark, b, steps))
+
+
+@pytest.mark.parametrize("wrong", [{"schedule": "other"}, {"schedule": "MultiStepLRW", "lr": 1.0, "milestones": [5.0, 2.0]}, {
+    "schedule": "MultiStepLRW", "lr": 1.0, "milestones": [5.0], "warmup": 5.0}, {"schedule": "MultiStepLRW", "lr": 1.0, "lr_per_sample": 1.0, "batch_size": 1}, {
+    "schedule": "CLR", "lr": 1.0, "max_lr": 2.0, "length": 4.0, "mode": "square"}])
+def test_wrong_configurations(spark, wrong):
+    with pytest.raises(Exception, match="unknown schedule|milestones must|needs a known mode"):
+        configured(spark, {"steps": 2} | wrong)
 
 
 def test_scores(spark):
