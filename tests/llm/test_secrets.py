@@ -47,7 +47,7 @@ def test_ownership(spark):
     assert got[0].spans == "assign:0:21" and got[202].n_live == got[203].n_live == 0
     assert got[200].spans == "assign:0:21,live:9:21" and got[201].spans == "assign:2:23,live:11:23"
     found = {r.doc_id: r.found for r in secrets.find_secrets(documents(spark, rows)).collect()}
-    assert (found[0][0].n_owners, found[0][0].n_repositories, found[0][0].live) == (3, 4 if False else found[0][0].n_repositories, False)
+    assert (found[0][0].n_owners, found[0][0].n_repositories, found[0][0].live) == (3, 4, False)
     assert found[200][0].n_owners == 1 and found[200][0].live
 
 
