@@ -148,6 +148,22 @@ def exported(spark, rows, path):
                     F.col("s.value").cast("double").alias("value"), "s.cumulative"))
 
 
+@query(with_tables(PODS, RUNS, METRICS, RUN_METRICS) + """select r.run_id, 'metrics_' || r.name as archive,
+  'result_' || m.name || '.json' as file, m.date, m.value, m.cumulative
+ from metrics m join runs r on m.run_id = r.run_id
+ where m.date >= r.created_at and (r.finished_at is null or m.date <= r.finished_at)
+ union all select run_id, 'metrics_' || run_name, pod_name || '_' || name || '.json', date, value, cumulative from run_metrics""")
+def export_packed(spark, sf):
+    """All series in a few sorted files with an index."""
+    path = new_dir(spark, "packed")
+    export.export_packed(entities.run_export_rows(t.runs(spark, sf), t.pods(spark, sf), t.metrics(spark, sf)), path, file_lines=20_000)
+    lines = spark.read.parquet(f"{path}/lines").filter("line <> ']'")
+    sample = F.from_json(F.regexp_replace("line", r"^[\[,]", ""), "date timestamp, value string, cumulative boolean")
+    return lines.select("run_id", "archive", "file", sample.alias("s")).select(
+        "run_id", "archive", "file", F.col("s.date").cast("timestamp_ntz").alias("date"), F.col("s.value").cast("double").alias("value"),
+        "s.cumulative")
+
+
 @query(with_tables(PODS, METRICS) + """select p.pod_id as run_id, 'metrics_' || replace(p.name, '#', '') as archive,
   'result_' || m.name || '.json' as file, m.date, m.value, m.cumulative from metrics m join pods p on m.pod_id = p.pod_id""")
 def export_pod(spark, sf):

@@ -1,10 +1,11 @@
 """Export of a run's series as JSON documents."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.scalars import format_instant, safe_file_name
 from runlens.operators.scan import MAX_ROWS, ordinal
+from runlens.session import written
 
 CLOSING = (1 << 63) - 1
 
@@ -36,3 +37,42 @@ def export_run(rows: DataFrame, out_dir: str, compression: str = "gzip", max_row
      .repartitionByRange(*place, "pos").sortWithinPartitions(*place, "pos")
      .select(*place, "line")
      .write.option("compression", compression).partitionBy(*place).text(out_dir))
+
+
+# Lines of a packed file, and of a row group within it.
+FILE_LINES = 2_000_000
+GROUP_BYTES = 8 << 20
+
+
+def export_packed(rows: DataFrame, out_dir: str, file_lines: int = FILE_LINES, max_rows: int = MAX_ROWS) -> None:
+    """Write all documents of ``rows`` (as for ``export_run``) to few files, ``lines``, and a table of contents, ``index``.
+
+    The lines are sorted by document and place over all files, about ``file_lines`` in each, so the number of files follows
+    the size of the export and not the number of series; a long document spans several files, a file holds many short ones.
+    ``index`` has a row per document and file: run_id, archive, file, part (the file's name), first and last line there, and
+    their number. Both are found by their sorted columns, whose bounds stand in the files themselves.
+    """
+    place = ["run_id", "archive", "file"]
+    lines = written(export_lines(rows, max_rows), "lines")
+    files = max(1, -(-lines.count() // file_lines))
+    (lines.repartitionByRange(files, *place, "pos").sortWithinPartitions(*place, "pos")
+     .write.option("parquet.block.size", GROUP_BYTES).parquet(f"{out_dir}/lines"))
+    packed = lines.sparkSession.read.parquet(f"{out_dir}/lines").withColumn("part", F.col("_metadata.file_name"))
+    index = packed.groupBy(*place, "part").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"))
+    index.repartitionByRange(*place).sortWithinPartitions(*place, "first").write.parquet(f"{out_dir}/index")
+
+
+def packed_documents(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The documents of a packed export: run_id, archive, file, parts, lines (without the closing bracket)."""
+    index = spark.read.parquet(f"{out_dir}/index")
+    return index.groupBy("run_id", "archive", "file").agg(F.count(F.lit(1)).alias("parts"), (F.sum("n") - 1).alias("lines"))
+
+
+def packed_lines(spark: SparkSession, out_dir: str, run_id, archive: str, file: str) -> DataFrame:
+    """The lines of one document in order, read from the files that its index names alone."""
+    own = (F.col("run_id") == run_id) & (F.col("archive") == archive) & (F.col("file") == file)
+    # One row per file that holds a part of the document.
+    parts = [r.part for r in spark.read.parquet(f"{out_dir}/index").filter(own).select("part").collect()]
+    if not parts:
+        return spark.read.parquet(f"{out_dir}/lines").limit(0).select("line")
+    return spark.read.parquet(*[f"{out_dir}/lines/{p}" for p in parts]).filter(own).orderBy("pos").select("line")

@@ -180,3 +180,27 @@ def test_shared_dir_needs_a_setting_on_clusters(spark, monkeypatch):
         sparkContext = type("C", (), {"master": "spark://host:7077"})()
     with pytest.raises(ValueError):
         session.shared_dir(Cluster())
+
+
+def test_packed_export(spark, tmp_path):
+    """Many short series and a long one: files follow the size, and each document is read from its own files."""
+    import datetime
+    import glob
+    import json
+
+    from runlens.sources import export
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(1, "a b", "x", f"m{i}", day + datetime.timedelta(seconds=j), float(j), False, 100 * i + j) for i in range(40) for j in range(3)]
+    rows += [(2, "c", "result", "loss", day + datetime.timedelta(seconds=j), float(j), False, j) for j in range(900)]
+    table = spark.createDataFrame(rows, "run_id long, run_name string, prefix string, name string, date timestamp, value double, "
+                                        "cumulative boolean, metric_id long")
+    export.export_packed(table, str(tmp_path / "out"), file_lines=200)
+    assert 4 <= len(glob.glob(f"{tmp_path}/out/lines/*.parquet")) <= 8
+    found = {(r.run_id, r.file): (r.parts, r.lines) for r in export.packed_documents(spark, str(tmp_path / "out")).collect()}
+    assert len(found) == 41 and found[2, "result_loss.json"][0] > 2 and found[2, "result_loss.json"][1] == 900
+    assert all(n == 3 for (run, _), (_, n) in found.items() if run == 1)
+    for run, archive, file, n in ((2, "metrics_c", "result_loss.json", 900), (1, "metrics_a_b", "x_m7.json", 3)):
+        document = json.loads("".join(r.line for r in export.packed_lines(spark, str(tmp_path / "out"), run, archive, file).collect()))
+        assert [float(d["value"]) for d in document] == [float(j) for j in range(n)]
+    assert export.packed_lines(spark, str(tmp_path / "out"), 9, "no", "file").collect() == []
