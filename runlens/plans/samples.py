@@ -7,6 +7,7 @@ from runlens.operators.scan import ordinal
 from runlens.plans import tables as t
 from runlens.plans.registry import query
 from runlens.session import new_dir
+from runlens.sources.indexed import APPEND_BITS, append_samples, read_indexed
 from runlens.sources.tables import read_samples, write_samples
 from runlens.plans.tables import LOGISTIC, ORDER_SAMPLES, RIDGE, with_tables
 
@@ -177,3 +178,16 @@ def samples_two_appends(spark, sf):
         write_samples(orders(spark, sf).drop("id"), path, "orders", "train")
     stored = read_samples(spark, path, "orders", "train")
     return stored.agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("sample_id").alias("ids"))
+
+
+@query("""select o_orderkey, row_number() over (order by o_orderkey % 2, o_orderkey) - 1 as pos, o_orderkey % 2 as number,
+ row_number() over (partition by o_orderkey % 2 order by o_orderkey) - 1 as at from orders""")
+def samples_indexed(spark, sf):
+    """Two sorted appends of several files each; places come from the index, ids from the number of the append."""
+    path, rows = new_dir(spark, "samples"), t.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    for odd in (0, 1):
+        part = rows.filter(F.col("o_orderkey") % 2 == odd)
+        append_samples(part.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey"), path, "orders", "train")
+    number = F.shiftright("sample_id", APPEND_BITS)
+    return read_indexed(spark, path, "orders", "train").select(
+        "o_orderkey", "pos", number.alias("number"), (F.col("sample_id") - F.shiftleft(number, APPEND_BITS)).alias("at"))
