@@ -1,9 +1,10 @@
 """Worker logs and captured job output as tables of lines."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.scan import MAX_ROWS, ordered
+from runlens.session import written
 
 # The line format and the messages the trainer writes.
 LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) (\S+) (\d+) (\w+): (.*)$"
@@ -66,19 +67,33 @@ def parse_worker_logs(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 
 def explode_job_output(jobs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Lines of captured output numbered per (run, stream); ``jobs(run_id, chunk_no, stdout, stderr)``."""
-    streams = ("stdout", "stderr")
-    rows = ordered(jobs, ["run_id"], ["chunk_no"], max_rows)
-    rows = rows.add(**{s: F.coalesce(F.split(s, LINE_BREAK, -1), F.array().cast("array<string>")) for s in streams})
+    """Lines of captured output numbered per (run, stream); ``jobs(run_id, chunk_no, stdout, stderr)``.
+
+    Only the line counts of the chunks are brought together by run. Texts are exchanged by chunk, if at all, so a run's output
+    needs no task of its own. ``jobs`` is read twice.
+    """
+    streams, keys = ("stdout", "stderr"), ["run_id", "chunk_no"]
+    rows = jobs.withColumns({s: F.coalesce(F.split(s, LINE_BREAK, -1), F.array().cast("array<string>")) for s in streams})
     # A break at the very end of a chunk opens no further line.
-    rows = rows.add(**{s: F.when(F.try_element_at(s, F.lit(-1)) == "", F.slice(s, 1, F.size(s) - 1)).otherwise(F.col(s))
-                       for s in streams})
+    rows = rows.withColumns({s: F.when(F.try_element_at(s, F.lit(-1)) == "", F.slice(s, 1, F.size(s) - 1)).otherwise(F.col(s))
+                             for s in streams})
     sizes = {s: F.size(s).cast("bigint") for s in streams}
-    rows = rows.carry(**{f"_{s}": ("sum", sizes[s]) for s in streams})
-    start = {s: F.coalesce(F.sum(sizes[s]).over(rows.before()), F.lit(0)) + F.coalesce(F.col(f"_{s}"), F.lit(0))
-             for s in streams}
-    return (rows.add(_parts=F.array(*[F.struct(F.lit(s).alias("stream"), start[s].alias("start"),
-                                               F.col(s).alias("lines")) for s in streams]))
-            .df.select("run_id", F.inline("_parts"))
+    counts = rows.groupBy(*keys).agg(*[F.sum(sizes[s]).alias(f"_{s}") for s in streams], F.count(F.lit(1)).alias("_rows"))
+    counts = written(counts, "chunks")
+    placed = ordered(counts, ["run_id"], ["chunk_no"], max_rows).carry(**{f"_{s}_before": ("sum", F.col(f"_{s}")) for s in streams})
+    placed = placed.result("run_id", "chunk_no", "_rows", *[
+        (F.coalesce(F.sum(f"_{s}").over(placed.before()), F.lit(0)) + F.coalesce(f"_{s}_before", F.lit(0))).alias(f"_{s}_start")
+        for s in streams]).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    rows = rows.select(*keys, *streams).join(placed, same)
+    if not counts.filter("_rows > 1").isEmpty():
+        # Rows that share a chunk number follow one another.
+        shared = rows.filter("_rows > 1")
+        earlier = Window.partitionBy(*keys).orderBy(*streams).rowsBetween(Window.unboundedPreceding, -1)
+        shared = shared.withColumns({f"_{s}_start": F.col(f"_{s}_start") + F.coalesce(F.sum(sizes[s]).over(earlier), F.lit(0))
+                                     for s in streams})
+        rows = rows.filter("_rows = 1").unionByName(shared)
+    return (rows.select("run_id", F.inline(F.array(*[F.struct(F.lit(s).alias("stream"), F.col(f"_{s}_start").alias("start"),
+                                                              F.col(s).alias("lines")) for s in streams])))
             .select("run_id", "stream", "start", F.posexplode("lines").alias("_pos", "line"))
             .select("run_id", "stream", (F.col("start") + F.col("_pos")).alias("line_no"), "line"))

@@ -168,6 +168,26 @@ def test_export_is_json_per_series(spark, tmp_path):
             assert samples[0]["date"].endswith("Z") and samples[0]["cumulative"] is False
 
 
+def test_job_output_of_one_run_is_spread(spark):
+    """All chunks of one run, some with the same number: the texts do not meet in one task, and no place is given twice."""
+    jobs = spark.range(400).select(
+        F.lit("a").alias("run_id"), F.when(F.col("id") % 50 > 0, F.col("id") - F.col("id") % 3).alias("chunk_no"),
+        F.format_string("x\ny %d\n", "id").alias("stdout"), F.when(F.col("id") % 2 == 0, "err").alias("stderr"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = logs.explode_job_output(jobs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert len({r["task"] for r in out}) > 1
+    assert sorted(r["line_no"] for r in out if r["stream"] == "stdout") == list(range(800))
+    assert sorted(r["line_no"] for r in out if r["stream"] == "stderr") == list(range(200))
+    lines = [r["line"] for r in sorted(out, key=lambda r: (r["stream"], r["line_no"])) if r["stream"] == "stdout"]
+    assert lines[::2] == ["x"] * 400 and {lines[1], lines[3]} <= {f"y {i}" for i in range(0, 400, 50)}
+
+
 def test_shared_dir_needs_a_setting_on_clusters(spark, monkeypatch):
     from runlens import session
 
