@@ -1,8 +1,9 @@
 """Marks and rates with one state row per key in Spark's state store.
 
 A trigger reads and writes the states of the keys that it brings, however many there are; the store keeps the others outside
-the heap and recovers them with the checkpoint. Rows of a key within a trigger are ordered in the task that holds its state,
-so limit what a trigger takes in (``maxFilesPerTrigger``, ``maxBytesPerTrigger``). Outputs are streams for any sink.
+the heap and recovers them with the checkpoint. Keys are dealt into ``buckets``, whose rows within a trigger are ordered
+together in one call, so limit what a trigger takes in (``maxFilesPerTrigger``, ``maxBytesPerTrigger``). The number of buckets
+stays with a checkpoint. Outputs are streams for any sink.
 """
 
 import numpy as np
@@ -16,6 +17,9 @@ from runlens.functions.scalars import numbers
 from runlens.operators.scan import micros
 from runlens.operators.series import SHARED_MARK
 
+# A call costs the same however few rows it gets, so there are far fewer calls than keys.
+BUCKETS = 2_048
+NONE = int(np.iinfo(np.int64).min)
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,41 +32,65 @@ def _named(frame: pd.DataFrame, columns: list) -> pd.DataFrame:
     return frame[[f"c{i}" for i in range(len(columns))]].set_axis(columns, axis=1)
 
 
-def _stateful(rows: DataFrame, keys, processor: StatefulProcessor, schema: StructType, ttl: int) -> DataFrame:
+def _keyed(samples: DataFrame, keys, buckets: int, **columns) -> DataFrame:
+    """``samples`` by number with ``columns``, ``key`` (the values of ``keys`` as text) and ``bucket``."""
+    key = F.to_json(F.array(*[k.cast("string") for k in keys]))
+    extra = {**columns, "key": key, "bucket": F.pmod(F.xxhash64(key), F.lit(buckets))}
+    rows = _numbered(samples.withColumns({f"_{name}": column for name, column in extra.items()}))
+    return rows.withColumnsRenamed({f"c{len(samples.columns) + i}": name for i, name in enumerate(extra)})
+
+
+def _stateful(rows: DataFrame, processor: StatefulProcessor, schema: StructType, ttl: int) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if ttl else "None")
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if ttl else "None")
+
+
+def _firsts(groups: np.ndarray) -> np.ndarray:
+    """Where a group begins, in rows that are sorted by group."""
+    return np.concatenate([[True], groups[1:] != groups[:-1]])
 
 
 class NewerSamples(StatefulProcessor):
-    """Keeps the newest date of a key; ``at`` and ``setter`` (whether a sample moves the mark) are microseconds and 0 or 1."""
+    """Keeps the newest date of every key of a bucket; ``at`` and ``setter`` (whether a sample moves the mark) are microseconds
+    and 0 or 1."""
 
     def __init__(self, columns: list, ttl: int = None):
         self.columns, self.ttl = columns, ttl
 
     def init(self, handle) -> None:
-        self.mark = handle.getValueState("mark", "newest bigint", self.ttl)
+        self.marks = handle.getMapState("marks", "key string", "newest bigint", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues):
         frame = pd.concat(list(rows), ignore_index=True)
-        known = self.mark.get()[0] if self.mark.exists() else None
+        codes, keys = pd.factorize(frame["key"])
+        marks = [self.marks.getValue((k,)) for k in keys]
+        known = np.array([NONE if m is None else m[0] for m in marks], np.int64)
+        order = np.lexsort((frame["arrived"].to_numpy(np.int64), codes))
+        frame, codes = frame.iloc[order], codes[order]
+        at, arrived = frame["at"].to_numpy(np.int64), frame["arrived"].to_numpy(np.int64)
         # The newest date of each arrival, and of all before it.
-        setters = frame[(frame["setter"] == 1) & frame["at"].notna()]
-        newest = setters.groupby("arrived")["at"].max().sort_index()
-        at = np.searchsorted(newest.index.to_numpy(), frame["arrived"].to_numpy(), "left")
-        none = np.iinfo(np.int64).min
-        first = none if known is None else known
-        seen = np.maximum(np.concatenate([[first], np.maximum.accumulate(newest.to_numpy(np.int64))]) if len(newest) else [first], first)
-        if len(newest):
-            self.mark.update((int(seen[-1]),))
-        before = seen[at]
-        kept = frame["at"].notna().to_numpy() & (frame["at"].fillna(none).to_numpy(np.int64) > before) | (before == none)
-        yield _named(frame[kept], self.columns)
+        first = _firsts(codes) | _firsts(arrived)
+        newest = np.maximum.reduceat(np.where(frame["setter"].to_numpy() == 1, at, NONE), np.flatnonzero(first))
+        owner = codes[first]
+        begins = _firsts(owner)
+        # Dates as places among all dates, lifted by key: one running maximum serves all keys.
+        dates, place = np.unique(newest, return_inverse=True)
+        lift = owner * len(dates)
+        so_far = dates[np.maximum.accumulate(place + lift) - lift]
+        seen = np.maximum(np.where(begins, NONE, np.roll(so_far, 1)), known[owner])
+        last = np.flatnonzero(np.roll(begins, -1))
+        for code, date in zip(owner[last].tolist(), so_far[last].tolist()):
+            if date != NONE:
+                self.marks.updateValue((keys[code],), (max(date, int(known[code])),))
+        before = seen[np.cumsum(first) - 1]
+        yield _named(frame[(at > before) | (before == NONE)], self.columns)
 
     def close(self) -> None:
         pass
 
 
-def newer_samples(samples: DataFrame, arrival: str, entity=("pod_id",), shared=SHARED_MARK, ttl: int = None) -> DataFrame:
+def newer_samples(samples: DataFrame, arrival: str, entity=("pod_id",), shared=SHARED_MARK, ttl: int = None,
+                  buckets: int = BUCKETS) -> DataFrame:
     """The stream of samples newer than all that arrived before for their (entity, metric), as ``series.accept_newer``.
 
     Samples of one arrival are judged together; those of an earlier trigger have all arrived before. ``ttl``, in
@@ -70,59 +98,67 @@ def newer_samples(samples: DataFrame, arrival: str, entity=("pod_id",), shared=S
     """
     pairs = F.create_map(*[F.lit(x) for pair in shared.items() for x in pair]) if shared else None
     owner = F.coalesce(F.try_element_at(pairs, F.col("name")), F.col("name")) if shared else F.col("name")
-    place = [f"c{samples.columns.index(c)}" for c in entity]
-    marked = samples.withColumns({"owner": owner, "at": micros("date"), "setter": (F.col("name") == owner).cast("int"),
-                                  "arrived": F.col(arrival)})
-    rows = _numbered(marked).withColumnsRenamed(dict(zip(
-        [f"c{len(samples.columns) + i}" for i in range(4)], ("owner", "at", "setter", "arrived"))))
-    return _stateful(rows, [*place, "owner"], NewerSamples(samples.columns, ttl), samples.schema, ttl)
+    sets = (F.col("name") == owner) & F.col("date").isNotNull() & F.col(arrival).isNotNull()
+    rows = _keyed(samples, [*map(F.col, entity), owner], buckets, at=F.coalesce(micros("date"), F.lit(NONE)),
+                  setter=F.coalesce(sets.cast("int"), F.lit(0)),
+                  arrived=F.coalesce(F.col(arrival).cast("bigint"), F.lit((1 << 63) - 1)))
+    return _stateful(rows, NewerSamples(samples.columns, ttl), samples.schema, ttl)
 
 
 class Rates(StatefulProcessor):
-    """Keeps the last sample of a key and its kind of series; ``t`` is microseconds, ``v`` the value as a number."""
+    """Keeps the last sample of every key of a bucket and its kind of series; ``t`` is microseconds, ``v`` the value as a number,
+    ``kind`` 1 for counters, 0 for others, -1 if unknown."""
 
     def __init__(self, columns: list, ttl: int = None):
         self.columns, self.ttl = columns, ttl
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "t bigint, id bigint, v double, kind boolean", self.ttl)
+        self.last = handle.getMapState("last", "key string", "t bigint, id bigint, v double, kind int", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["t", "id"], kind="stable", ignore_index=True)
-        t, ids = frame["t"].to_numpy(np.int64), frame["id"].to_numpy(np.int64)
-        v = frame["v"].to_numpy(np.float64)
-        known = self.last.get() if self.last.exists() else None
-        late = np.zeros(len(frame), bool) if known is None else (t < known[0]) | (t == known[0]) & (ids <= known[1])
+        frame = pd.concat(list(rows), ignore_index=True)
+        codes, keys = pd.factorize(frame["key"])
+        order = np.lexsort((frame["id"].to_numpy(np.int64), frame["t"].to_numpy(np.int64), codes))
+        frame, codes = frame.iloc[order].reset_index(drop=True), codes[order]
+        t, ids, v, kind = (frame[c].to_numpy(d) for c, d in (("t", np.int64), ("id", np.int64), ("v", np.float64), ("kind", np.int64)))
+        lasts = [self.last.getValue((k,)) for k in keys]
+        old = np.array([x is not None for x in lasts])
+        old_t, old_id, old_kind = (np.array([0 if x is None else x[i] for x in lasts], np.int64) for i in (0, 1, 3))
+        old_v = np.array([np.nan if x is None or x[2] is None else x[2] for x in lasts], np.float64)
+        late = old[codes] & ((t < old_t[codes]) | (t == old_t[codes]) & (ids <= old_id[codes]))
         rate, fresh = np.full(len(frame), np.nan), np.flatnonzero(~late)
         if len(fresh):
-            kind = frame["kind"].iloc[fresh[0]] if known is None else known[3]
-            kind = None if kind is None or pd.isna(kind) else bool(kind)
-            if kind:
-                start = (t[fresh[0]], v[fresh[0]]) if known is None else (known[0], np.nan if known[2] is None else known[2])
-                step = np.maximum(1.0, np.diff(t[fresh], prepend=start[0]) / 1000.0)
-                rate[fresh] = 1000.0 * np.maximum(0.0, np.diff(v[fresh], prepend=start[1])) / step
-            else:
-                rate[fresh] = v[fresh]
-            end = fresh[-1]
-            self.last.update((int(t[end]), int(ids[end]), float(v[end]), kind))
+            of, here_t, here_v = codes[fresh], t[fresh], v[fresh]
+            begins = _firsts(of)
+            start = np.flatnonzero(begins)
+            known = old[of[start]]
+            before_t, before_v = np.roll(here_t, 1), np.roll(here_v, 1)
+            before_t[start] = np.where(known, old_t[of[start]], here_t[start])
+            before_v[start] = np.where(known, old_v[of[start]], here_v[start])
+            kinds = np.where(known, old_kind[of[start]], kind[fresh[start]])
+            step = np.maximum(1.0, (here_t - before_t) / 1000.0)
+            gain = 1000.0 * np.maximum(0.0, here_v - before_v) / step
+            rate[fresh] = np.where(kinds[np.cumsum(begins) - 1] == 1, gain, here_v)
+            end = fresh[np.roll(begins, -1)]
+            for code, *state in zip(codes[end].tolist(), t[end].tolist(), ids[end].tolist(), v[end].tolist(), kinds.tolist()):
+                self.last.updateValue((keys[code],), tuple(state))
         yield _named(frame, self.columns).assign(rate=rate, late=late)
 
     def close(self) -> None:
         pass
 
 
-def rates(samples: DataFrame, keys=("pod_id", "name"), ttl: int = None) -> DataFrame:
+def rates(samples: DataFrame, keys=("pod_id", "name"), ttl: int = None, buckets: int = BUCKETS) -> DataFrame:
     """The stream of samples with ``rate``, as ``series.counter_rate``, and ``late``.
 
     Samples are ordered by date and metric_id; one that is not after the last sample of an earlier trigger is late and has
     no rate (NaN). Samples without a date or a metric_id have no place and are left out. ``ttl`` as in ``newer_samples``.
     """
-    marked = samples.filter("date is not null and metric_id is not null").withColumns({
-        "t": micros("date"), "v": numbers(samples, "value"), "id": F.col("metric_id"), "kind": F.col("cumulative")})
-    rows = _numbered(marked).withColumnsRenamed(dict(zip([f"c{len(samples.columns) + i}" for i in range(4)], ("t", "v", "id", "kind"))))
-    keys = [f"c{samples.columns.index(k)}" for k in keys]
+    placed = samples.filter("date is not null and metric_id is not null")
+    rows = _keyed(placed, map(F.col, keys), buckets, t=micros("date"), v=numbers(samples, "value"), id=F.col("metric_id"),
+                  kind=F.coalesce(F.col("cumulative").cast("int"), F.lit(-1)))
     schema = StructType([*samples.schema.fields]).add("rate", DoubleType()).add("late", BooleanType())
-    return _stateful(rows, keys, Rates(samples.columns, ttl), schema, ttl)
+    return _stateful(rows, Rates(samples.columns, ttl), schema, ttl)
 
 
 def start_table(rows: DataFrame, out: str, checkpoint: str, trigger: dict = None) -> StreamingQuery:
