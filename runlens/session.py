@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Keep splitting skewed join partitions even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Folders are listed by this many tasks, not by one each: a task takes longer to start than to list a folder.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "128",
     # Streaming state outside the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

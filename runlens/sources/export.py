@@ -1,5 +1,12 @@
 """Export of a run's series as JSON documents."""
 
+import bz2
+import gzip
+import os
+import re
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +37,75 @@ def export_lines(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 def export_run(rows: DataFrame, out_dir: str, compression: str = "gzip", max_rows: int = MAX_ROWS) -> None:
     """Write ``run_id=<id>/archive=<name>/file=<prefix>_<metric>.json/part-*``.
 
-    The parts of a folder in name order form the document.
+    The parts of a folder in name order form the document. What takes time is the number of files, so the ranges are as many as
+    a shuffle's partitions however few bytes they hold: adaptive execution would merge small ones and write all files in turn.
+    On a local path the tasks write their parts themselves, as Spark's writer forks a command there for every file and folder
+    it makes (``write_parts``).
     """
-    place = ["run_id", "archive", "file"]
-    (export_lines(rows, max_rows)
-     .repartitionByRange(*place, "pos").sortWithinPartitions(*place, "pos")
-     .select(*place, "line")
-     .write.option("compression", compression).partitionBy(*place).text(out_dir))
+    place, spark = ["run_id", "archive", "file"], rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    lines = (written(export_lines(rows, max_rows), "lines")
+             .repartitionByRange(tasks, *place, "pos").sortWithinPartitions(*place, "pos").select(*place, "line"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file" or compression not in OPENERS:
+        lines.write.option("compression", compression).partitionBy(*place).text(out_dir)
+        return
+    if files.exists(path):
+        raise FileExistsError(out_dir)
+    write_parts(lines, place, files.makeQualified(path).toUri().getPath(), compression)
+
+
+# How the parts of a local export are opened, and their ending.
+OPENERS = {"none": (open, ".txt"), "gzip": (lambda path, *args, **kw: gzip.open(path, *args, compresslevel=6, **kw), ".txt.gz"),
+           "bzip2": (bz2.open, ".txt.bz2")}
+_ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
+
+def folder_name(value) -> str:
+    """A partition value as Spark writes it into a folder's name."""
+    return _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_parts(lines: DataFrame, place: list, root: str, compression: str) -> None:
+    """``lines`` (``place``, line) in their order and partitions as ``<column>=<value>/../part-*`` below the local ``root``.
+
+    A part is renamed once it is whole, under a name that follows from its task, so what a failed or second attempt has
+    written is replaced or not seen; ``_SUCCESS`` comes last, as with Spark's writer. A task holds one open file.
+    """
+    opened, ending = OPENERS[compression]
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        name, part, here = f"part-{task.partitionId():05d}{ending}", None, None
+
+        def close():
+            part.close()
+            os.replace(part_path, f"{here}/{name}")
+
+        parts = 0
+        for batch in batches:
+            values = [c.to_pylist() for c in batch.columns]
+            for keys, group in groupby(zip(*values), key=lambda row: row[:-1]):
+                folder = "/".join([root, *(f"{c}={folder_name(v)}" for c, v in zip(place, keys))])
+                if folder != here:
+                    if part is not None:
+                        close()
+                    here, part_path, parts = folder, f"{folder}/.{name}.{task.taskAttemptId()}", parts + 1
+                    os.makedirs(folder, exist_ok=True)
+                    part = opened(part_path, "wt", encoding="utf-8", newline="\n")
+                part.writelines(f"{row[-1]}\n" for row in group)
+        if part is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([parts], pa.int64())], ["parts"])
+
+    texts = lines.select(*[F.col(c).cast("string").alias(c) for c in place], "line")
+    os.makedirs(root)
+    texts.mapInArrow(write, "parts long").agg(F.sum("parts")).collect()
+    with open(f"{root}/_SUCCESS", "w"):
+        pass
 
 
 # Lines of a packed file, and of a row group within it.

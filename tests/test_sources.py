@@ -224,3 +224,40 @@ def test_packed_export(spark, tmp_path):
         document = json.loads("".join(r.line for r in export.packed_lines(spark, str(tmp_path / "out"), run, archive, file).collect()))
         assert [float(d["value"]) for d in document] == [float(j) for j in range(n)]
     assert export.packed_lines(spark, str(tmp_path / "out"), 9, "no", "file").collect() == []
+
+
+def awkward_lines(spark):
+    """Lines of documents whose names hold every ASCII character, some empty or null."""
+    names = [chr(c) + "x" for c in range(1, 128)] + ["é ü.json", "", None, "a" * 100]
+    return spark.createDataFrame([(i % 3 or None, "archive", n, p, f"line {i} {p}") for i, n in enumerate(names) for p in range(4)],
+                                 "run_id long, archive string, file string, pos long, line string")
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip", "bzip2"])
+def test_parts_of_an_export_lie_where_sparks_writer_puts_them(spark, tmp_path, compression):
+    place = ["run_id", "archive", "file"]
+    lines = awkward_lines(spark).repartitionByRange(5, *place, "pos").sortWithinPartitions(*place, "pos").select(*place, "line")
+    lines.write.option("compression", compression).partitionBy(*place).text(str(tmp_path / "spark"))
+    export.write_parts(lines, place, str(tmp_path / "own"), compression)
+
+    def folders(name):
+        return {p.relative_to(tmp_path / name).parent for p in (tmp_path / name).rglob("part-*")}
+    assert folders("own") == folders("spark") and (tmp_path / "own" / "_SUCCESS").exists()
+    assert not [p for p in (tmp_path / "own").rglob(".*")]
+    schema = "value string, run_id bigint, archive string, file string"
+    got, want = (sorted(map(str, spark.read.schema(schema).text(str(tmp_path / name)).collect())) for name in ("own", "spark"))
+    assert got == want and len(got) == 4 * 131
+
+
+def test_small_export_is_written_by_many_tasks(spark, tmp_path):
+    """What an export costs is its number of files, not its bytes: one task must not write them all."""
+    rows = spark.range(600).select(
+        (F.col("id") % 60).alias("run_id"), F.lit("r").alias("run_name"), F.lit("result").alias("prefix"), F.lit("cpu").alias("name"),
+        F.timestamp_micros(F.col("id")).alias("date"), F.lit("1").alias("value"), F.lit(False).alias("cumulative"),
+        F.col("id").alias("metric_id"))
+    out = str(tmp_path / "out")
+    export.export_run(rows, out)
+    parts = {p.name.split("-")[1].split(".")[0] for p in (tmp_path / "out").rglob("part-*")}
+    assert len(parts) > 2
+    with pytest.raises(Exception, match="out"):
+        export.export_run(rows, out)
