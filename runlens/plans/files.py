@@ -142,9 +142,8 @@ def exported(spark, rows, path):
     """Rows of the documents written for ``rows``."""
     export.export_run(rows, path)
     sample = F.from_json(F.regexp_replace("value", r"^[\[,]", ""), "date timestamp, value string, cumulative boolean")
-    # With a schema the folders' values are read as they stand, not as the type that each of them looks like.
-    parts = spark.read.schema("value string, run_id bigint, archive string, file string").text(path)
-    return (parts.filter(F.col("value") != "]").select("run_id", "archive", "file", sample.alias("s"))
+    return (export.exported_lines(spark, path).filter(F.col("value") != "]")
+            .select(F.col("run_id").cast("bigint").alias("run_id"), "archive", "file", sample.alias("s"))
             .select("run_id", "archive", "file", F.col("s.date").cast("timestamp_ntz").alias("date"), 
                     F.col("s.value").cast("double").alias("value"), "s.cumulative"))
 

@@ -108,6 +108,24 @@ def write_parts(lines: DataFrame, place: list, root: str, compression: str) -> N
         pass
 
 
+def exported_lines(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The lines of an export: value, and run_id, archive and file as strings from the path of its part.
+
+    Spark's discovery of partition columns takes time with the square of the number of folders, all of it on the driver.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(out_dir).select("value", F.col("_metadata.file_path").alias("_path"))
+
+    def decoded(name):
+        # A plus sign stands for itself.
+        return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+    def named(group):
+        name = F.regexp_extract("_path", "/run_id=([^/]*)/archive=([^/]*)/file=([^/]*)/[^/]*$", group)
+        # The path is given as a URI, in which the percent signs of escaped names are escaped once more.
+        return F.when(name != "__HIVE_DEFAULT_PARTITION__", decoded(decoded(name)))
+    return lines.select("value", *[named(i).alias(c) for i, c in enumerate(("run_id", "archive", "file"), 1)])
+
+
 # Lines of a packed file, and of a row group within it.
 FILE_LINES = 2_000_000
 GROUP_BYTES = 8 << 20

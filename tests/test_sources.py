@@ -261,3 +261,23 @@ def test_small_export_is_written_by_many_tasks(spark, tmp_path):
     assert len(parts) > 2
     with pytest.raises(Exception, match="out"):
         export.export_run(rows, out)
+
+
+def test_names_of_an_export_come_from_its_paths(spark, tmp_path):
+    """As from partition columns, whose discovery takes time with the square of the number of folders."""
+    place = ["run_id", "archive", "file"]
+    lines = awkward_lines(spark).withColumn("archive", F.when(F.col("pos") > 0, F.concat(F.lit("2024-01-01+%41/"), "pos")))
+    lines.select(*place, "line").write.partitionBy(*place).text(str(tmp_path / "run_id=7"))
+    got = export.exported_lines(spark, str(tmp_path / "run_id=7"))
+    assert "PartitionFilters: [], " in got._jdf.queryExecution().executedPlan().toString()
+    want = [(r.line, None if r.run_id is None else str(r.run_id), r.archive, r.file or None) for r in lines.collect()]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_empty_export(spark, tmp_path):
+    from runlens.plans.files import exported
+    rows = awkward_lines(spark).limit(0).select(
+        "run_id", F.lit("r").alias("run_name"), F.lit("p").alias("prefix"), F.lit("cpu").alias("name"),
+        F.timestamp_micros("pos").alias("date"), F.col("line").alias("value"), F.lit(False).alias("cumulative"),
+        F.col("pos").alias("metric_id"))
+    assert exported(spark, rows, str(tmp_path / "out")).collect() == []
