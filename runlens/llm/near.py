@@ -22,9 +22,14 @@ MINIMA = 4
 # Texts of up to SHORT_TO shingles have sketches of SHORT_MINIMA, those of LONG_FROM or more have the others; as lengths of
 # near duplicates differ by a fifth at most, any two of them share one kind.
 SHORT_MINIMA, SHORT_TO, LONG_FROM = 3, 12, 10
-# The square of this many pairs of a bucket are compared: members outside its largest connected part with all others. Where
-# there would be more, members are dealt anew.
-FEW = 96
+# The square of this many pairs of a bucket are compared by their bits: members outside its largest connected part with all
+# others, BLOCK of them at a time. Where there would be more, members are dealt anew.
+FEW = 4096
+BLOCK = 256
+# Bits of a text, and how many of them may differ in similar texts. Of two texts that share 0.8 of their shingles a bit
+# differs with a probability of 0.1, more than DIFFER of them with 2e-7.
+BITS = 2048
+DIFFER = 276
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLIERS = np.random.RandomState(20).randint(1, 2**63 - 1, 64 + SHINGLE + MINIMA, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -87,6 +92,20 @@ def sketch(marks: np.ndarray, sketches: int = SKETCHES) -> list[int]:
     return out
 
 
+_ORDERS = np.random.RandomState(21).randint(0, 2**32, (2, BITS), dtype=np.uint64).astype(np.uint32)
+
+
+def bits(marks: np.ndarray) -> bytes:
+    """One bit of the smallest labelled shingle under each of BITS orders."""
+    own = (_mix(labelled(marks)) >> np.uint64(32)).astype(np.uint32)
+    least = np.empty(BITS, np.uint32)
+    step = max(1, (1 << 18) // len(own))
+    for start in range(0, BITS, step):
+        flips, factors = _ORDERS[:, start:start + step, None]
+        least[start:start + step] = ((own ^ flips) * (factors | np.uint32(1))).min(axis=1)
+    return np.packbits(_mix(least.astype(np.uint64) + np.uint64(1)) >> np.uint64(40) & np.uint64(1)).tobytes()
+
+
 def needed(n_a: int, n_b: int) -> int:
     """The fewest aligned shingles that make two texts near duplicates: 4 / 9 of all, as a / (n_a + n_b - a) >= 0.8."""
     return -(-4 * (n_a + n_b) // 9)
@@ -173,7 +192,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """words_key, marks (the shingles as bytes) of the texts in ``wanted`` (doc_id, text_key, words_key), written once."""
+    """words_key, marks (the shingles as bytes), bits of the texts in ``wanted`` (doc_id, text_key, words_key), written once."""
     plain = docs.select(docs[doc_id].alias("doc_id"), text_of(docs, text).alias("text")).withColumn(
         "text_key", F.unhex(F.md5("text")))
     wanted = small(wanted.withColumnRenamed("doc_id", "_id"))
@@ -183,10 +202,84 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) ->
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                marks = [shingles(h).tobytes() for h in word_hashes(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("words_key"), pa.array(marks, pa.binary())], ["words_key", "marks"])
+                marks = [shingles(h) for h in word_hashes(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("words_key"), pa.array([m.tobytes() for m in marks], pa.binary()),
+                                                  pa.array(map(bits, marks), pa.binary())], ["words_key", "marks", "bits"])
+
+    return settle(plain.mapInArrow(cut, "words_key binary, marks binary, bits binary").dropDuplicates(["words_key"]), "shingles")
+
+
+def alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The written ``pairs`` (member, center, deal) whose bits let them be similar."""
+    a, b = (marks.select(F.col("words_key").alias(c), F.col("bits").alias(f"_{c}")) for c in ("member", "center"))
+
+    def judge(batches):
+        for batch in batches:
+            x, y = (_words(batch.column(c)) for c in ("_member", "_center"))
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= DIFFER
+            yield batch.select(["member", "center", "deal"]).filter(pa.array(near))
 
-    return settle(plain.mapInArrow(cut, "words_key binary, marks binary").dropDuplicates(["words_key"]), "shingles")
+    both = pairs.join(a, "member").join(b, "center").select("member", "center", "deal", "_member", "_center")
+    return settle(both.mapInArrow(judge, pairs.select("member", "center", "deal").schema), "alike")
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def meetings(few: DataFrame, marks: DataFrame) -> DataFrame:
+    """member, center: pairs that share a bucket of ``few`` (bucket, member, root, main, n_shingles, blocks), have different
+    roots, and may be similar by their lengths and bits.
+
+    The members outside the main part of a bucket, FEW at most, meet all its members block by block, so no exchange holds
+    pairs. A pair is listed in the smallest of its buckets; a member brings up to 2 * SKETCHES of those before each.
+    """
+    buckets = few.groupBy("member").agg(F.slice(F.sort_array(F.collect_list("bucket")), 1, 2 * SKETCHES).alias("_buckets"))
+    of = marks.select(F.col("words_key").alias("member"), "bits")
+    rows = few.join(buckets, "member").join(of, "member").select(
+        "bucket", "main", F.pmod(F.xxhash64("bucket", "member"), "blocks").alias("_block"),
+        F.struct("member", "root", "main", "n_shingles", "bits", F.filter("_buckets", lambda b: b < F.col("bucket")).alias("before")).alias("_row"))
+    rows = settle(rows, "meeting")
+    others = rows.groupBy("bucket", "_block").agg(F.collect_list("_row").alias("all"))
+    both = others.join(rows.where("not main").groupBy("bucket").agg(F.collect_list("_row").alias("few")), "bucket").select("few", "all")
+
+    def meet(batches):
+        for batch in batches:
+            sides = [(c.value_lengths().to_pylist(), c.flatten()) for c in (batch.column("few"), batch.column("all"))]
+            starts = [0, 0]
+            for lengths in zip(*(x[0] for x in sides)):
+                x, y = (rows.slice(start, n) for (_, rows), start, n in zip(sides, starts, lengths))
+                starts = [start + n for start, n in zip(starts, lengths)]
+                found = _met(x, y)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["member", "center"])
+
+    return both.mapInArrow(meet, "member binary, center binary")
+
+
+def _met(few: pa.StructArray, rows: pa.StructArray) -> list[tuple[bytes, bytes]]:
+    """The pairs of ``few`` and ``rows`` that ``meetings`` lists."""
+    names, roots = ([side.field(c).to_pylist() for side in (few, rows)] for c in ("member", "root"))
+    (member, center), (root, other) = ([np.array([code[v] for v in part]) for part in side] for side in (names, roots)
+                                       for code in ({v: at for at, v in enumerate(sorted({*side[0], *side[1]}))},))
+    n, m = (side.field("n_shingles").to_numpy(zero_copy_only=False) for side in (few, rows))
+    main = rows.field("main").to_numpy(zero_copy_only=False)
+    x, y = _words(few.field("bits")), _words(rows.field("bits"))
+    before = [side.field("before").to_pylist() for side in (few, rows)]
+    out = []
+    step = max(1, (1 << 15) // len(y))
+    for start in range(0, len(x), step):
+        at = slice(start, start + step)
+        # Texts whose lengths differ by more than a fifth of the longer one cannot be similar.
+        fits = (root[at, None] != other) & (main | (member[at, None] > center)) & (
+            4 * (n[at, None] + m) <= 9 * np.minimum(n[at, None], m))
+        if fits.any():
+            fits &= np.bitwise_count(x[at, None, :] ^ y).sum(axis=2, dtype=np.int64) <= DIFFER
+            for i, j in zip(*(k.tolist() for k in np.nonzero(fits))):
+                if not before[0][start + i] or set(before[0][start + i]).isdisjoint(before[1][j]):
+                    a, b = names[0][start + i], names[1][j]
+                    out.append((max(a, b), min(a, b)))
+    return out
 
 
 def prefix(n: int) -> int:
@@ -268,8 +361,9 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
 
     Texts that agree in a sketch form a bucket. Every member is compared with a center, the member that shares most sketches
     with others (of a text and its edited copies that is the text, or the copy closest to it), and linked if it matches. Two
-    members that both match are connected by that. Members outside the largest connected part of a bucket are compared with
-    all that they are not connected with, if these are fewer than FEW * FEW pairs. No pairs of another bucket are listed. If one of two similar
+    members that both match are connected by that. Members outside the largest connected part of a bucket meet all that they
+    are not connected with, if these are fewer than FEW * FEW pairs, and are compared with those whose bits let them be similar
+    (``meetings``). No pairs of another bucket are listed. If one of two similar
     members does not match, they mostly have a shingle in common that the center lacks, as the center has too few of its
     shingles: so all members are dealt anew by such shingles (``apart``). Where the center may have all that they share, as
     it is longer or ordered differently, they are dealt by shingles of the center, too (``contained``). Buckets with members
@@ -293,29 +387,27 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
                                                            F.col("words_key").alias("root")), "members")
     # First every member meets the center of its buckets alone: copies of a text are mostly connected by that.
     center = members.groupBy("bucket").agg(F.max(F.struct("degree", "member", "n_shingles")).alias("_center"))
-    near_center = members.join(center, "bucket").where(
-        "member <> _center.member and 4 * (n_shingles + _center.n_shingles) <= 9 * least(n_shingles, _center.n_shingles)")
+    members = settle(members.join(center, "bucket").withColumn("met", F.expr("member = _center.member")), "centered")
+    near_center = members.where(
+        "not met and 4 * (n_shingles + _center.n_shingles) <= 9 * least(n_shingles, _center.n_shingles)")
     pairs = settle(near_center.select("member", F.col("_center.member").alias("center"), F.lit(False).alias("deal")).distinct(), "pairs")
-    judged = settle(verify(pairs, marks), "verified")
+    judged = settle(verify(alike(pairs, marks), marks), "verified")
     roots = joined_roots(None, judged.where("similarity is not null").select(F.col("member").alias("a"), F.col("center").alias("b")))
-    members = members.drop("root").join(roots, members.member == roots.node, "left").withColumn("root", F.coalesce("root", "member"))
-    split = members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
+    members = members.drop("root", "_center").join(roots, members.member == roots.node, "left").withColumn("root", F.coalesce("root", "member"))
+    # The center has met all others of its bucket: only those can have something left to tell each other.
+    split = members.where("not met").groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
     members = settle(members.drop("node").join(split, "bucket"), "members")
     while not members.isEmpty():
         parts = members.groupBy("bucket", "root").agg(F.max(F.struct("degree", "member")).alias("_best"), F.count(F.lit(1)).alias("_n"))
         elected = parts.groupBy("bucket").agg(F.max("_best").alias("_center"), F.max(F.struct("_n", "root")).alias("_main"),
-                                              ((F.sum("_n") - F.max("_n")) * F.sum("_n")).alias("_pairs"))
+                                              ((F.sum("_n") - F.max("_n")) * F.sum("_n")).alias("_pairs"),
+                                              F.ceil(F.sum("_n") / BLOCK).alias("blocks"))
         sized = settle(members.join(elected, "bucket").select(
             "bucket", "member", "root", "n_shingles", F.col("_center.member").alias("center"), (F.col("_pairs") >= FEW * FEW).alias("deal"),
-            (F.col("root") == F.col("_main.root")).alias("main")), "members")
-        few = sized.where("not deal").select("bucket", "member", "root", "main", "deal", "n_shingles")
-        others = few.select("bucket", F.col("member").alias("center"), F.col("root").alias("_root"), F.col("main").alias("_main"),
-                            F.col("n_shingles").alias("_n"))
-        # Texts whose lengths differ by more than a fifth of the longer one cannot be similar.
-        met = few.where("not main").join(others, "bucket").where(
-            "root <> _root and (_main or member > center) and 4 * (n_shingles + _n) <= 9 * least(n_shingles, _n)")
+            (F.col("root") == F.col("_main.root")).alias("main"), "met", "blocks"), "members")
+        few = sized.where("not deal and not met").select("bucket", "member", "root", "main", "n_shingles", "blocks")
         pairs = sized.where("deal and member <> center").select("member", "center", "deal").unionByName(
-            met.select(F.greatest("member", "center").alias("member"), F.least("member", "center").alias("center"), "deal"))
+            meetings(few, marks).withColumn("deal", F.lit(False)))
         pairs = settle(pairs.groupBy("member", "center").agg(F.bool_or("deal").alias("deal")), "pairs")
         before = judged.groupBy("member", "center").agg(F.bool_or("deal").alias("_dealt"))
         new = settle(pairs.join(before, ["member", "center"], "left").where("_dealt is null or deal and not _dealt").drop("_dealt"), "new")
@@ -336,7 +428,8 @@ def links(docs: DataFrame, signed: DataFrame, doc_id: str = "doc_id", text: str
             "member", F.coalesce("root", "member").alias("_root"), F.xxhash64("center", "_mark").alias("bucket"))
         wanted = dealt.groupBy("bucket").agg(F.min("_root").alias("_a"), F.max("_root").alias("_b"))
         wanted = wanted.where("_a <> _b").select("bucket")
-        members = settle(dealt.join(wanted, "bucket").select("bucket", "member", F.col("_root").alias("root")).distinct().join(rank, "member"), "members")
+        members = settle(dealt.join(wanted, "bucket").select("bucket", "member", F.col("_root").alias("root")).distinct().join(
+            rank, "member").withColumn("met", F.lit(False)), "members")
     return judged.where("similarity is not null").select("member", "center", "similarity").distinct()
 
 

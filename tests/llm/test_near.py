@@ -166,3 +166,40 @@ def test_a_center_that_some_members_met_before(spark, monkeypatch):
     want = brute(texts)
     assert want[2] == 1
     assert linked(spark, texts, buckets) == want
+
+
+def test_bits_of_similar_texts():
+    draw = random.Random(12)
+    for n in (5, 10, 40, 300):
+        for _ in range(20):
+            a = [draw.randrange(1 << 62) for _ in range(n)]
+            b = list(a)
+            for at in draw.sample(range(n), n // 10):
+                b[at] = draw.randrange(1 << 62)
+            x, y = (np.frombuffer(near.bits(np.array(m, np.uint64)), np.uint64) for m in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= near.DIFFER
+            z = np.frombuffer(near.bits(near.shingles(np.array(b, np.uint64))), np.uint64)
+            assert np.bitwise_count(x ^ z).sum() > near.DIFFER
+
+
+def test_unlike_members_of_buckets_are_not_verified(spark, monkeypatch):
+    """Texts that share a passage and buckets, among them two pairs of similar ones, in several blocks of a bucket."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    draw = random.Random(13)
+    passage = words(draw, 60, 9000)
+    texts = {i: words(draw, 30, 9000) + passage + words(draw, 30, 9000) for i in range(50)}
+    texts |= {100 + i: texts[i][:60] + ["edit"] + texts[i][61:] for i in (3, 7)}
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    buckets = {i: [1, 2, 3] if i % 2 else [1, 4] for i in texts} | {200: [4], 0: [1, 4, 5], 201: [5]}
+    texts |= {200: "some other words of no other text", 201: "and again some that no text has"}
+    verified, verify = [], near.verify
+
+    def counted(pairs, marks):
+        verified.append(pairs.count())
+        return verify(pairs, marks)
+
+    monkeypatch.setattr(near, "verify", counted)
+    want = brute(texts)
+    assert want[103] == 3 and want[107] == 7 and len(set(want.values())) == len(texts) - 2
+    assert linked(spark, texts, buckets) == want
+    assert sum(verified) == 2
