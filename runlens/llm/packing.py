@@ -1,10 +1,12 @@
 """Best-fit packing of documents into sequences of a fixed length."""
 
+import json
 import os
 import re
 import struct
 import zlib
 from bisect import bisect_left, insort
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from runlens.llm.alignment import byte_letters
 from runlens.llm.memory import Memory
 from runlens.llm.tables import settle, slices, text_of
 
@@ -22,38 +25,67 @@ WORD = 64
 STOPS = ".,;:!?"
 # Python splits words at these, Unicode does not count them as white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+# The pattern that cuts a normalised text into words, a fixed value, and how it is normalised before.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+# Beyond Latin and Cyrillic letters and common punctuation; in these NFC changes nothing, lower case goes letter by letter,
+# and no version of Unicode disputes what is a letter, a digit or white space.
+_BEYOND = re.compile("[^\0-\x1b\x20-\u012f\u0131-\u017f\u0400-\u045f\u2010-\u2027\u20ac\u2122]")
+_SPACES = "\t\n\x0b\x0c\r\x85\xa0"
+# Of such texts in lower case, what PATTERN takes as words besides runs of letters.
+_APART = re.compile("'(?:[stmd]|re|ve|ll)|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ 0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff\u0100-\u017f\u0400-\u045f]+")
 
 
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit integers, each different word encoded once while remembered.
+    """Token ids of texts, as little-endian unsigned 32-bit integers.
 
-    For vocabularies that drop white space and never join across it. Many words are encoded in one call, joined by the
-    first special string of the vocabulary, whose id then separates them.
+    For vocabularies that drop white space and never join across it. tiktoken, which is faster, makes the ids of texts in
+    Latin and Cyrillic letters if the vocabulary allows it (``ranked``). Of other texts each different word is encoded once while
+    remembered, by the tokenizers library: many words in one call, joined by the first special string of the vocabulary,
+    whose id then separates them.
     """
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        added = sorted(told["added_tokens"], key=lambda t: t["id"])
+        self.mark, self.special = next((t["id"], t["content"]) for t in added if t["special"])
+        self.specials = [t["content"] for t in added]
+        self.ranked = _ranked(told)
+        self.memory = Memory(MEMORY)
+
+    @cached_property
+    def tokenizer(self):
         # Spark's tasks are the parallelism.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.mark, self.special = next((i, t.content) for i, t in sorted(added.items()) if t.special)
-        self.specials = [t.content for t in added.values()]
-        self.memory = Memory(MEMORY)
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    def plain(self, text: str) -> bytes | None:
+        """The ids by tiktoken, or None if the text is one for the library."""
+        if self.ranked is None or _BEYOND.search(text) or any(s in text for s in self.specials):
+            return None
+        for space in _SPACES:
+            text = text.replace(space, " ")
+        return _packed(self.ranked.encode_ordinary(_APART.sub(r" \g<0> ", text.lower()) + " "))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of different words. Where a word ends in stops, the pattern of the vocabulary splits it before them."""
+        """Ids of different words. Of those for the library, where a word ends in stops, the pattern of the vocabulary splits it before them."""
+        done = {w: ids for w in words if (ids := self.plain(w)) is not None}
+        words = [w for w in words if w not in done]
         cut = {w: core for w in words if (core := w.rstrip(STOPS)) != w and core[-1:].isalnum()}
         cores = {c.lower() if c.isascii() else c for c in cut.values()}
         tails = {w[len(c):] for w, c in cut.items()}
         once = self.encoded(list(cores.union(tails, (w for w in words if w not in cut))))
-        return {w: once[w] if w not in cut else once[c.lower() if (c := cut[w]).isascii() else c] + once[w[len(c):]] for w in words}
+        return done | {w: once[w] if w not in cut else once[c.lower() if (c := cut[w]).isascii() else c] + once[w[len(c):]] for w in words}
 
     def encoded(self, words: list[str]) -> dict[str, bytes]:
         # Plain letters are one pre-token and their bytes stand for themselves, so the model can have them directly.
@@ -70,9 +102,42 @@ class Encoder:
         return out | dict(zip(odd, self.raw(odd)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        look = self.memory.ready(set().union(*(c for c in cut if c)), self.learn).__getitem__
-        return [self.raw([t])[0] if c is None else b"".join(map(look, c)) for t, c in zip(texts, cut)]
+        out = [self.plain(t) for t in texts]
+        cut = {i: texts[i].split() for i, ids in enumerate(out) if ids is None and not _ODD_SPACE.search(texts[i])}
+        if cut:
+            look = self.memory.ready(set().union(*cut.values()), self.learn).__getitem__
+        return [ids if ids is not None else b"".join(map(look, cut[i])) if i in cut else self.raw([texts[i]])[0] for i, ids in enumerate(out)]
+
+
+def _ranked(told: dict):
+    """A vocabulary file's merges in tiktoken, or None if the ids are not the ranks of the merges or texts are cut otherwise.
+
+    The suffix that ends a word is a space there, which no word holds: a piece is a word and the space after it. Joining a last byte
+    with its space comes before all merges, as its id does. As every merge joins earlier ones, the least id is the next merge.
+    """
+    model, normal, cut = told["model"], told["normalizer"] or {}, told["pre_tokenizer"] or {}
+    vocab, suffix = model.get("vocab") or {}, model.get("end_of_word_suffix")
+    steps = [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    usual = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+    if model.get("type") != "BPE" or not suffix or normal.get("normalizers") != NORMAL or cut.get("pretokenizers") != steps \
+            or any((model.get(k) or None) != (v or None) for k, v in usual.items()) or any(t["normalized"] for t in told["added_tokens"]):
+        return None
+    letters = byte_letters()
+    singles = [*letters, *[x + suffix for x in letters]]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    first = {vocab.get(x) for x in letters} == {*range(256)} and {vocab.get(x) for x in singles} == {*range(512)}
+    made = [vocab.get(x + y) for x, y in merges] == [*range(512, 512 + len(merges))]
+    if not first or not made or any(max(vocab[x], vocab[y]) >= i for i, (x, y) in enumerate(merges, 512)):
+        return None
+    space = next(x for x, b in letters.items() if b == 32)
+    if any(space in x + y for x, y in merges):
+        return None
+    import tiktoken
+
+    spelled = {t: bytes(letters[c] for c in t.removesuffix(suffix)) + b" " * t.endswith(suffix)
+               for t in [*singles, *[x + y for x, y in merges]]}
+    return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks={spelled[t]: vocab[t] for t in spelled}, special_tokens={})
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -31,6 +32,43 @@ def test_ids_are_those_of_the_library(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.Encoder(WORDS).encode(texts)] == want
 
 
+def test_latin_and_cyrillic_texts_need_no_words_of_the_library(texts, monkeypatch):
+    letters, draw = packing.byte_letters(), random.Random(3)
+    with open(WORDS, encoding="utf-8") as file:
+        names = [t.removesuffix("</w>") for t in json.load(file)["model"]["vocab"]]
+    words = [bytes(letters[c] for c in t).decode("utf-8", "ignore") for t in names if all(c in letters for c in t)]
+    alphabet = [chr(c) for c in (*range(0x180), *range(0x400, 0x460), *range(0x2010, 0x2028), 0x20ac, 0x2122)]
+    some = [*texts, *words, *(w + draw.choice(words) for w in words), *(w + w for w in words), "ab" * 5000,
+            *("".join(draw.choice(alphabet + ["'s", "'LL", " "] * 9) for _ in range(draw.randint(0, 25))) for _ in range(20000))]
+    mine = packing.Encoder(WORDS)
+    monkeypatch.setattr(mine, "learn", None)
+    got = {t: ids for t in some if (ids := mine.plain(t)) is not None}
+    assert len(got) > 100_000 and all(mine.encode([t]) for t in ("don't", "Straße 12", "naïve\xa0½", "мир — да"))
+    want = Tokenizer.from_file(WORDS).encode_batch_fast(list(got), add_special_tokens=False)
+    assert [t for (t, ids), e in zip(got.items(), want) if ids != packing._packed(e.ids)] == []
+    assert all(mine.plain(t) is None for t in ("x<|endoftext|>", "İ", "ΣΑΣ", "a\x1cb", "e\u0301", "你"))
+
+
+@pytest.mark.parametrize("change", ["merges", "pattern", "normalizer", "id"])
+def test_other_vocabularies_are_left_to_the_library(change, tmp_path):
+    with open(WORDS, encoding="utf-8") as file:
+        told = json.load(file)
+    model = told["model"]
+    if change == "merges":
+        model["merges"][1000:1002] = model["merges"][1001], model["merges"][1000]
+    elif change == "pattern":
+        told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    elif change == "normalizer":
+        told["normalizer"]["normalizers"].pop()
+    else:
+        model["vocab"]["in"], model["vocab"]["th"] = model["vocab"]["th"], model["vocab"]["in"]
+    path = tmp_path / "words.json"
+    path.write_text(json.dumps(told))
+    mine, lib = packing.Encoder(str(path)), Tokenizer.from_file(str(path))
+    assert mine.ranked is None
+    assert mine.encode(["in the inn"]) == [packing._packed(lib.encode("in the inn", add_special_tokens=False).ids)]
+
+
 def test_forgetting_changes_nothing(texts, monkeypatch):
     monkeypatch.setattr(token_counts, "MEMORY", 50)
     small, large = token_counts.Counter(BYTES), token_counts.Counter(BYTES)
