@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.tables import settle, slices, small, text_of
+from runlens.llm.tables import settle, short_batches, slices, small, text_of
 
 # Words in a shingle; the similarity from which texts are near duplicates.
 SHINGLE = 5
@@ -187,8 +187,9 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sket
                      pa.array(values, pa.list_(pa.int64()))],
                     ["doc_id", "text_key", "words_key", "n_shingles", "sketches"])
 
-    return settle(plain.mapInArrow(
-        sign, f"doc_id {kind}, text_key binary, words_key binary, n_shingles long, sketches array<long>"), "signatures")
+    with short_batches(docs.sparkSession):
+        return settle(plain.mapInArrow(
+            sign, f"doc_id {kind}, text_key binary, words_key binary, n_shingles long, sketches array<long>"), "signatures")
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -206,7 +207,8 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) ->
                 yield pa.RecordBatch.from_arrays([part.column("words_key"), pa.array([m.tobytes() for m in marks], pa.binary()),
                                                   pa.array(map(bits, marks), pa.binary())], ["words_key", "marks", "bits"])
 
-    return settle(plain.mapInArrow(cut, "words_key binary, marks binary, bits binary").dropDuplicates(["words_key"]), "shingles")
+    with short_batches(docs.sparkSession):
+        return settle(plain.mapInArrow(cut, "words_key binary, marks binary, bits binary").dropDuplicates(["words_key"]), "shingles")
 
 
 def alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:

@@ -16,11 +16,11 @@ from pyspark.sql.window import Window
 
 from runlens.llm.alignment import byte_letters
 from runlens.llm.memory import Memory
-from runlens.llm.tables import settle, slices, text_of
+from runlens.llm.tables import settle, short_batches, slices, text_of
 
 CAPACITY = 2048
 # Words whose ids a worker remembers, and the longest word it remembers.
-MEMORY = 200 << 20
+MEMORY = 64 << 20
 WORD = 64
 STOPS = ".,;:!?"
 # Python splits words at these, Unicode does not count them as white space.
@@ -188,7 +188,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(source, pa.int64())), *columns],
                                                  ["doc_id", *names])
 
-    return settle(plain.mapInArrow(cut, f"doc_id {kind}, {PIECES}"), "pieces")
+    with short_batches(docs.sparkSession):
+        return settle(plain.mapInArrow(cut, f"doc_id {kind}, {PIECES}"), "pieces")
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -1,8 +1,10 @@
 """Helpers shared by the operators of this folder."""
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.session import new_dir
@@ -23,6 +25,19 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = TEXT_ROWS):
+    """Jobs that run meanwhile hand Arrow batches of at most ``rows`` rows to Python: whole texts by the 10,000 take much of an
+    executor's memory outside the heap, and that of its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, rows) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text as a string, null as the empty one."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))

@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from runlens.llm import packing, token_counts
+from runlens.llm import packing, tables, token_counts
 from tests.llm.small import AWKWARD, DOCS, documents
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -84,6 +85,22 @@ def test_token_counts(spark):
     assert token_counts.token_counts(spark.createDataFrame([], DOCS), BYTES).count() == 0
 
 
+def test_workers_keep_no_words_and_get_short_batches(spark):
+    mine = packing.Encoder(WORDS)
+    mine.encode([f"wort{i} слово{i} größe {i}" for i in range(2000)])
+    assert not mine.memory.young and "tokenizer" not in vars(mine)
+
+    def rows_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 2000, 1, 1)
+    before = spark.conf.get(name)
+    with tables.short_batches(spark, 300):
+        got = [r.n for r in rows.mapInArrow(rows_of, "n long").collect()]
+    assert sum(got) == 2000 and max(got) <= 300 and spark.conf.get(name) == before
+
+
 def test_sweep_is_best_fit_decreasing():
     draw = random.Random(2)
     for capacity in (10, 64):
